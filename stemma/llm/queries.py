@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.llm.bpe import decode, encode
 from stemma.llm.common import table
 from stemma.llm.exact_dedup import duplicate_groups
+from stemma.llm.simhash import fingerprints, near_groups
+from stemma.sources.shared import materialize
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes docs' whole texts; what the two give, as counts and digests."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    back = decode(coded.withColumn("n_tokens", F.size("ids").cast("long")), ranks, out="bytes", packed="packed", keep=["doc_id", "n_tokens"])
+    return back.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +38,11 @@ g AS (SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY norm) AS keep_id, coun
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(fingerprints(table(spark, sf_dir, "documents"), keep=["doc_id"]), "simhash_prints")
+    return near_groups(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
