@@ -153,8 +153,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return fit(texts, labels)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score (the calibrated probability) and rejected (no letters, or a score below the bound)."""
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with the columns out: the language, the calibrated probability, and whether the text is rejected (no letters,
+    or a probability below the bound)."""
     workers_find_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels numbers, whatever the input
 
@@ -163,4 +164,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         found = [m.predict(x.as_py()) for x in b.column(text)]
         return [[x for x, _ in found], [min(1.0, p) for _, p in found], [x == "und" or p < m.bound for x, p in found]]
 
-    return arrow_map(docs, "lang_pred string, score double, rejected boolean", batch, keep)
+    return arrow_map(docs, f"`{out[0]}` string, `{out[1]}` double, `{out[2]}` boolean", batch, keep)

@@ -9,6 +9,7 @@ from stemma.llm.bpe import decode, encode
 from stemma.llm import langid
 from stemma.llm.common import fold, table
 from stemma.llm.exact_dedup import duplicate_groups
+from stemma.llm.mixing import copies
 from stemma.llm.simhash import fingerprints, near_groups
 from stemma.sources.shared import materialize
 
@@ -27,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = duplicate_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -53,5 +59,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
 ORACLES = {"op4_exact_dedup": OP4_SQL}

@@ -95,8 +95,8 @@ def near_groups(prints: DataFrame, doc_id: str = "doc_id", fp: str = "fp", crowd
     roots = connected_components(links(nodes.select("fp"), crowd))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.drop("component_id").join(named, F.col(fp) == F.col("__fp")).drop("__fp")
+    named = rooted.join(ids, "root").select(F.col("fp").alias("__node"), "component_id")
+    return prints.drop("component_id").join(named, F.col(fp) == F.col("__node")).drop("__node")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
