@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.bpe import decode, encode
-from stemma.llm import langid
+from stemma.llm import langid, quality
 from stemma.llm.common import fold, table
 from stemma.llm.exact_dedup import duplicate_groups
 from stemma.llm.mixing import copies
@@ -46,6 +46,11 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs.select("doc_id", "text"), quality.references(docs), keep=["doc_id"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(table(spark, sf_dir, "documents"), keep=["doc_id"]), "simhash_prints")
     return near_groups(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,5 +64,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
