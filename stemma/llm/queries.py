@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.bpe import decode, encode
-from stemma.llm import langid, quality
+from stemma.llm import langid, quality, warc
 from stemma.llm.common import fold, table
 from stemma.llm.exact_dedup import duplicate_groups
 from stemma.llm.mixing import copies
@@ -51,6 +51,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), quality.references(docs), keep=["doc_id"])
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.pack(table(spark, sf_dir, "pages")), "warc_archives")
+    found = warc.unpack(archives, payloads=False)
+    return found.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first,
+             row_number() OVER (PARTITION BY body ORDER BY page_id) AS place FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(0, 8), lambda k: list_aggregate(list_transform(range(0, 4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        (CAST(concat('0x', substr(hex, 1 + 5 * k, 5)) AS BIGINT) >> (15 - 5 * j)) & 31 AS BIGINT), 1)), 'string_agg', '')), 'string_agg', '') AS digest FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to FROM b
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(table(spark, sf_dir, "documents"), keep=["doc_id"]), "simhash_prints")
     return near_groups(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,5 +81,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {"op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
+ORACLES = {"op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
