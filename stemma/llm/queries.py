@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.bpe import decode, encode
-from stemma.llm import langid, quality, warc
+from stemma.llm import langid, pii, quality, warc
 from stemma.llm.common import fold, table
 from stemma.llm.exact_dedup import duplicate_groups
 from stemma.llm.mixing import copies
@@ -81,5 +81,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(spark)).select("doc_id", "base", "added")
+    counts = [F.size(f"base.{kind}").cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("base", "added").alias("spans"))
+
+
+QUERIES = {"op10_pii": op10_pii, "op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
 ORACLES = {"op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
