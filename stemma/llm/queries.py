@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.bpe import decode, encode
-from stemma.llm import langid, pii, quality, warc
+from stemma.llm import html_text, langid, pii, quality, warc
 from stemma.llm.common import fold, table
 from stemma.llm.exact_dedup import duplicate_groups
 from stemma.llm.mixing import copies
@@ -28,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_slots")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = copies(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -88,5 +93,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("base", "added").alias("spans"))
 
 
-QUERIES = {"op10_pii": op10_pii, "op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op2_html": op2_html, "op10_pii": op10_pii, "op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
 ORACLES = {"op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
