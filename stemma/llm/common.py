@@ -42,6 +42,17 @@ def others(df: DataFrame, *replaced: str) -> list[str]:
     return [c for c in df.columns if c not in replaced]
 
 
+#: Bytes and rows of an Arrow batch that are worked on at a time.
+PART_BYTES, PART_ROWS = 4 << 20, 2048
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about PART_BYTES, so that what is made of them stays small; none if it is empty."""
+    n = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
 def arrow_map(df: DataFrame, outputs: str, fn: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
     """df with further columns: fn gets each Arrow batch and returns one sequence for each column of the DDL outputs.
 
@@ -56,9 +67,7 @@ def arrow_map(df: DataFrame, outputs: str, fn: Callable[[pa.RecordBatch], list],
     handed = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in pieces(whole)):
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(fn(batch), arrow)]
             made = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in made]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in handed] + made, names=handed + names)
