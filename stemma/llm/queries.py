@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.bpe import decode, encode
-from stemma.llm import html_text, langid, pii, quality, warc
+from stemma.llm import html_text, langid, lm, pii, quality, warc
 from stemma.llm.common import fold, table
 from stemma.llm.exact_dedup import duplicate_groups
 from stemma.llm.mixing import copies
@@ -51,6 +51,11 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 """
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs.select("doc_id", "text"), quality.references(docs), keep=["doc_id"])
@@ -93,5 +98,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("base", "added").alias("spans"))
 
 
-QUERIES = {"op2_html": op2_html, "op10_pii": op10_pii, "op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op5_lm": op5_lm, "op2_html": op2_html, "op10_pii": op10_pii, "op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
 ORACLES = {"op7_warc": OP7_SQL, "op4_exact_dedup": OP4_SQL}
