@@ -36,7 +36,7 @@ UNION ALL SELECT DISTINCT 'P' || CAST(l_partkey AS S), 'S' || CAST(l_suppkey AS
 SELECT 'D' || CAST(doc_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, substr(text, 1, 80) AS content FROM documents
 UNION ALL SELECT 'D' || CAST(doc_id AS S), 'behindthename', 'usage', 'quality ' || CAST(quality AS S) FROM labels""",
     "batch": """
-SELECT 'D' || CAST(doc_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, upper(substr(text, 1, 40)) AS content FROM documents WHERE doc_id % 2 = 0
+SELECT 'D' || CAST(doc_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, 'changed ' || substr(text, 1, 40) AS content FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT 'D' || CAST(doc_id AS S), 'behindthename', 'related', 'toxic ' || CAST(toxic AS S) FROM labels""",
 }
 SOURCES = ("region", "nation", "customer", "supplier", "part", "lineitem", "documents", "labels")

@@ -51,7 +51,7 @@ def resolve_twins(catalog: Catalog, focus: DataFrame) -> DataFrame:
     alone = wanted.where("degree IS NULL").select("id", F.lower("label").alias("low"), F.coalesce("language", F.lit("english")).alias("near"))
     others = n.join(lineage, "id").select(F.col("id").alias("twin"), F.lower("label").alias("low"), "language", "wk", "degree")
     order = [F.desc("degree"), F.desc_nulls_first("same"), F.desc("keyed"), F.asc("twin")]
-    met = alone.join(others, "low").withColumn("same", F.col("language").ilike(F.col("near"))).withColumn("keyed", F.col("wk").isNotNull())
+    met = alone.join(others, "low").withColumn("same", F.ilike("language", F.col("near"))).withColumn("keyed", F.col("wk").isNotNull())
     best = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("place = 1").select("id", "twin")
     return focus.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("twin", "id").alias("twin"))
 
