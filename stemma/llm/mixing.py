@@ -7,8 +7,8 @@ shrinking bracket; every step is one aggregation over the table of (source, size
 sums make small before anything is shuffled, so a source that holds a third of all rows is as cheap as any other.
 
 Rates become copies within the same table: going from the largest size to the smallest, each size gets the whole number
-of copies that brings the words taken so far closest to the words due so far, so a source ends within about half of a
-small document of its target. A size's extra copies are dealt to its documents by id, within SUBS shares of a hash, so
+of copies that brings the words taken so far closest to the words due so far (what a large document's whole copies miss
+is made up by the next sizes), so a source ends within about half of a small document of its target. A size's extra copies are dealt to its documents by id, within SUBS shares of a hash, so
 that a large group of equal sizes never meets in one task. A rerun gives the same copies.
 
 Null text has size 0. Null sources are one source, the last in order. Documents of size 0 take no words and stay once.
@@ -92,13 +92,13 @@ def _rounded(cells: pd.DataFrame, most: int) -> pd.DataFrame:
     cells = cells.sort_values("size", ascending=False, ignore_index=True)
     size, n = cells["size"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
     rate = np.minimum(most, np.exp(np.minimum(cells["multiplier"].to_numpy() * size / cells["mean_size"].to_numpy(), 50.0)))
-    base = np.floor(rate + 1e-9).astype(np.int64)
     due = np.cumsum(n * size * rate)
-    extra, taken = np.zeros(len(cells), np.int64), 0
+    whole, taken = np.zeros(len(cells), np.int64), 0
     for i in range(len(cells)):
-        rest = (due[i] - taken) / size[i] - n[i] * base[i]
-        extra[i] = min(max(round(rest), 0), n[i] if base[i] < most else 0)
-        taken += int(size[i]) * int(n[i] * base[i] + extra[i])
+        whole[i] = min(max(round((due[i] - taken) / size[i]), 0), most * n[i])
+        taken += int(size[i]) * int(whole[i])
+    base = whole // n
+    extra = whole - base * n
     return pd.DataFrame({"key": cells["key"], "size": size, "base": base, "extra": extra})
 
 

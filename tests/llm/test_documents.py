@@ -1,0 +1,292 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from stemma.llm import bpe, exact_dedup, langid, lm, mixing, pii, quality, simhash
+from stemma.llm.common import fold
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def tokenizer():
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def norm(t):
+    return re.sub("[ \t-\r]+", " ", t or "")
+
+
+@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 1 << 12), (50, 16), (97, 40)])
+def test_bpe(docs, raw, none, chunk, overlap):
+    enc = tokenizer()
+    got = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+    assert [c for c in got.columns if c != "ids"] == [c for c in docs.columns if c != "ids"]
+    back = bpe.decode(got, RANKS, "ids", "bytes", "packed").select("doc_id", "ids", "bytes", "packed").collect()
+    want = Counter((r[0], tuple(enc.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in raw)
+    assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["bytes"])) for r in back) == want
+    assert all(bytes(r["packed"]) == np.array(r["ids"], "<u4").tobytes() for r in back)
+    assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def groups(raw):
+    found = defaultdict(list)
+    for r in raw:
+        found[norm(r[1])].append(r[0])
+    return found
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda n: F.substring(exact_dedup.sha256(n), 1, 0), lambda n: F.unhex(F.substring(F.sha2(n, 256), 1, 1))], ids=["sha256", "all collide", "four bits"])
+def test_exact_dedup(docs, raw, none, digest):
+    want = Counter()
+    for ids in groups(raw).values():
+        known = [i for i in ids if i is not None]
+        keep = min(known) if known else None
+        first = True
+        for i in ids:
+            want[i, keep, len(ids), i == keep and first] += 1
+            first = first and i != keep
+    assert Counter(tuple(r)[:4] for r in exact_dedup.duplicate_groups(docs, digest=digest).collect()) == want
+    stay = exact_dedup.deduplicate(docs, digest=digest)
+    assert stay.columns == docs.columns
+    assert sorted(str((r["doc_id"], norm(r["text"]))) for r in stay.collect()) == sorted(str((min((i for i in ids if i is not None), default=None), t)) for t, ids in groups(raw).items())
+    assert exact_dedup.duplicate_groups(none).count() == exact_dedup.deduplicate(none).count() == 0
+
+
+def linked(prints, distance=2):
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    every = sorted(prints)
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {p: find(p) for p in prints}
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 8])
+def test_simhash_links(spark, crowd):
+    r = np.random.default_rng(4)
+    made = {0, 1, 3, 7, 2**63, 2**64 - 1}
+    for centre in r.integers(0, 2**63, 6):
+        for _ in range(30):
+            made.add(int(centre) ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 5)), replace=False)))
+    rows = [(i, int(np.uint64(p).view(np.int64))) for i, p in enumerate(sorted(made))]
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, fp long"), crowd=crowd).collect()
+    roots = linked({np.int64(p).view(np.uint64).item() for _, p in rows})
+    least = defaultdict(lambda: 10**9)
+    for i, p in rows:
+        root = roots[np.int64(p).view(np.uint64).item()]
+        least[root] = min(least[root], i)
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(i, least[roots[np.int64(p).view(np.uint64).item()]]) for i, p in rows}
+
+
+def test_simhash_documents(docs, raw, none):
+    import xxhash
+
+    def brute(t):
+        w = words((t or "").encode().lower().decode())
+        if not w:
+            return 0
+        s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    small = [r for r in raw if r[1] is None or len(r[1]) < 10_000]
+    assert all(simhash.fingerprint(r[1]) == brute(r[1]) for r in small)
+    stay = simhash.drop_near_duplicates(docs)
+    assert stay.columns == docs.columns
+    roots = linked({simhash.fingerprint(r[1]) for r in raw})
+    least = {}
+    for r in raw:
+        root = roots[simhash.fingerprint(r[1])]
+        if r[0] is not None:
+            least[root] = min(least.get(root, 10**9), r[0])
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(least.values())
+    assert simhash.drop_near_duplicates(none).count() == 0
+
+
+def test_mixing(docs, raw, none):
+    got = mixing.copies(docs).collect()
+    size = {}
+    for r in raw:
+        size[r[3]] = size.get(r[3], 0) + len(words(r[1]))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free = {}, set(order)
+    while True:
+        rest, whole = sum(size.values()) - sum(target.values()), sum(weight[s] for s in free)
+        over = {s for s in free if rest * weight[s] / whole > 3 * size[s]}
+        if not over:
+            break
+        target |= {s: 3 * size[s] for s in over}
+        free -= over
+    target |= {s: rest * weight[s] / whole for s in free}
+    assert Counter((r["id"], r["size"]) for r in got) == Counter((r[0], len(words(r[1]))) for r in raw)
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r["copies"] <= 3 and math.isclose(r["target"], next(t for s, t in target.items() if size[s] == r["source_size"]), rel_tol=1e-9)
+        taken[r["source_size"]] += r["copies"] * r["size"]
+    largest = {s: max(len(words(r[1])) for r in raw if r[3] == s) for s in order}
+    for s in order:  # a source of one very large document can miss its target by half of it
+        assert abs(taken[size[s]] - target[s]) <= (largest[s] / 2 if largest[s] > 1000 else max(0.02 * target[s], 20))
+    assert sorted(map(str, mixing.copies(docs).collect())) == sorted(map(str, got))
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() == sum(r["copies"] for r in got)
+    assert mixing.copies(none).count() == mixing.mix(none).count() == 0
+
+
+def test_lm(docs, raw, none):
+    got = {(r["id"], r["n_tokens"]): r for r in lm.score(docs, fold("doc_id", 7) == 2, block_bytes=9000, shard_bytes=20_000).collect()}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    token = lambda t: [w.lower() for w in words(t)] + [None]
+    c, cc = Counter(), Counter()
+    for r in raw:
+        if not held(r[0]):
+            w = token(r[1])
+            c.update(w)
+            cc.update(zip([0, *w[:-1]], w))
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    for r in raw:
+        w = token(r[1])
+        x = got[r[0], len(w)]
+        assert (x["held_out"], x["n_known"], x["train_tokens"]) == (held(r[0]), sum(c[k] > 0 for k in w), n)
+        assert math.isclose(x["base_score"], sum(math.log10((c[k] + 1) / (n + v + 1)) for k in w), rel_tol=1e-9)
+        root = lambda k: (c[k] - d if c[k] else d * v) / n
+        want = sum(math.log10((cc[p, k] + lm.MU * root(k)) / ((c[None] if p == 0 else c[p]) + lm.MU)) for p, k in zip([0, *w[:-1]], w))
+        assert math.isclose(x["score"], want, rel_tol=1e-9)
+    # The states' weights add up to one over the known words and the unknown one.
+    for p in (b"one", 0):
+        assert math.isclose(sum((cc[p, k] + lm.MU * root(k)) / ((c[None] if p == 0 else c[p]) + lm.MU) for k in [*c, b"unknown"]), 1, rel_tol=1e-9)
+    assert lm.score(none, fold("doc_id", 7) == 2).count() == 0
+    assert all(r["base_score"] == r["score"] == 0 for r in lm.score(docs, F.lit(True)).collect())
+
+
+def test_quality_base_counts(raw):
+    def brute(t):
+        t = t or ""
+        w = words(t)
+        grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = set()
+        for i in range(len(w) - 7):
+            if grams[tuple(w[i : i + 8])] > 1:
+                hit.update(range(i, i + 8))
+        lines, seen, doubled = t.split("\n"), set(), 0
+        for x in lines:
+            if words(x):
+                doubled += x in seen
+                seen.add(x)
+        return len(w), sum(len(x.decode()) for x in w), sum(ch in "#*$%&|<>" for ch in t), doubled, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)
+
+    more = ["a " * 30, "x y\nx y\n\n \nx y \n#|", "a b c d e f g h " * 2 + "z", "w " * 9]
+    for t in [r[1] for r in raw] + more:
+        assert quality.base_counts(t) == brute(t)
+
+
+def test_quality_verdicts(spark, docs, raw, none):
+    import random
+
+    r = random.Random(2)
+    vocabulary = ["the", "of", "and", "to", "in", "a"] * 6 + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}e" for i in range(150)]
+    good = [(i, " ".join(r.choice(vocabulary) for _ in range(150)) + ".", "en") for i in range(80)]
+    bad = [(1000, " | ".join(r.choice(vocabulary[36:]) for _ in range(150)), "en"), (1001, " ".join(r.choice(vocabulary) + "%%%$$$###" for _ in range(150)), "en"), (1002, None, "en"), (1003, "short", None)]
+    both = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in quality.judge(both, quality.references(both)).where("kept").collect()}
+    assert kept == {i for i, *_ in good}
+    assert quality.judge(docs, quality.references(none)).where("kept AND class_distance IS NOT NULL").count() == 0
+    assert quality.judge(docs, quality.references(docs)).count() == len(raw) and quality.references(none) == {}
+    p = np.array([0.5, 0.5, 0])
+    assert quality.js_distance(p, p) == 0 and math.isclose(quality.js_distance(p, np.array([0, 0, 1.0])), 1)
+
+
+def test_language(spark, docs, raw, none):
+    import random
+
+    r = random.Random(8)
+    syllables = {"en": "the and ing wh sh ou er".split(), "de": "ein sch ung ich ver keit ß".split(), "fr": "eau que oi é è ç tion".split()}
+    made = [(i, " ".join("".join(r.choice(syllables[c]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(8, 60))), c) for i in range(240) for c in [list(syllables)[i % 3]]]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.train(table.where(fold("doc_id", 3) != 1))
+    found = langid.identify(table, model).where(fold("doc_id", 3) == 1).collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in found) >= 0.98 * len(found) and all(0 <= x["score"] <= 1 for x in found) and sum(x["rejected"] for x in found) <= 1
+    odd = langid.identify(docs, model)
+    assert odd.count() == len(raw) and {x["lang_pred"] for x in odd.where("text IS NULL OR NOT text RLIKE '[a-zA-Z]'").collect()} == {"und"}
+    empty = langid.train(none)
+    assert {(x["lang_pred"], x["score"]) for x in langid.identify(docs, empty).collect()} == {("und", 0.0)} and langid.identify(none, model).count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def base_listing(t):
+    d = lambda m: re.sub("[^0-9]", "", m)
+    good = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 13 <= len(d(m)) <= 19 and luhn(d(m)), "phone": lambda m: 9 <= len(d(m)) <= 15}
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k in BASE for m in re.finditer(BASE[k], t or "") if good[k](m.group()))
+
+
+def test_pii(spark, none):
+    import random
+
+    r = random.Random(3)
+    parts = list("aZ.9@+-_ 0()%5é😀,") + ["1.2.3.4", "4539578763621486", "+1 (017) 555-7713", "x@y.z", "@b.c", " 255.", "a@b.c_x@d.e", "00000255.1.1.1"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 50))) for _ in range(400)] + [None, "", "a" * 30_000, "1 " * 8000, "9" * 20_000, "a@b." * 4000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit("x"))
+    model = pii.train(spark)
+    found = pii.find(table, model)
+    got = found.select("doc_id", pii.listing().alias("l"), pii.listing("base", "added").alias("all")).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        want = base_listing(texts[x["doc_id"]])
+        assert x["l"] == want and x["all"].startswith(want)
+    said = [("write to jo.doe [at] example [dot] org today", "email_words"), ('the token = "9c8b45435718dcc700c184a7e303cdc6" of', "secret"), ("call (415) 555-0134 now", "phone_local"), ("the quick brown fox of 2024", None), ("password: required here", None)]
+    more = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "doc_id long, text string"), model)
+    kinds = {x["doc_id"]: [a["kind"] for a in x["added"]] for x in more.collect()}
+    assert kinds == {i: [k] if k else [] for i, (_, k) in enumerate(said)}
+    assert "[secret]" in more.where("doc_id = 1").select(pii.redact(more, "text")).first()[0]
+    assert pii.find(none, model).count() == 0
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pipeline_stages(spark, docs, raw, none):
+    shaped = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = shaped
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, "").cache()
+        assert after.columns == shaped.columns, name
+        if name == "exact_dedup":
+            assert {norm(r["text"]) for r in after.collect()} == {norm(r["text"]) for r in kept.collect()} and after.count() == len({norm(r["text"]) for r in kept.collect()})
+        kept = after
+    last = corpus_pipeline.STAGES[-1][1](spark, kept, "")
+    enc = tokenizer()
+    want = Counter((r["doc_id"], len(enc.encode_ordinary(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest()) for r in kept.collect())
+    assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in last.collect()) == want
+    empty = none.select(shaped.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
