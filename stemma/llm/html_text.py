@@ -32,6 +32,8 @@ from stemma.llm.common import arrow_map, others, workers_find_package
 from stemma.sources.shared import materialize
 
 SUPPORT, LEAST_PAGES = 0.5, 5
+#: Hosts with this part of all pages or more are hot.
+HOT = 200
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*"|'[^'<]*'|["'])*+)>|<[!?/][^<>]*>""", re.S)
 RAW = re.compile(r"</(script|style|textarea|title|xmp|noframes|noscript|template|iframe)[\s/>]", re.I)
 RAW_TAGS = {"script", "style", "textarea", "title", "xmp", "noframes", "noscript", "template", "iframe"}
@@ -48,14 +50,23 @@ MAIN = {"article", "main"}
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=<>"'/]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)""")
 
 
+def _hash(kind: str, what: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind}{what}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+ROOT = _hash("root", "")
+
+
 class Element:
-    __slots__ = ("tag", "path", "around", "main", "heading")
+    #: path: a hash of the tags, classes and ids down to the element; above: its parent's.
+    __slots__ = ("tag", "path", "above", "around", "main", "heading")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         names = f"{values.get('class', '')} {values.get('id', '')}".strip().lower()
         self.tag = tag
-        self.path = f"{parent.path if parent else ''}/{tag}" + (f".{names}" if names else "")
+        self.above = parent.path if parent else ROOT
+        self.path = _hash(str(self.above), f"/{tag}.{names}")
         self.main = tag in MAIN or values.get("role") == "main" or bool(parent and parent.main)
         self.heading = tag in HEADINGS or bool(parent and parent.heading)
         # A header inside the article may hold its headings.
@@ -127,10 +138,6 @@ def tokens(page: str) -> Iterator[tuple[str, Element | None, str]]:
     yield from flush()
 
 
-def _hash(kind: str, what: str) -> int:
-    return xxhash.xxh64_intdigest(f"{kind}{what}".encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def _marked_up(element: Element | None) -> bool:
     """Article text in its own markup always is a slot's content: no template has it."""
     return element is not None and element.main and not element.around
@@ -138,18 +145,17 @@ def _marked_up(element: Element | None) -> bool:
 
 def occurrences(page: str) -> Counter:
     """(hash, parent's hash or None) of the page's tokens, each with its count; the root token occurs once in any page."""
-    found = Counter({(_hash("root", ""), None): 1})
+    found = Counter({(ROOT, None): 1})
     for kind, element, block in tokens(page):
         if kind == "open":
-            parent = element.path.rpartition("/")[0]
-            found[_hash("element", element.path), _hash("element", parent) if parent else _hash("root", "")] += 1
+            found[element.path, element.above] += 1
         elif not _marked_up(element):
             found[_hash("text", block), None] += 1
     return found
 
 
 def templates(pages: DataFrame, html: str = "html", host: str = "__host") -> DataFrame:
-    """(host, template: the hashes of the template's tokens) from pages with a host column."""
+    """(host, pages, template: the hashes of the template's tokens) from pages with a host column."""
     rows = pages.select(F.col(host).alias("host"), F.xxhash64(html, F.col(host)).alias("page"), F.col(html).alias("html"))
     workers_find_package(pages.sparkSession)
 
@@ -165,16 +171,17 @@ def templates(pages: DataFrame, html: str = "html", host: str = "__host") -> Dat
     half = lambda at: F.sum(F.shiftrightunsigned(mixed, at).bitwiseAND(0xFFFFFFFF))
     vectors = seen.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), half(0).alias("v1"), half(32).alias("v2"))
     vectors = materialize(vectors, "html_vectors")
-    roots = vectors.where(F.col("token") == _hash("root", "")).select("host", F.col("pages").alias("all"))
+    roots = vectors.where(F.col("token") == ROOT).select("host", F.col("pages").alias("all"))
     often = (F.col("pages") >= SUPPORT * F.col("all")) & (F.col("total") == F.col("pages"))
-    textual = F.col("parent").isNull() & (F.col("all") < LEAST_PAGES) & (F.col("token") != _hash("root", ""))
+    textual = F.col("parent").isNull() & (F.col("all") < LEAST_PAGES) & (F.col("token") != ROOT)
     valid = vectors.join(roots, "host").where(often & ~textual)
     # Classes by vector; a class is nested if some member hangs on a token of a valid class (texts hang on their slot).
     inside = valid.select("host", F.col("token").alias("parent"))
     nested = valid.where("parent IS NULL").select("host", "token", "v1", "v2").union(valid.join(inside, ["host", "parent"]).select("host", "token", "v1", "v2"))
     classes = nested.groupBy("host", "v1", "v2").agg(F.collect_set("token").alias("tokens"))
     # A template is no longer than twice a page: each of its tokens is in half of the pages or more.
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    made = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    return made.join(roots, "host").select("host", F.col("all").alias("pages"), "template")
 
 
 def main_text(page: str, template: frozenset[int]) -> tuple[str, int]:
@@ -183,7 +190,7 @@ def main_text(page: str, template: frozenset[int]) -> tuple[str, int]:
     slot = 0
     for kind, element, block in tokens(page):
         if kind == "open":
-            slot += _hash("element", element.path) in template
+            slot += element.path in template
             continue
         if element is not None and (element.around == "out" or element.around == "header" and not (element.main and element.heading)):
             continue
@@ -202,10 +209,15 @@ def with_host(pages: DataFrame, url: str = "url", out: str = "__host") -> DataFr
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """pages with text (the main text, empty if there is none) and n_slots (the slots it came from)."""
     hosted = with_host(pages, url)
-    found = templates(hosted, html).withColumnRenamed("host", "__host")
+    found = materialize(templates(hosted, html), "html_templates")
+    hot = found.where(F.col("pages") * HOT >= (found.agg(F.sum("pages")).first()[0] or 0))
     kept = [c for c in others(pages, "text", "n_slots") if keep is None or c in keep]
     rows = hosted.select(F.struct(F.lit(True).alias("__here"), *(F.col(f"`{c}`") for c in kept)).alias("__row"), F.col(html).alias("__html"), "__host")
-    rows = rows.join(found, "__host", "left").select("__row", "__html", "template")
+    # At most HOT hosts have so many pages; their templates go everywhere, and their pages spread by row instead of host.
+    rows = rows.join(F.broadcast(hot.select(F.col("host").alias("__host"), F.col("template").alias("__hot"))), "__host", "left")
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("string"))
+    rows = rows.withColumn("__by", F.when(F.col("__hot").isNull(), F.col("__host")).otherwise(spread))
+    rows = rows.join(found.select(F.col("host").alias("__by"), F.col("template").alias("__cold")), "__by", "left").select("__row", "__html", F.coalesce("__hot", "__cold").alias("template"))
 
     def batch(b: pa.RecordBatch) -> list:
         made, known = [], {}
