@@ -3,7 +3,7 @@
 A text is lower-cased, everything but letters becomes one space, and its character n-grams (n in NGRAMS, none across a
 space) are hashed into BUCKETS rows of an embedding table; their mean goes through a linear softmax. Both tables are
 trained by stochastic gradient descent in numpy on the driver, on a bounded sample of labelled rows: SAMPLE rows of each
-label, no longer than SAMPLE_CHARS, the first by a hash of the id and the text. The sample's texts are cut at spaces
+of the LABELS most frequent labels, no longer than SAMPLE_CHARS, chosen by a hash of the id and the text. The sample's texts are cut at spaces
 into pieces of several lengths, so that short texts are known too. A part of the sample that training doesn't see sets the temperature
 and the rejection bound: the share REJECT of known texts falls below it.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stemma.llm.common import arrow_map, workers_find_package
 
 NGRAMS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 16, 12
-SAMPLE, SAMPLE_CHARS, PIECES = 600, 8000, (12, 40, 150, 600, 3000)
+LABELS, SAMPLE, SAMPLE_CHARS, PIECES = 100, 600, 8000, (12, 40, 150, 600, 3000)
 EPOCHS, RATE = 4, 0.5
 #: Share of known texts of 20 letters and more that may be rejected, and the confidence that is never rejected.
 REJECT, SURE = 0.0005, 0.5
@@ -144,12 +144,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """Fits on sample rows of each label. docs: the rows that may be learned from."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.char_length("text").between(20, SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # labels are a short list
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+    # A label's share of the hash range holds twice the sample; so a scan sends the driver no more than that, however many
+    # tasks it has. Rows that agree in id and text count once.
+    bounds = {r["lang"]: min(2**63 - 1, int(2**63 * 2 * sample / r["count"])) for r in counts}
+    if not bounds:
+        return fit([], [])
+    bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))[F.col("lang")]
+    chosen = rows.where(F.col("h").bitwiseAND(2**63 - 1) <= bound).dropDuplicates(["h", "lang"]).limit(4 * sample * len(bounds)).collect()
     texts, labels = [], []
-    for r in counts:
-        for x in rows.where(F.col("lang") == r["lang"]).orderBy("h", "text").limit(sample).collect():
-            texts.append(x["text"])
-            labels.append(x["lang"])
+    for name in bounds:
+        mine = sorted((r["h"], r["text"]) for r in chosen if r["lang"] == name)[:sample]
+        texts += [t for _, t in mine]
+        labels += [name] * len(mine)
     return fit(texts, labels)
 
 
