@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from stemma.llm.common import pieces, workers_find_package
 from stemma.sources.shared import materialize
 
-BLOCK_BYTES, SHARD_BYTES = 12 << 20, 12 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 12 << 20
 MU = 500.0
 END, START = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 WORDS, PAIRS = 1, 2
