@@ -1,19 +1,19 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page's tokens are its elements, told apart by their path of tags with class and id, and its text blocks outside
-marked-up article text. A token's occurrence vector says how often it occurs in each page of a host. Tokens of one host
+A page's tokens are its elements, told apart by their path of tags with class and id, and its text blocks, inside an
+article too. A token's occurrence vector says how often it occurs in each page of a host. Tokens of one host
 with the same vector form a class; vectors are compared by two sums of hashes over pages, which combine before the
 shuffle, so a host of any size is cheap and nothing gathers its pages. A class is valid as a template if it occurs in at
-least SUPPORT of the host's pages, once in each. Element tokens carry their path, so the members of a class nest in one
-another or follow one another in every page by construction; a class whose parent element belongs to no valid class is
-dropped, and the valid ones nest into the host's template. What lies between the template's tokens is its slots. A
-page's main text is what its slots hold inside the article (or main) element, or in all slots if there is none; slots
-in menus, headers, footers, asides, forms and the like, told by tag, role, class or id, hold none. Text that is itself a
-template token is not in a slot.
-
-Hosts with fewer than LEAST_PAGES pages have no text in their template, as everything on a single page occurs once in
+least SUPPORT of the host's pages, once in each. Classes nest from the root down: a class is kept whole if a member of it
+hangs on a token of a kept class, and dropped whole otherwise; texts hang on their slot. The kept ones are the host's
+template. What lies between the template's tokens is its slots. A page's main text is what its slots hold inside the
+article (or main) element, or in all slots if there is none; slots in menus, headers, footers, asides, forms and the
+like, told by tag, role, class or id, hold none. Text that is itself a template token is not in a slot, inside the
+article either.
+
+Hosts with fewer than LEAST_PAGES distinct pages have no text in their template, as everything on a single page occurs once in
 each page. Null html is an empty page with empty text, a null url belongs to the host ''. Broken markup is read as far
-as tags can be told. Repeated rows count as pages. Columns of the input with the name of an output are replaced.
+as tags can be told. Rows of a host with the same html count as one page. Columns of the input with the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import arrow_map, others, workers_find_package
+from stemma.llm.common import arrow_map, others, pieces, workers_find_package
 from stemma.sources.shared import materialize
 
 SUPPORT, LEAST_PAGES = 0.5, 5
@@ -138,66 +138,75 @@ def tokens(page: str) -> Iterator[tuple[str, Element | None, str]]:
     yield from flush()
 
 
-def _marked_up(element: Element | None) -> bool:
-    """Article text in its own markup always is a slot's content: no template has it."""
-    return element is not None and element.main and not element.around
-
-
 def occurrences(page: str) -> Counter:
     """(hash, parent's hash or None) of the page's tokens, each with its count; the root token occurs once in any page."""
     found = Counter({(ROOT, None): 1})
     for kind, element, block in tokens(page):
         if kind == "open":
             found[element.path, element.above] += 1
-        elif not _marked_up(element):
+        else:
             found[_hash("text", block), None] += 1
     return found
 
 
+def nested(classes: list[list[tuple[int, int | None]]]) -> list[int]:
+    """The tokens of the classes that nest, each class whole or not at all; classes hold (token, parent's token or None)."""
+    kept: set[int] = set()
+    left = classes
+    while True:
+        fits = [any(parent is None or parent in kept for _, parent in c) for c in left]
+        if not any(fits):
+            return sorted(kept)
+        kept.update(token for c, fit in zip(left, fits) if fit for token, _ in c)
+        left = [c for c, fit in zip(left, fits) if not fit]
+
+
 def templates(pages: DataFrame, html: str = "html", host: str = "__host") -> DataFrame:
-    """(host, pages, template: the hashes of the template's tokens) from pages with a host column."""
-    rows = pages.select(F.col(host).alias("host"), F.xxhash64(html, F.col(host)).alias("page"), F.col(html).alias("html"))
+    """(host, pages: its distinct pages, template: the hashes of the template's tokens) from pages with a host column."""
+    body = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.col(host).alias("host"), F.xxhash64(body, F.col(host)).alias("page"), body.alias("html"))
     workers_find_package(pages.sparkSession)
+    found = "array<struct<token:bigint,parent:bigint,n:bigint>>"
 
     def emit(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = [(h, p, t, parent, n) for h, p, x in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist()) for (t, parent), n in occurrences(x or "").items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "page", "token", "parent", "n"])
+        for batch in (part for whole in batches for part in pieces(whole)):
+            made = [[{"token": t, "parent": parent, "n": n} for (t, parent), n in occurrences(x).items()] for x in batch.column("html").to_pylist()]
+            kind = pa.list_(pa.struct([(name, pa.int64()) for name in ("token", "parent", "n")]))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(made, kind)], names=["host", "page", "found"])
 
-    seen = rows.mapInArrow(emit, "host string, page bigint, token bigint, parent bigint, n bigint")
+    # Copies of a page are one page: dropped before anything is counted.
+    seen = rows.mapInArrow(emit, f"host string, page bigint, found {found}").dropDuplicates(["host", "page"]).select("host", "page", F.inline("found"))
     mixed = F.xxhash64("page", "n")
     half = lambda at: F.sum(F.shiftrightunsigned(mixed, at).bitwiseAND(0xFFFFFFFF))
     vectors = seen.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), half(0).alias("v1"), half(32).alias("v2"))
-    vectors = materialize(vectors, "html_vectors")
+    # Most tokens are texts of a single page; roots, which say how many pages a host has, occur once in each.
+    vectors = materialize(vectors.where((F.col("total") == F.col("pages")) & ((F.col("pages") > 1) | F.col("parent").isNotNull() | (F.col("token") == ROOT))), "html_vectors")
     roots = vectors.where(F.col("token") == ROOT).select("host", F.col("pages").alias("all"))
-    often = (F.col("pages") >= SUPPORT * F.col("all")) & (F.col("total") == F.col("pages"))
+    often = F.col("pages") >= SUPPORT * F.col("all")
     textual = F.col("parent").isNull() & (F.col("all") < LEAST_PAGES) & (F.col("token") != ROOT)
     valid = vectors.join(roots, "host").where(often & ~textual)
-    # Classes by vector; a class is nested if some member hangs on a token of a valid class (texts hang on their slot).
-    inside = valid.select("host", F.col("token").alias("parent"))
-    nested = valid.where("parent IS NULL").select("host", "token", "v1", "v2").union(valid.join(inside, ["host", "parent"]).select("host", "token", "v1", "v2"))
-    classes = nested.groupBy("host", "v1", "v2").agg(F.collect_set("token").alias("tokens"))
+    classes = valid.groupBy("host", "all", "v1", "v2").agg(F.collect_list(F.struct("token", "parent")).alias("tokens"))
     # A template is no longer than twice a page: each of its tokens is in half of the pages or more.
-    made = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-    return made.join(roots, "host").select("host", F.col("all").alias("pages"), "template")
+    made = classes.groupBy("host", F.col("all").alias("pages")).agg(F.collect_list("tokens").alias("classes"))
+    return arrow_map(made, "template array<bigint>", lambda b: [[nested([[(x["token"], x["parent"]) for x in c] for c in row]) for row in b.column("classes").to_pylist()]], ["host", "pages"])
 
 
 def main_text(page: str, template: frozenset[int]) -> tuple[str, int]:
     """The page's main text and the number of slots that hold it."""
     found: list[tuple[bool, int, str]] = []
-    slot = 0
+    slot, marked = 0, False
     for kind, element, block in tokens(page):
         if kind == "open":
             slot += element.path in template
             continue
         if element is not None and (element.around == "out" or element.around == "header" and not (element.main and element.heading)):
             continue
-        if not _marked_up(element) and _hash("text", block) in template:
-            continue
-        found.append((element is not None and element.main, slot, block))
-    if any(main for main, _, _ in found):
+        main = element is not None and element.main
+        marked |= main
+        if _hash("text", block) not in template:
+            found.append((main, slot, block))
+    # An article whose text is all template leaves the page empty; what is around it doesn't step in.
+    if marked:
         found = [x for x in found if x[0]]
     return "\n\n".join(x for _, _, x in found), len({s for _, s, _ in found})
 
@@ -210,7 +219,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     """pages with text (the main text, empty if there is none) and n_slots (the slots it came from)."""
     hosted = with_host(pages, url)
     found = materialize(templates(hosted, html), "html_templates")
-    hot = found.where(F.col("pages") * HOT >= (found.agg(F.sum("pages")).first()[0] or 0))
+    rows_of = materialize(hosted.groupBy(F.col("__host").alias("host")).agg(F.count(F.lit(1)).alias("rows")), "html_hosts")
+    hot = found.join(rows_of.where(F.col("rows") * HOT >= (rows_of.agg(F.sum("rows")).first()[0] or 0)), "host")
     kept = [c for c in others(pages, "text", "n_slots") if keep is None or c in keep]
     rows = hosted.select(F.struct(F.lit(True).alias("__here"), *(F.col(f"`{c}`") for c in kept)).alias("__row"), F.col(html).alias("__html"), "__host")
     # At most HOT hosts have so many pages; their templates go everywhere, and their pages spread by row instead of host.

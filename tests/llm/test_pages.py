@@ -110,6 +110,22 @@ def test_template_text_is_no_slot(spark):
     assert {(r["page_id"], r["text"]) for r in got} == {(i, f"item {i} is nice\n\nnumber {i * 7}") for i in range(8)}
 
 
+def test_template_decides_inside_articles(spark):
+    page = lambda i: f"<nav>menu</nav><article><p>Read our <b>terms</b> first</p><h1>T{i}</h1><p>item {i} is nice</p></article>"
+    rows = [(i, "http://one/", page(i)) for i in range(8)] + [(100 + i, "http://two/", page(i)) for i in range(3)]
+    rows += [(200 + i, "http://copies/", page(50)) for i in range(9)] + [(300 + i, "http://copies/", page(i)) for i in range(5)]
+    rows += [(400, "http://one/", "<p>around</p><article><p>Read our <b>terms</b> first</p></article>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"T{i}\n\nitem {i} is nice" for i in range(8)} | {100 + i: f"Read our terms first\n\nT{i}\n\nitem {i} is nice" for i in range(3)}
+    want |= {200 + i: "T50\n\nitem 50 is nice" for i in range(9)} | {300 + i: want[i] for i in range(5)} | {400: ""}
+    assert got == want
+
+
+def test_classes_nest_whole():
+    root = html_text.ROOT
+    assert html_text.nested([[(root, None)], [(1, root), (2, 99)], [(3, 2)], [(4, 98), (5, 4)], [(6, 5)]]) == sorted([root, 1, 2, 3])
+
+
 @pytest.mark.parametrize("page,text", [
     ("<main><p>a<p>b<br>c&lt;d<div class='comments'><p>no</p></div></main><aside>x</aside>", "a\n\nb c<d"),
     ("<article><header><h1>T</h1><p>by me</p></header><p>x<script>var a='</p>'</script>y</p></article>", "T\n\nxy"),
