@@ -9,7 +9,8 @@ itself, and all that share a probe link to the probe's smallest. Two fingerprint
 at most two bits, so this finds the same components with work in proportion to the fingerprints.
 
 Null, empty and space-only texts have fingerprint zero and link like any other. Fewer words than a shingle make one
-shingle of all words. Repeated rows are rows of the same group; null ids lose against all others. Other columns may have
+shingle of all words. Repeated rows are rows of the same group; null ids lose against all others; groups are
+known by fingerprint, so ids that several groups share, or none, keep a row for each group. Other columns may have
 any names.
 """
 
@@ -89,21 +90,31 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return near.union(probes.join(least, "probe").where("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
+def _rooted(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """nodes (distinct fingerprints in column fp) with root: the fingerprint that stands for their component."""
+    roots = connected_components(links(nodes.select("fp"), crowd))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(prints: DataFrame, doc_id: str = "doc_id", fp: str = "fp", crowd: int = CROWD) -> DataFrame:
     """prints with component_id: the smallest id of the rows whose fingerprints are linked, directly or in steps."""
     nodes = materialize(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "simhash_nodes")
-    roots = connected_components(links(nodes.select("fp"), crowd))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(nodes, crowd)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fp").alias("__node"), "component_id")
     return prints.drop("component_id").join(named, F.col(fp) == F.col("__node")).drop("__node")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs' rows that stay, with docs' columns: of each group the one with the smallest id (one of the rows that have it)."""
-    prints = materialize(fingerprints(docs, text, "__fp", [doc_id]), "simhash_prints")
-    kept = near_groups(prints, doc_id, "__fp").where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__id")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"))
-    stay = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    one = Window.partitionBy("__id").orderBy(F.lit(1))
-    return stay.withColumn("__n", F.row_number().over(one)).where("__n = 1").select("__row.*")
+    """docs' rows that stay, with docs' columns: of each group one row, the first by id (nulls last), fingerprint and hash
+    of id and text; of rows that agree in id and text any one."""
+    said = (F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+    keys = [F.xxhash64(*said).alias("__a"), F.xxhash64(F.lit(1), *said).alias("__b")]
+    prints = fingerprints(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), *keys), "__text", "__fp", ["__id", "__a", "__b"])
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__fp", "__a", "__b"))
+    nodes = materialize(prints.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "simhash_nodes")
+    kept = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.__a", "first.__b")
+    # Rows that agree in id and text meet in one task only after each task has kept one of them.
+    one = Window.partitionBy("__a", "__b").orderBy(F.lit(1))
+    rows = docs.select(F.struct("*").alias("__row"), *keys).withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return rows.join(kept, ["__a", "__b"], "left_semi").select("__row.*")

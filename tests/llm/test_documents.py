@@ -127,6 +127,23 @@ def test_simhash_documents(docs, raw, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_shared_ids(spark):
+    import random
+
+    r = random.Random(6)
+    made = [" ".join(r.choice("abcdefghijklm") * r.randint(2, 6) for _ in range(60)) for _ in range(30)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(made)]
+    rows += [(None, made[0])] * 5 + [(None, made[1]), (3, made[2].upper()), (50, made[3]), (50, made[4].upper())]
+    roots = linked({simhash.fingerprint(t) for _, t in rows})
+    stay = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(roots[simhash.fingerprint(x["text"])] for x in stay) == Counter(set(roots.values()))
+    first = {}
+    for i, t in rows:
+        root = roots[simhash.fingerprint(t)]
+        first[root] = min(first.get(root, math.inf), math.inf if i is None else i)
+    assert all(first[roots[simhash.fingerprint(x["text"])]] == (math.inf if x["doc_id"] is None else x["doc_id"]) for x in stay)
+
+
 def test_mixing(docs, raw, none):
     got = mixing.copies(docs).collect()
     size = {}
