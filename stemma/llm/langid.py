@@ -2,10 +2,12 @@
 
 A text is lower-cased, everything but letters becomes one space, and its character n-grams (n in NGRAMS, none across a
 space) are hashed into BUCKETS rows of an embedding table; their mean goes through a linear softmax. Both tables are
-trained by stochastic gradient descent in numpy on the driver, on a bounded sample of labelled rows: SAMPLE rows of each
-of the LABELS most frequent labels, no longer than SAMPLE_CHARS, chosen by a hash of the id and the text. The sample's texts are cut at spaces
-into pieces of several lengths, so that short texts are known too. A part of the sample that training doesn't see sets the temperature
-and the rejection bound: the share REJECT of known texts falls below it.
+trained by stochastic gradient descent in numpy on the driver, on a bounded sample of labelled rows: every label has up
+to SAMPLE rows, fewer if all labels together would have more than ROWS, but one at least. Rows are chosen by a hash of
+the id and the text; of a text longer than SAMPLE_CHARS a piece of that length counts, from a place that the hash gives.
+The sample's texts are cut at spaces into pieces of several lengths, so that short texts are known too. A part of the
+sample that training doesn't see (every fifth text of a label) sets the temperature and the rejection bound: the share
+REJECT of known texts falls below it.
 
 Null, empty and letterless texts are `und` with score 0. Prediction reads the text only. With no labelled row at all
 every text is `und`. Columns of the input with the name of an output are replaced.
@@ -13,6 +15,7 @@ every text is `und`. Columns of the input with the name of an output are replace
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import arrow_map, workers_find_package
+from stemma.sources.shared import materialize
 
 NGRAMS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 16, 12
-LABELS, SAMPLE, SAMPLE_CHARS, PIECES = 100, 600, 8000, (12, 40, 150, 600, 3000)
+SAMPLE, ROWS, SAMPLE_CHARS, PIECES = 600, 20_000, 8000, (12, 40, 150, 600, 3000)
 EPOCHS, RATE = 4, 0.5
 #: Share of known texts of 20 letters and more that may be rejected, and the confidence that is never rejected.
 REJECT, SURE = 0.0005, 0.5
@@ -66,20 +70,24 @@ def subwords(text: str) -> np.ndarray:
 @dataclass
 class Model:
     labels: list[str]
-    #: BUCKETS x labels: the embeddings times the output layer, as nothing lies between them.
+    #: The embeddings, BUCKETS x WIDTH; for fewer labels than WIDTH times the output layer, as nothing lies between them.
     table: np.ndarray
+    #: WIDTH x labels, or None if table has it.
+    out: np.ndarray | None
     bias: np.ndarray
     temperature: float
     bound: float
 
     def logits(self, text: str) -> np.ndarray | None:
-        total, n = np.zeros(len(self.labels)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for at in range(0, len(text), SPAN):
             found = subwords(text[at : at + SPAN])
             if len(found):
                 total += self.table[found].sum(0, dtype=np.float64)
                 n += len(found)
-        return total / n + self.bias if n else None
+        if not n:
+            return None
+        return (total / n if self.out is None else total / n @ self.out) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         z = self.logits(text) if text and self.labels else None
@@ -102,17 +110,19 @@ def _cut(text: str, length: int) -> str:
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Trains on texts with their labels; every fifth text only calibrates."""
+    """Trains on texts with their labels; every fifth text of a label only calibrates."""
     names = sorted(set(labels))
     index = {name: i for i, name in enumerate(names)}
     rng = np.random.default_rng(seed)
     train, held = [], []
-    for i, (text, label) in enumerate(zip(texts, labels)):
+    nth = dict.fromkeys(names, -1)
+    for text, label in zip(texts, labels):
+        nth[label] += 1
         for length in PIECES:
             at = int(rng.integers(0, max(1, len(text) - length)))
             piece = _cut(text[at and text.find(" ", at) + 1 :], length)
             if len(found := subwords(piece)):
-                (held if i % 5 == 4 else train).append((*np.unique(found, return_counts=True), len(found), index[label]))
+                (held if nth[label] % 5 == 4 else train).append((*np.unique(found, return_counts=True), len(found), index[label]))
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (WIDTH, max(1, len(names)))).astype(np.float32), np.zeros(max(1, len(names)), np.float32)
     steps = EPOCHS * max(1, len(train))
@@ -130,33 +140,42 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         bias -= rate * error
         # Each n-gram of the text moves the table by its share; the scale makes up for the shares' smallness.
         embed[buckets] -= rate * np.minimum(share * 50, 1)[:, None] * back
-    table = embed @ out
-    z = [(table[b] * (c / n)[:, None]).sum(0) + bias for b, c, n, _ in held]
+    z = [(c / n) @ embed[b] @ out + bias for b, c, n, _ in held]
     right = [label for *_, label in held]
     losses = {t: -sum(np.log(max(_softmax(x / t)[y], 1e-12)) for x, y in zip(z, right)) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     temperature = min(losses, key=losses.get) if held else 1.0
     sure = sorted(float(_softmax(x / temperature).max()) for x, (_, _, n, _) in zip(z, held) if n >= 60)
     bound = min(SURE, sure[int(REJECT * len(sure))]) if sure else 0.0
-    return Model(names, table, bias, temperature, bound)
+    few = len(names) < WIDTH
+    return Model(names, embed @ out if few else embed, None if few else out, bias, temperature, bound)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fits on sample rows of each label. docs: the rows that may be learned from."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.char_length("text").between(20, SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
-    # A label's share of the hash range holds twice the sample; so a scan sends the driver no more than that, however many
-    # tasks it has. Rows that agree in id and text count once.
-    bounds = {r["lang"]: min(2**63 - 1, int(2**63 * 2 * sample / r["count"])) for r in counts}
-    if not bounds:
+    """Fits on rows of every label, sample of each at most. docs: the rows that may be learned from."""
+    spare = F.char_length(text) - SAMPLE_CHARS
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), spare.alias("spare"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("place", F.col("h").bitwiseAND(2**63 - 1))
+    # Rows that agree in id and text count once; the first place is taken anyhow, as a label's number of rows is estimated.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("place").alias("least"))
+    counts = materialize(counts, "langid_counts")
+    n = counts.count()
+    if not n:
         return fit([], [])
-    bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))[F.col("lang")]
-    chosen = rows.where(F.col("h").bitwiseAND(2**63 - 1) <= bound).dropDuplicates(["h", "lang"]).limit(4 * sample * len(bounds)).collect()
+    sample = max(1, min(sample, ROWS // n))
+    # A label's share of the hash range holds twice the sample; so a scan sends the driver no more than that, however many
+    # tasks it has. One row a label is broadcast, as the model is.
+    share = F.least(F.lit(float(2**63 - 1024)), F.lit(2.0**64 * sample) / F.col("n")).cast("long")
+    bounds = counts.select("lang", F.when(F.col("n") <= sample, 2**63 - 1).otherwise(F.greatest(share, F.col("least"))).alias("bound"))
+    piece = F.when(F.col("spare") > 0, F.col("text").substr((1 + F.pmod("h", F.col("spare") + 1)).cast("int"), F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    chosen = rows.join(F.broadcast(bounds), "lang").where("place <= bound").select("h", "lang", piece.alias("text"))
+    mine = defaultdict(list)
+    for r in chosen.dropDuplicates(["h", "lang"]).collect():
+        mine[r["lang"]].append((r["h"], r["text"]))
     texts, labels = [], []
-    for name in bounds:
-        mine = sorted((r["h"], r["text"]) for r in chosen if r["lang"] == name)[:sample]
-        texts += [t for _, t in mine]
-        labels += [name] * len(mine)
+    for name in sorted(mine):
+        found = sorted(mine[name])[:sample]
+        texts += [t for _, t in found]
+        labels += [name] * len(found)
     return fit(texts, labels)
 
 
@@ -164,7 +183,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """docs with the columns out: the language, the calibrated probability, and whether the text is rejected (no letters,
     or a probability below the bound)."""
     workers_find_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels numbers, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + labels rows of WIDTH numbers at most, whatever the input
 
     def batch(b: pa.RecordBatch) -> list:
         m = shared.value

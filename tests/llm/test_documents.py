@@ -254,6 +254,22 @@ def test_language(spark, docs, raw, none):
     assert {(x["lang_pred"], x["score"]) for x in langid.identify(docs, empty).collect()} == {("und", 0.0)} and langid.identify(none, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    import random
+
+    r = random.Random(9)
+    alphabets = [[chr(0x4E00 + 10 * i + k) for k in range(10)] for i in range(130)]
+    said = lambda i, n: " ".join("".join(r.choice(alphabets[i]) for _ in range(4)) for _ in range(n))
+    size = lambda i: 2500 if i == 0 else 2 if i == 1 else 12
+    made = [(i * 10 + k % 6, said(i, size(i)), f"l{i:03d}") for i in range(130) for k in range(1 if i == 129 else 60 if i == 1 else 6)]
+    made += [(i * 10 + 9, said(i, size(i)), f"l{i:03d}") for i in (0, 1, 2, 129)] * 2
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.train(table.where("doc_id % 10 < 6"))
+    assert model.labels == sorted({lang for *_, lang in made})
+    found = langid.identify(table.where("doc_id % 10 = 9"), model).collect()
+    assert len(found) == 8 and all(x["lang"] == x["lang_pred"] for x in found)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
