@@ -2,7 +2,7 @@
 
 Base spans (e-mail, IP, card, phone) follow fixed patterns and checks and always stay. Generators of high recall propose
 further, overlapping spans: written-out e-mail addresses, phone numbers without a country code, account and social
-security numbers, assigned secrets. Each candidate gets features of its form and its surroundings, and gradient-boosted
+security numbers, assigned secrets of any length. Each candidate gets features of its form and its surroundings, and gradient-boosted
 trees, written out as CASE expressions, give it a score. A candidate above its kind's threshold is added unless it
 overlaps a base span or an added one with a better score. The trees are trained on the driver on a fixed number of
 generated examples (EXAMPLES), whose features come from the same expressions; half of the examples set the thresholds.
@@ -40,7 +40,7 @@ PROPOSED = {
     "email_words": EDGE + r"[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?)[A-Za-z0-9-]++)++",
     "iban": EDGE + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?" + NO_EDGE,
     "phone_local": r"(?<![A-Za-z0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}" + NO_EDGE,
-    "secret": r"(?i)" + EDGE + r"(?:api[_-]?key|access[_-]?key|token|secret|passwd|password)\x20?[=:]\x20?\"?[A-Za-z0-9_/+.-]{8,200}+\"?",
+    "secret": r"(?i)" + EDGE + r"(?:api[_-]?key|access[_-]?key|token|secret|passwd|password)\x20?[=:]\x20?\"?[A-Za-z0-9_/+.-][A-Za-z0-9_/+.=-]{7,}+\"?" + NO_EDGE,
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
 }
 PROPOSED_HINT = {"email_words": r"(?i)[\[({]at[\])}]", "iban": r"[A-Z]{2}[0-9]{2}", "phone_local": r"[0-9]{3}\)?[\x20.-][0-9]{3}", "secret": r"(?i)(?:key|token|secret|passwd|password)\x20?[=:]", "ssn": r"[0-9]{3}-[0-9]{2}-"}
@@ -117,6 +117,13 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str, float]]:
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
     words = lambda k: " ".join(word() for _ in range(k))
     code = lambda k, letters: "".join(r.choice(letters) for _ in range(k))
+    # Half of the secrets are longer, up to some thousand characters, plain or in parts or padded; they have their own source of chance.
+    own = random.Random(seed + 1)
+    part = lambda k: "".join(own.choice("0123456789abcdefABCDEFghkmz") for _ in range(k))
+
+    def longer() -> str:
+        k = int(2 ** own.uniform(5.5, 12))
+        return own.choice([part(k), part(k), part(k) + own.choice(["=", "=="]), f"eyJ{part(k // 3)}.eyJ{part(k // 2)}.{part(43)}", f"{part(k)}_{part(9)}-{part(9)}"])
 
     def one(kind: str, good: bool) -> str:
         if kind == "email_words":
@@ -130,6 +137,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str, float]]:
         if kind == "secret":
             name, sign = r.choice(["token", "api_key", "secret", "password"]), r.choice([" = ", "=", ": "])
             value = code(r.randint(16, 44), "0123456789abcdefABCDEFghkmz") if good else r.choice(["required", "optional", "undefined", word() + word() + "ab"])
+            value = longer() if good and own.random() < 0.5 else value
             return f'{name}{sign}"{value}"' if r.random() < 0.6 else f"{name}{sign}{value}"
         return f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}" if good else f"{r.choice(['000', '999', '950'])}-{digits(2)}-{digits(4)}"
 

@@ -307,6 +307,18 @@ def test_pii(spark, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("size", [100, 360, 5000, 20_000])
+def test_long_secrets(spark, size):
+    import random
+
+    r = random.Random(size)
+    code = lambda n: "".join(r.choice("0123456789abcdefABCDEFghkmz") for _ in range(n))
+    values = [code(size), code(size) + "==", f"eyJ{code(size)}.eyJ{code(size)}.{code(40)}", f"{code(size)}_=-{code(9)}="]
+    rows = [(i, f'auth token = "{v}" ends') for i, v in enumerate(values)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), pii.train(spark))
+    assert [x[0] for x in found.orderBy("doc_id").select(pii.redact(found, "text")).collect()] == ["auth [secret] ends"] * len(rows)
+
+
 def test_pipeline_stages(spark, docs, raw, none):
     shaped = docs.select("doc_id", "text", "lang", "source", "n_chars")
     kept = shaped
