@@ -1,25 +1,36 @@
-"""Language-model scores by a weighted backoff automaton of smoothed word n-grams (order two).
+"""Language-model scores by a weighted backoff automaton of smoothed word n-grams (order three).
 
-The automaton has a state for each history word and one, the root, without history. State h has an arc for each word w
-that followed h in training, with weight (c(hw) + MU * p(w)) / (c(h) + MU), and a failure arc to the root with weight
-MU / (c(h) + MU); the root's arcs have p(w) = (c(w) - d) / N, and what the discount d takes off is p of the unknown word,
-so that every state's weights add up to one. d comes from the numbers of words seen once and twice. A text is traversed
-once from left to right, carrying the state: its token's arc is taken, or else the failure arc and the root's arc.
+The automaton has the root, which knows no history; a state for each word seen in training and for the start of a text;
+and a state for each pair of words seen LEAST times or more. A state h with count c(h) has an arc for each word w that
+followed it, of weight (c(hw) + mu p(w|h')) / (c(h) + mu), and a failure arc of weight mu / (c(h) + mu) to h', the state
+without h's first word; mu is the order's of MU. The root's arcs have p(w) = (c(w) - d) / N, and what the discount d
+takes off is p of the unknown word, so that every state's weights add up to one. d comes from the numbers of words seen
+once and twice. A text is read once from left to right: from the state that its last words lead to, a token follows its
+arc, or else failure arcs, until a state has one; the logarithms of the weights on the way add up.
 
 Nothing of the model is held in one place, as it grows with the corpus:
-1. Texts are packed into blocks of about BLOCK_BYTES, written compressed.
-2. Each block sends its distinct words and word pairs, as 64-bit hashes with their training counts, to shards of the hash
+1. Texts are packed into blocks of about BLOCK_BYTES: the block's distinct words as hashes, and its tokens as numbers.
+2. Each block sends its distinct words, pairs and triples as hashes, with their training counts, to shards of the hash
    range. A block has a key once however frequent it is, so shards are even; their number grows with the corpus.
 3. Each shard adds up its keys' counts over all blocks and sends every block the totals in the order it sent the keys.
 4. Each block thereby has the part of the automaton that its texts can reach, and scores them.
+A block sends to 2**FAN ranges at most. Where the corpus needs more shards, what some 2**FAN blocks sent to one range is
+merged into one block of the next level, which sends to the next bits' ranges and hands its totals down again: messages
+stay as many as the blocks times a constant and each level, whatever the corpus.
 
-Words are keyed by 64 bits of hash: two words of a corpus share one with a chance of about V * V / 2**65.
+Words are keyed by 64 bits of hash: two words of a corpus share one with a chance of about V * V / 2**65. Pairs and
+triples are keyed by KEY_BITS more bits than it takes to number the tokens, 64 at most: a key shares its place with
+another one with a chance of 2**-KEY_BITS.
 Null and empty texts are the end token alone. Null ids are in the fold of the empty id. Repeated rows are scored and
-counted each. Without any training row both scores are zero. Columns other than id and text play no part.
+counted each. Without any training row both scores are zero. Columns other than id and text play no part. A very long
+text is a block of its own.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,39 +43,65 @@ from pyspark.sql.pandas.types import to_arrow_type
 from stemma.llm.common import pieces, workers_find_package
 from stemma.sources.shared import materialize
 
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 12 << 20
-MU = 500.0
+BLOCK_BYTES, SHARD_BYTES, FAN = 8 << 20, 12 << 20, 8
+#: Smoothing of the states of one word and of two; how often a pair was seen to be a state.
+MU, LEAST = (500.0, 8.0), 2
+KEY_BITS = 24
 END, START = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-WORDS, PAIRS = 1, 2
+ORDERS = ("words", "pairs", "triples")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte of their significance, so that the high zeros compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(_planes(x), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
+    return _from_planes(pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.empty(0, kind)
 
 
 def pack(docs: DataFrame, text: str, doc_id: str, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks (block, bytes, ids, held, texts): texts is the blocks' lower-cased words, a line for each document."""
+    """Blocks (block, bytes, n_words, n_tokens, ids, held, words: hashes, tokens: places among words; 0 ends a text)."""
     id_type = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("texts", T.BinaryType())])
+    schema = T.StructType([*T.StructType.fromDDL("block bigint, bytes bigint, n_words bigint, n_tokens bigint"), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL("held array<boolean>, words binary, tokens binary")])
     id_arrow = to_arrow_type(id_type)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
 
     def run(batches):
         first, made = TaskContext.get().partitionId() << 32, 0
-        ids, held, lines, size = [], [], [], 0
+        ids, held, said, size = [], [], [], 0
+        places = defaultdict(count(1).__next__)
+        ends = np.zeros(1, np.uint32)
 
         def block():
             nonlocal made, size
-            packed = pa.compress(b"\n".join(lines), codec="zstd", asbytes=True)
-            out = pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([size]), pa.array([ids], pa.list_(id_arrow)), pa.array([held], pa.list_(pa.bool_())), pa.array([packed], pa.binary())], names=schema.names)
+            words = np.fromiter((END, *map(xxhash.xxh64_intdigest, places)), np.uint64, len(places) + 1)
+            tokens = np.concatenate(said)
+            cells = [pa.array([x]) for x in (first + made, size, len(words), len(tokens))]
+            out = pa.RecordBatch.from_arrays([*cells, pa.array([ids], pa.list_(id_arrow)), pa.array([held], pa.list_(pa.bool_())), pa.array([_packed(words)], pa.binary()), pa.array([_packed(tokens)], pa.binary())], names=schema.names)
             made, size = made + 1, 0
-            for x in (ids, held, lines):
+            for x in (ids, held, said, places):
                 x.clear()
+            places.default_factory = count(1).__next__
             return out
 
         for batch in (part for whole in batches for part in pieces(whole)):
             for i, body, fold in zip(*(batch.column(n).to_pylist() for n in ("id", "text", "held"))):
-                line = b" ".join((body or "").encode("utf-8", "surrogatepass").lower().split())
+                words = (body or "").encode("utf-8", "surrogatepass").lower().split()
                 ids.append(i)
                 held.append(fold)
-                lines.append(line)
-                size += len(line) + 1
+                said.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+                said.append(ends)
+                size += len(body or "") + 1
                 if size >= block_bytes:
                     yield block()
         if ids:
@@ -73,137 +110,203 @@ def pack(docs: DataFrame, text: str, doc_id: str, held_out: Column, block_bytes:
     return rows.mapInArrow(run, schema)
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = a * np.uint64(0x9E3779B185EBCA87) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0x165667B19E3779F9)
+    mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
 class Block:
-    """One block's tokens as keys: distinct keys in order, each token's place among them, and training counts."""
-
-    def __init__(self, size: int, held: list[bool], texts: bytes):
-        lines = pa.decompress(texts, decompressed_size=max(0, size - 1), codec="zstd", asbytes=True).split(b"\n")
-        hashes: dict[bytes, int] = {}
-        known = hashes.get
-        per_doc = []
-        for line in lines:
-            words = line.split()
-            for w in words:
-                if known(w) is None:
-                    hashes[w] = xxhash.xxh64_intdigest(w)
-            per_doc.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        self.lengths = np.fromiter((len(x) + 1 for x in per_doc), np.int64, len(per_doc))
-        end, start = np.array([END], np.uint64), np.array([START], np.uint64)
-        tokens = np.concatenate([x for d in per_doc for x in (d, end)])
-        history = np.concatenate([x for d in per_doc for x in (start, d)])
-        mixed = history * np.uint64(0x9E3779B185EBCA87) + tokens * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0x165667B19E3779F9)
-        mixed ^= mixed >> np.uint64(32)
-        self.train = np.repeat(~np.array(held, bool), self.lengths)
-        self.keys, self.place = {}, {}
-        for kind, found in ((WORDS, tokens), (PAIRS, mixed)):
-            self.keys[kind], self.place[kind] = np.unique(found, return_inverse=True)
-
-    def counts(self, kind: int) -> np.ndarray:
-        return np.bincount(self.place[kind][self.train], minlength=len(self.keys[kind])).astype(np.uint32)
+    """One block's n-grams as keys: for each order the distinct keys, ascending, each token's place among them, and
+    training counts. A text's first token has no triple; its key is that of the pair."""
+
+    def __init__(self, row: dict, width: int):
+        hashes = _unpacked(row["words"], row["n_words"], np.uint64)
+        numbers = _unpacked(row["tokens"], row["n_tokens"], np.uint32)
+        stops = np.flatnonzero(numbers == 0)
+        self.lengths = np.diff(stops, prepend=-1)
+        self.starts = stops - self.lengths + 1
+        self.train = np.repeat(~np.array(row["held"], bool), self.lengths)
+        tokens = hashes[numbers]
+        before = np.concatenate((np.zeros(1, np.uint64), tokens[:-1]))
+        before[self.starts] = START
+        pairs = _mix(before, tokens)
+        history = np.concatenate((np.zeros(1, np.uint64), pairs[:-1]))
+        triples = _mix(history ^ np.uint64(0x27D4EB2F165667C5), tokens)
+        triples[self.starts] = pairs[self.starts]
+        drop = np.uint64(64 - width)
+        # A block's words are told apart by their bytes already; two with one hash are one key all the same.
+        words, same = np.unique(hashes, return_inverse=True)
+        self.keys, self.place = {"words": words}, {"words": same[numbers]}
+        for name, found in (("pairs", pairs >> drop), ("triples", triples >> drop)):
+            self.keys[name], self.place[name] = np.unique(found, return_inverse=True)
+
+    def counts(self, order: str) -> np.ndarray:
+        return np.bincount(self.place[order][self.train], minlength=len(self.keys[order])).astype(np.int64)
+
+
+#: A message: the keys of each order in steps, and their counts.
+MESSAGE = "shard bigint, block bigint, " + ", ".join(f"{o} binary, n_{o} binary" for o in ORDERS)
+#: Its answer: the total counts in the order of the keys; or, without block, a shard's sums over words.
+ANSWER = "shard bigint, block bigint, " + ", ".join(f"n_{o} binary" for o in ORDERS) + ", total bigint, distinct bigint, once bigint, twice bigint"
+SUMS = ("total", "distinct", "once", "twice")
+
+
+ARROW = {"bigint": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ARROW[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _split(block: int, found: dict[str, tuple[np.ndarray, np.ndarray]], widths: dict[str, int], bits: int):
+    """The messages of a block's (keys, counts) of each order, by the keys' first bits."""
+    shards, cuts = set(), {}
+    for o, (keys, _) in found.items():
+        shard = (keys >> np.uint64(widths[o] - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        named, at = np.unique(shard, return_index=True)
+        cuts[o] = dict(zip(named.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(keys)])))
+        shards.update(cuts[o])
+    for shard in sorted(shards):
+        cells = []
+        for o, (keys, n) in found.items():
+            at, to = cuts[o].get(shard, (0, 0))
+            cells += [_planes(np.diff(keys[at:to], prepend=np.uint64(0))), _planes(n[at:to])]
+        yield _batch(MESSAGE, [(shard, block, *cells)])
+
+
+def _heard(table: pa.Table) -> tuple[list[int], dict[str, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]:
+    """The blocks of some messages, in order, and by order: the distinct keys, their total counts, each block's places."""
+    made = {}
+    for o in ORDERS:
+        keys = [np.cumsum(_from_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column(o)]
+        n = [_from_planes(x.as_py(), np.int64) for x in table.column(f"n_{o}")]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate(n), len(distinct)).astype(np.int64)
+        made[o] = distinct, total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    return table.column("block").to_pylist(), made
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Integers byte by byte of their significance, so that the high zeros compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _answers(shard: int, blocks: list[int], totals: dict[str, np.ndarray], places: dict[str, list[np.ndarray]]) -> list[tuple]:
+    return [(shard, block, *(_planes(totals[o][places[o][i]]) for o in ORDERS), None, None, None, None) for i, block in enumerate(blocks)]
 
 
-def _from_planes(raw: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(schema, rows)])
 
 
-def _blocks(batch: pa.RecordBatch | pa.Table):
-    for i in range(batch.num_rows):
-        yield batch.column("block")[i].as_py(), Block(batch.column("bytes")[i].as_py(), batch.column("held")[i].as_py(), batch.column("texts")[i].as_py())
+def _leaf(sent: DataFrame) -> DataFrame:
+    def run(key, table):
+        blocks, made = _heard(table)
+        words = made["words"][1]
+        sums = [int(x) for x in (words.sum(), (words > 0).sum(), (words == 1).sum(), (words == 2).sum())]
+        rows = _answers(key[0].as_py(), blocks, {o: made[o][1] for o in ORDERS}, {o: made[o][2] for o in ORDERS})
+        return _table(ANSWER, [*rows, (key[0].as_py(), None, None, None, None, *sums)])
 
+    return sent.groupBy("shard").applyInArrow(run, ANSWER)
 
-def send_keys(blocks: DataFrame, bits: int) -> DataFrame:
-    """(kind, shard, block, keys, n): each block's distinct keys by shard, ascending, with their training counts."""
 
-    def run(batches):
-        for batch in batches:
-            for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
-                for block, made in _blocks(one):
-                    for kind in (WORDS, PAIRS):
-                        keys, n = made.keys[kind], made.counts(kind)
-                        shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                        cuts = np.flatnonzero(np.diff(shard)) + 1
-                        for at, to in zip([0, *cuts], [*cuts, len(keys)]):
-                            steps = np.diff(keys[at:to], prepend=np.uint64(0))
-                            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard[at]], pa.int64()), pa.array([block], pa.int64()), pa.array([_planes(steps)], pa.binary()), pa.array([_planes(n[at:to])], pa.binary())], names=["kind", "shard", "block", "keys", "n"])
+def add_up(sent: DataFrame, steps: list[int], widths: dict[str, int], blocks: int) -> DataFrame:
+    """The answers to messages sent by steps[0] bits; steps: the bits of each level. blocks: how many sent to each shard."""
+    if len(steps) == 1:
+        return _leaf(sent)
+    groups = -(-blocks // (1 << FAN))
+    sent = materialize(sent.withColumn("merged", F.col("shard") * groups + F.pmod(F.xxhash64("block"), F.lit(groups))), "lm_messages")
 
-    return blocks.select("block", "bytes", "held", "texts").mapInArrow(run, "kind int, shard bigint, block bigint, keys binary, n binary")
+    def merge(key, table):
+        _, made = _heard(table)
+        return pa.Table.from_batches(list(_split(key[0].as_py(), {o: made[o][:2] for o in ORDERS}, widths, steps[1])) or [_batch(MESSAGE, [])])
 
+    below = add_up(sent.groupBy("merged").applyInArrow(merge, MESSAGE), steps[1:], widths, groups)
+    below = materialize(below, "lm_answers")
 
-TOTALS = "kind int, shard bigint, block bigint, counts binary, total bigint, distinct bigint, once bigint, twice bigint"
+    def hand_down(key, left, right):
+        if not left.num_rows:
+            return _table(ANSWER, [])
+        names, made = _heard(left)
+        totals = {o: _joined(right, o) for o in ORDERS}
+        # A group has messages of one shard only.
+        return _table(ANSWER, _answers(left.column("shard")[0].as_py(), names, totals, {o: made[o][2] for o in ORDERS}))
 
+    answers = sent.groupBy("merged").cogroup(below.where("block IS NOT NULL").withColumnRenamed("block", "merged").groupBy("merged")).applyInArrow(hand_down, ANSWER)
+    return answers.union(below.where("block IS NULL").select(below.columns))
 
-def add_up(sent: DataFrame) -> DataFrame:
-    """Each block's keys' total counts, in its order; and a row without block for each shard, with the shard's sums."""
 
-    def run(key, table):
-        kind, shard = (x.as_py() for x in key)
-        blocks = table.column("block").to_pylist()
-        keys = [np.cumsum(_from_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
-        counts = [_from_planes(x.as_py(), np.uint32) for x in table.column("n")]
-        lengths = list(map(len, keys))
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, np.concatenate(counts))
-        back = np.split(total[place], np.cumsum(lengths)[:-1])
-        n = len(blocks)
-        sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
-        return pa.table([pa.array([kind] * (n + 1), pa.int32()), pa.array([shard] * (n + 1), pa.int64()), pa.array([*blocks, None], pa.int64()), pa.array([*map(_planes, back), None], pa.binary()),
-                         *(pa.array([None] * n + [x], pa.int64()) for x in sums)], names=["kind", "shard", "block", "counts", "total", "distinct", "once", "twice"])
+def _joined(answers: pa.Table, order: str) -> np.ndarray:
+    """One block's total counts, from its answers of all shards."""
+    mine = sorted(zip(answers.column("shard").to_pylist(), answers.column(f"n_{order}").to_pylist()))
+    return np.concatenate([np.empty(0, np.int64), *(_from_planes(n, np.int64) for _, n in mine)])
+
+
+def send_keys(blocks: DataFrame, bits: int, width: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                made = Block(row, width)
+                yield from _split(row["block"], {o: (made.keys[o], made.counts(o)) for o in ORDERS}, {"words": 64, "pairs": width, "triples": width}, bits)
 
-    return sent.groupBy("kind", "shard").applyInArrow(run, TOTALS)
+    return blocks.drop("ids", "bytes").mapInArrow(run, MESSAGE)
 
 
-def traverse(block: Block, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int, discount: float, mu: float = MU) -> list[np.ndarray]:
+def traverse(block: Block, totals: dict[str, np.ndarray], total: int, distinct: int, discount: float, mu: tuple[float, float] = MU, least: int = LEAST) -> list[np.ndarray]:
     """n_tokens, n_known, base_score and score of each of the block's documents, from its keys' total counts."""
-    c, cc = words[block.place[WORDS]], pairs[block.place[PAIRS]]
-    starts = np.concatenate(([0], np.cumsum(block.lengths)[:-1]))
+    c, pair, triple = (totals[o][block.place[o]] for o in ORDERS)
+    starts = block.starts
     base = np.log10((c + 1) / (total + distinct + 1))
+    score = base
     if total:
-        root = np.where(c > 0, c - discount, discount * distinct) / total
-        at_end = words[np.searchsorted(block.keys[WORDS], np.uint64(END))]
-        came = np.concatenate(([0], c[:-1]))  # the history's count; a text's first token follows the start, seen once in each text
-        came[starts] = at_end
-        arc = np.where(cc > 0, (cc + mu * root) / (came + mu), 0.0)
-        fail = mu / (came + mu) * root
-        score = np.log10(np.where(cc > 0, arc, fail))
-    else:
-        score = base
+        at_end = totals["words"][np.searchsorted(block.keys["words"], np.uint64(END))]
+        one = np.concatenate(([0], c[:-1]))  # the last word's count; a text's first token follows the start, seen once in each text
+        one[starts] = at_end
+        two = np.concatenate(([0], pair[:-1]))
+        two[starts] = 0
+        weight = np.where(c > 0, c - discount, discount * distinct) / total
+        arcs, fails = [weight], [None]
+        for followed, came, m in ((pair, one, mu[0]), (triple, two, mu[1])):
+            weight = (followed + m * weight) / (came + m)
+            arcs.append(np.where(followed > 0, weight, 0.0))
+            fails.append(m / (came + m))
+        # Where each token is read from, and down the failure arcs until a state has an arc for it.
+        state = np.where(two >= least, 2, np.where(one > 0, 1, 0))
+        score = np.zeros(len(c))
+        for order in (2, 1, 0):
+            here = state == order
+            found = here & (arcs[order] > 0) if order else here
+            score[found] += np.log10(arcs[order][found])
+            lost = here & ~found
+            if order:
+                score[lost] += np.log10(fails[order][lost])
+            state[found], state[lost] = -1, order - 1
     return [block.lengths, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", mu: float = MU, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", mu: tuple[float, float] = MU, least: int = LEAST, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from
     the rows that aren't held out."""
     workers_find_package(docs.sparkSession)
     blocks = materialize(pack(docs, text, doc_id, held_out, block_bytes), "lm_blocks")
-    size = blocks.agg(F.sum("bytes")).first()[0] or 0
+    size, tokens, n = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_tokens")), F.count(F.lit(1))).first()
     bits = max(0, int(np.ceil(np.log2(max(1, size / shard_bytes)))))
-    totals = materialize(add_up(send_keys(blocks, bits)), "lm_totals")
-    sums = totals.where(F.col("block").isNull() & (F.col("kind") == WORDS)).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "once", "twice"))).first()
-    total, distinct, once, twice = sums
+    width = min(64, int(np.ceil(np.log2(tokens + 1))) + KEY_BITS)
+    levels = max(1, -(-bits // fan))
+    steps = [bits * (i + 1) // levels - bits * i // levels for i in range(levels)]
+    totals = materialize(add_up(send_keys(blocks, steps[0], width), steps, {"words": 64, "pairs": width, "triples": width}, n), "lm_totals")
+    total, distinct, once, twice = totals.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in SUMS)).first()
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05
     id_type = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")])
 
     def run(key, left, right):
         out = []
-        for _, block in _blocks(left):
-            back = {}
-            for kind in (WORDS, PAIRS):
-                mine = sorted((s.as_py(), c.as_py()) for k, s, c in zip(right.column("kind"), right.column("shard"), right.column("counts")) if k.as_py() == kind)
-                back[kind] = np.concatenate([_from_planes(c, np.int64) for _, c in mine])
-            made = traverse(block, back[WORDS], back[PAIRS], total, distinct, discount, mu)
-            out.append(pa.table([left.column("ids")[0].values, left.column("held")[0].values, *map(pa.array, made)], names=schema.names))
+        for i in range(left.num_rows):
+            block = Block(left.drop_columns(["ids"]).slice(i, 1).to_pylist()[0], width)
+            made = traverse(block, {o: _joined(right, o) for o in ORDERS}, total, distinct, discount, mu, least)
+            out.append(pa.table([left.column("ids")[i].values, left.column("held")[i].values, *map(pa.array, made)], names=schema.names))
         return pa.concat_tables(out) if out else pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema]).empty_table()
 
-    back = totals.where(F.col("block").isNotNull()).select("block", "kind", "shard", "counts")
+    back = totals.where("block IS NOT NULL").drop(*SUMS)
     scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

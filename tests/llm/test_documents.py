@@ -173,30 +173,41 @@ def test_mixing(docs, raw, none):
     assert mixing.copies(none).count() == mixing.mix(none).count() == 0
 
 
-def test_lm(docs, raw, none):
-    got = {(r["id"], r["n_tokens"]): r for r in lm.score(docs, fold("doc_id", 7) == 2, block_bytes=9000, shard_bytes=20_000).collect()}
+@pytest.mark.parametrize("shard_bytes,fan", [(20_000, 8), (200, 2), (1 << 30, 8)], ids=["one level", "many levels", "one shard"])
+def test_lm(docs, raw, none, shard_bytes, fan):
+    got = {(r["id"], r["n_tokens"]): r for r in lm.score(docs, fold("doc_id", 7) == 2, block_bytes=9000, shard_bytes=shard_bytes, fan=fan).collect()}
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     token = lambda t: [w.lower() for w in words(t)] + [None]
-    c, cc = Counter(), Counter()
+    c, cc, ccc = Counter(), Counter(), Counter()
     for r in raw:
         if not held(r[0]):
-            w = token(r[1])
-            c.update(w)
-            cc.update(zip([0, *w[:-1]], w))
+            w = [0, *token(r[1])]
+            c.update(w[1:])
+            cc.update(zip(w, w[1:]))
+            ccc.update(zip(w, w[1:], w[2:]))
     n, v = sum(c.values()), len(c)
     once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
     d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    seen = lambda w: c[None] if w == 0 else c[w]
+    one = lambda w: (c[w] - d if c[w] else d * v) / n
+    two = lambda a, w: (cc[a, w] + lm.MU[0] * one(w)) / (seen(a) + lm.MU[0])
+
+    def chance(a, b, w):
+        """After b alone (a is None), or after a and b."""
+        if a is None or cc[a, b] < lm.LEAST:
+            return two(b, w)
+        return (ccc[a, b, w] + lm.MU[1] * two(b, w)) / (cc[a, b] + lm.MU[1])
+
+    assert len(got) == len({(r[0], len(token(r[1]))) for r in raw}) and any(x >= lm.LEAST for x in cc.values())
     for r in raw:
         w = token(r[1])
         x = got[r[0], len(w)]
         assert (x["held_out"], x["n_known"], x["train_tokens"]) == (held(r[0]), sum(c[k] > 0 for k in w), n)
         assert math.isclose(x["base_score"], sum(math.log10((c[k] + 1) / (n + v + 1)) for k in w), rel_tol=1e-9)
-        root = lambda k: (c[k] - d if c[k] else d * v) / n
-        want = sum(math.log10((cc[p, k] + lm.MU * root(k)) / ((c[None] if p == 0 else c[p]) + lm.MU)) for p, k in zip([0, *w[:-1]], w))
-        assert math.isclose(x["score"], want, rel_tol=1e-9)
+        assert math.isclose(x["score"], sum(math.log10(chance(*h)) for h in zip([None, 0, *w], [0, *w], w)), rel_tol=1e-9)
     # The states' weights add up to one over the known words and the unknown one.
-    for p in (b"one", 0):
-        assert math.isclose(sum((cc[p, k] + lm.MU * root(k)) / ((c[None] if p == 0 else c[p]) + lm.MU) for k in [*c, b"unknown"]), 1, rel_tol=1e-9)
+    for a, b in ((None, b"one"), (None, 0), max(cc, key=cc.get)):
+        assert math.isclose(sum(chance(a, b, k) for k in [*c, b"unknown"]), 1, rel_tol=1e-9)
     assert lm.score(none, fold("doc_id", 7) == 2).count() == 0
     assert all(r["base_score"] == r["score"] == 0 for r in lm.score(docs, F.lit(True)).collect())
 
