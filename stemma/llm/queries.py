@@ -95,7 +95,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.train(spark)).select("doc_id", "base", "added")
     counts = [F.size(f"base.{kind}").cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("base", "added").alias("spans"))
+    every = (sum((F.size(f"base.{kind}") for kind in pii.BASE), F.size("added"))).cast("long")
+    return found.select("doc_id", *counts, F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("base", "added").alias("spans"), every.alias("n_spans"))
 
 
 QUERIES = {"op5_lm": op5_lm, "op2_html": op2_html, "op10_pii": op10_pii, "op7_warc": op7_warc, "op6_quality": op6_quality, "op3_mixing": op3_mixing, "op9_language_id": op9_language_id, "op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash}
