@@ -29,6 +29,7 @@ text is a block of its own.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
@@ -46,7 +47,7 @@ from stemma.sources.shared import materialize
 BLOCK_BYTES, SHARD_BYTES, FAN = 8 << 20, 12 << 20, 8
 #: Smoothing of the states of one word and of two; how often a pair was seen to be a state.
 MU, LEAST = (500.0, 8.0), 2
-KEY_BITS = 24
+KEY_BITS = 20
 END, START = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 ORDERS = ("words", "pairs", "triples")
 
@@ -62,17 +63,19 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(_planes(x), codec="zstd", asbytes=True) if len(x) else b""
+    """The integers, 64 bits each, compressed; their number first."""
+    return len(x).to_bytes(8, "little") + (pa.compress(_planes(x), codec="zstd", asbytes=True) if len(x) else b"")
 
 
-def _unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
-    return _from_planes(pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.empty(0, kind)
+def _unpacked(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return _from_planes(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), kind) if n else np.empty(0, kind)
 
 
 def pack(docs: DataFrame, text: str, doc_id: str, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks (block, bytes, n_words, n_tokens, ids, held, words: hashes, tokens: places among words; 0 ends a text)."""
+    """Blocks (block, bytes, n_tokens, ids, held, words: hashes, tokens: places among words; 0 ends a text)."""
     id_type = docs.schema[doc_id].dataType
-    schema = T.StructType([*T.StructType.fromDDL("block bigint, bytes bigint, n_words bigint, n_tokens bigint"), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL("held array<boolean>, words binary, tokens binary")])
+    schema = T.StructType([*T.StructType.fromDDL("block bigint, bytes bigint, n_tokens bigint"), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL("held array<boolean>, words binary, tokens binary")])
     id_arrow = to_arrow_type(id_type)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), held_out.alias("held"))
 
@@ -85,8 +88,8 @@ def pack(docs: DataFrame, text: str, doc_id: str, held_out: Column, block_bytes:
         def block():
             nonlocal made, size
             words = np.fromiter((END, *map(xxhash.xxh64_intdigest, places)), np.uint64, len(places) + 1)
-            tokens = np.concatenate(said)
-            cells = [pa.array([x]) for x in (first + made, size, len(words), len(tokens))]
+            tokens = np.concatenate(said).astype(np.uint64)
+            cells = [pa.array([x]) for x in (first + made, size, len(tokens))]
             out = pa.RecordBatch.from_arrays([*cells, pa.array([ids], pa.list_(id_arrow)), pa.array([held], pa.list_(pa.bool_())), pa.array([_packed(words)], pa.binary()), pa.array([_packed(tokens)], pa.binary())], names=schema.names)
             made, size = made + 1, 0
             for x in (ids, held, said, places):
@@ -119,32 +122,37 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """One block's n-grams as keys: for each order the distinct keys, ascending, each token's place among them, and
-    training counts. A text's first token has no triple; its key is that of the pair."""
+    """One block's tokens and their n-grams as hashes. A text's first token has no triple; its key is that of the pair."""
 
     def __init__(self, row: dict, width: int):
-        hashes = _unpacked(row["words"], row["n_words"], np.uint64)
-        numbers = _unpacked(row["tokens"], row["n_tokens"], np.uint32)
-        stops = np.flatnonzero(numbers == 0)
+        self.hashes = _unpacked(row["words"], np.uint64)
+        self.numbers = _unpacked(row["tokens"], np.uint64).astype(np.uint32)
+        self.width = width
+        stops = np.flatnonzero(self.numbers == 0)
         self.lengths = np.diff(stops, prepend=-1)
         self.starts = stops - self.lengths + 1
-        self.train = np.repeat(~np.array(row["held"], bool), self.lengths)
-        tokens = hashes[numbers]
-        before = np.concatenate((np.zeros(1, np.uint64), tokens[:-1]))
-        before[self.starts] = START
-        pairs = _mix(before, tokens)
-        history = np.concatenate((np.zeros(1, np.uint64), pairs[:-1]))
-        triples = _mix(history ^ np.uint64(0x27D4EB2F165667C5), tokens)
-        triples[self.starts] = pairs[self.starts]
-        drop = np.uint64(64 - width)
-        # A block's words are told apart by their bytes already; two with one hash are one key all the same.
-        words, same = np.unique(hashes, return_inverse=True)
-        self.keys, self.place = {"words": words}, {"words": same[numbers]}
-        for name, found in (("pairs", pairs >> drop), ("triples", triples >> drop)):
-            self.keys[name], self.place[name] = np.unique(found, return_inverse=True)
-
-    def counts(self, order: str) -> np.ndarray:
-        return np.bincount(self.place[order][self.train], minlength=len(self.keys[order])).astype(np.int64)
+        self.held = np.array(row["held"], bool)
+
+    def keys(self, order: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of an order, ascending, and each token's place among them."""
+        if order == "words":  # two words with one hash are one key
+            words, place = np.unique(self.hashes, return_inverse=True)
+            return words, place.astype(np.uint32)[self.numbers]
+        tokens = self.hashes[self.numbers]
+        found = _mix(np.concatenate((np.zeros(1, np.uint64), tokens[:-1])), tokens)
+        found[self.starts] = _mix(np.full(len(self.starts), START, np.uint64), tokens[self.starts])
+        if order == "triples":
+            first = found[self.starts]
+            found = _mix(np.concatenate((np.zeros(1, np.uint64), found[:-1])) ^ np.uint64(0x27D4EB2F165667C5), tokens)
+            found[self.starts] = first
+        found >>= np.uint64(64 - self.width)
+        distinct, place = np.unique(found, return_inverse=True)
+        return distinct, place.astype(np.uint32)
+
+    def counted(self, order: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys and their training counts."""
+        keys, place = self.keys(order)
+        return keys, np.bincount(place[np.repeat(~self.held, self.lengths)], minlength=len(keys)).astype(np.int64)
 
 
 #: A message: the keys of each order in steps, and their counts.
@@ -174,7 +182,7 @@ def _split(block: int, found: dict[str, tuple[np.ndarray, np.ndarray]], widths:
         cells = []
         for o, (keys, n) in found.items():
             at, to = cuts[o].get(shard, (0, 0))
-            cells += [_planes(np.diff(keys[at:to], prepend=np.uint64(0))), _planes(n[at:to])]
+            cells += [_packed(np.diff(keys[at:to], prepend=np.uint64(0))), _packed(n[at:to])]
         yield _batch(MESSAGE, [(shard, block, *cells)])
 
 
@@ -182,16 +190,19 @@ def _heard(table: pa.Table) -> tuple[list[int], dict[str, tuple[np.ndarray, np.n
     """The blocks of some messages, in order, and by order: the distinct keys, their total counts, each block's places."""
     made = {}
     for o in ORDERS:
-        keys = [np.cumsum(_from_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column(o)]
-        n = [_from_planes(x.as_py(), np.int64) for x in table.column(f"n_{o}")]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column(o)]
+        n = [_unpacked(x.as_py()) for x in table.column(f"n_{o}")]
+        lengths = [len(k) for k in keys]
+        keys = np.concatenate(keys)
+        distinct, place = np.unique(keys, return_inverse=True)
+        place = place.astype(np.uint32)
         total = np.bincount(place, np.concatenate(n), len(distinct)).astype(np.int64)
-        made[o] = distinct, total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+        made[o] = distinct, total, np.split(place, np.cumsum(lengths)[:-1])
     return table.column("block").to_pylist(), made
 
 
 def _answers(shard: int, blocks: list[int], totals: dict[str, np.ndarray], places: dict[str, list[np.ndarray]]) -> list[tuple]:
-    return [(shard, block, *(_planes(totals[o][places[o][i]]) for o in ORDERS), None, None, None, None) for i, block in enumerate(blocks)]
+    return [(shard, block, *(_packed(totals[o][places[o][i]]) for o in ORDERS), None, None, None, None) for i, block in enumerate(blocks)]
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -238,7 +249,7 @@ def add_up(sent: DataFrame, steps: list[int], widths: dict[str, int], blocks: in
 def _joined(answers: pa.Table, order: str) -> np.ndarray:
     """One block's total counts, from its answers of all shards."""
     mine = sorted(zip(answers.column("shard").to_pylist(), answers.column(f"n_{order}").to_pylist()))
-    return np.concatenate([np.empty(0, np.int64), *(_from_planes(n, np.int64) for _, n in mine)])
+    return np.concatenate([np.empty(0, np.int64), *(_unpacked(n) for _, n in mine)])
 
 
 def send_keys(blocks: DataFrame, bits: int, width: int) -> DataFrame:
@@ -246,19 +257,25 @@ def send_keys(blocks: DataFrame, bits: int, width: int) -> DataFrame:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 made = Block(row, width)
-                yield from _split(row["block"], {o: (made.keys[o], made.counts(o)) for o in ORDERS}, {"words": 64, "pairs": width, "triples": width}, bits)
+                yield from _split(row["block"], {o: made.counted(o) for o in ORDERS}, {"words": 64, "pairs": width, "triples": width}, bits)
 
     return blocks.drop("ids", "bytes").mapInArrow(run, MESSAGE)
 
 
-def traverse(block: Block, totals: dict[str, np.ndarray], total: int, distinct: int, discount: float, mu: tuple[float, float] = MU, least: int = LEAST) -> list[np.ndarray]:
-    """n_tokens, n_known, base_score and score of each of the block's documents, from its keys' total counts."""
-    c, pair, triple = (totals[o][block.place[o]] for o in ORDERS)
+def traverse(block: Block, totals: Callable[[str], np.ndarray], total: int, distinct: int, discount: float, mu: tuple[float, float] = MU, least: int = LEAST) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of each of the block's documents; totals: its keys' total counts by order."""
+    counts = []
+    for o in ORDERS:
+        keys, place = block.keys(o)
+        mine = totals(o)
+        counts.append(mine[place])
+        if o == "words":
+            at_end = mine[np.searchsorted(keys, np.uint64(END))]
+    c, pair, triple = counts
     starts = block.starts
     base = np.log10((c + 1) / (total + distinct + 1))
     score = base
     if total:
-        at_end = totals["words"][np.searchsorted(block.keys["words"], np.uint64(END))]
         one = np.concatenate(([0], c[:-1]))  # the last word's count; a text's first token follows the start, seen once in each text
         one[starts] = at_end
         two = np.concatenate(([0], pair[:-1]))
@@ -303,7 +320,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         out = []
         for i in range(left.num_rows):
             block = Block(left.drop_columns(["ids"]).slice(i, 1).to_pylist()[0], width)
-            made = traverse(block, {o: _joined(right, o) for o in ORDERS}, total, distinct, discount, mu, least)
+            made = traverse(block, lambda o: _joined(right, o), total, distinct, discount, mu, least)
             out.append(pa.table([left.column("ids")[i].values, left.column("held")[i].values, *map(pa.array, made)], names=schema.names))
         return pa.concat_tables(out) if out else pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema]).empty_table()
 
