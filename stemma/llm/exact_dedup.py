@@ -1,10 +1,14 @@
 """Exact duplicates by a log-structured merge index over text digests; DataFrame functions only.
 
-* Memtable: a task sorts the digests of its split and flushes them as one run, a Parquet file with a Bloom filter.
-* Compaction merges the runs into one sorted table that keeps, for each digest, the smallest id and the row count.
-* Hits get byte verification: rows whose digest has copies (found through a bit filter of fixed size, so that rows
-  without copies never leave their split) are reduced to the least and the greatest text of each digest. The two are
-  equal exactly when all the bytes are. Should a digest join different texts, its rows are grouped by the text itself.
+* Memtable: a task sorts the digests of its split and flushes them as part of a run, Parquet files with Bloom filters,
+  which point lookups probe before they read a page.
+* Levels: every batch that is added is one run of level 0; FANOUT runs of a level are compacted into one run of the
+  next, sorted by digest, which keeps for each digest the smallest id and the number of rows. A run also has a bit filter
+  sized by its digests; whether a batch's digests are in the index is asked of the runs' filters first, so rows that
+  are new to all of them never leave their split.
+* Hits get byte verification: rows whose digest has copies (found through a bit filter of the digests that have some)
+  are reduced to the least and the greatest text of each digest. The two are equal exactly when all the bytes are.
+  Should a digest join different texts, its rows are grouped by the text itself.
 
 Nothing ever gathers the rows of a group: minima, maxima and counts combine before the shuffle, and the joins that hand
 a group's result back to its rows are plain equi-joins, which adaptive execution splits when one digest is hot.
@@ -15,15 +19,18 @@ that agree in text and id, one is kept. Other columns of the input play no part
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemma.llm.bit_filter import BitFilter
 from stemma.llm.common import SPACES
 from stemma.sources.shared import fresh_path, materialize
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-#: The hit filter has 2**FILTER_BITS bits, in words of 64: at most 16384 rows, whatever the input.
-FILTER_BITS = 20
+#: Runs of a level that make one run of the next.
+FANOUT = 4
 
 
 def normalized(text: str) -> Column:
@@ -34,57 +41,98 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-class DigestIndex:
-    """Sorted runs of (digest, id) below a folder, and the table that compaction makes of them."""
+@dataclass
+class Run:
+    """(digest, keep_id, group_size), sorted by digest in each file; of level 0 a row for each row that was added."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "digests")
-        self.table: DataFrame | None = None
+    level: int
+    table: DataFrame
+    #: Made when it is first asked.
+    filter: BitFilter | None = None
 
-    def flush(self, rows: DataFrame) -> DigestIndex:
-        """Adds rows (digest, id): each task writes its memtable as one sorted run."""
-        rows.sortWithinPartitions("digest", "id").write.mode("append").options(**BLOOM).parquet(f"{self.path}/runs")
-        self.schema = rows.select("digest", "id").schema
-        return self
+    def might_hold(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        self.filter = self.filter or BitFilter(self.table, "digest")
+        return self.filter.split(rows, "digest")
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/runs")
 
-    def compact(self) -> DigestIndex:
-        """Merges all runs: (digest, keep_id, group_size), sorted by digest within each file."""
-        merged = self.runs().groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        self.table = materialize(merged.sortWithinPartitions("digest"), "digest_index", **BLOOM)
+class DigestIndex:
+    """Runs of digests in levels, below a folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path or fresh_path(spark, "digests"), fanout
+        self.runs: list[Run] = []
+        self.made = 0
+
+    def _write(self, rows: DataFrame, level: int) -> Run:
+        path, self.made = f"{self.path}/run-{self.made:06d}-level-{level}", self.made + 1
+        rows.sortWithinPartitions("digest", "keep_id").write.options(**BLOOM).parquet(path)
+        return Run(level, self.spark.read.schema(rows.schema).parquet(path))
+
+    def flush(self, rows: DataFrame) -> Run:
+        """Adds rows (digest, id) as a run of level 0: each task writes its memtable sorted."""
+        run = self._write(rows.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size")), 0)
+        self.runs.append(run)
+        return run
+
+    def add(self, rows: DataFrame) -> DigestIndex:
+        """Flushes rows and compacts each level that is full."""
+        level = self.flush(rows).level
+        while len(full := [r for r in self.runs if r.level == level]) >= self.fanout:
+            self._merge(full, level + 1)
+            level += 1
         return self
 
-    def hit_filter(self) -> DataFrame:
-        """(word, bits): a bit for each digest that has copies."""
-        at = F.xxhash64("digest").bitwiseAND((1 << FILTER_BITS) - 1)
-        return (self.table.where("group_size > 1").select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(63).cast("int").alias("bit"))
-                .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
-
-
-def _hits(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows (with digest) that may have copies; a filter on each split, no shuffle of the rows."""
-    at = F.xxhash64("digest").bitwiseAND((1 << FILTER_BITS) - 1)
-    marked = rows.withColumns({"__word": F.shiftright(at, 6), "__bit": at.bitwiseAND(63).cast("int")})
-    words = F.broadcast(index.hit_filter())  # 2**14 rows of 16 bytes at most
-    return (marked.join(words, F.col("__word") == F.col("word"))
-            .where(F.expr("shiftright(bits, __bit) & 1 = 1")).drop("__word", "__bit", "word", "bits"))
-
+    def compact(self) -> DigestIndex:
+        """Merges all runs into one of the highest level."""
+        self._merge(self.runs, max(r.level for r in self.runs) + 1)
+        return self
 
-def _indexed(docs: DataFrame, text: str, doc_id: str, digest) -> tuple[DataFrame, DigestIndex, DataFrame | None]:
-    """docs' (id, norm, digest), the compacted index, and the digests that join different texts (None: there are none)."""
-    rows = docs.select(F.col(doc_id).alias("id"), normalized(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    index = DigestIndex(docs.sparkSession).flush(rows.select("digest", "id")).compact()
-    ends = _hits(rows, index).groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    def _merge(self, runs: list[Run], level: int) -> None:
+        merged = self._write(_merged(runs), level)
+        self.runs = [r for r in self.runs if r not in runs] + [merged]
+
+    def table(self) -> DataFrame:
+        """(digest, keep_id, group_size) of all that was added, one row for a digest."""
+        return self.runs[0].table if len(self.runs) == 1 and self.runs[0].level else _merged(self.runs)
+
+    def lookup(self, digest: bytes) -> DataFrame:
+        """The index's row of one digest; files whose Bloom filter or range lacks it aren't read."""
+        return _merged([Run(r.level, r.table.where(F.col("digest") == F.lit(bytearray(digest)))) for r in self.runs])
+
+    def known(self, rows: DataFrame) -> DataFrame:
+        """The rows (with digest) that the index has, with keep_id and group_size; only rows that a run's filter doesn't
+        rule out are joined with the run."""
+        found = [hit.join(run.table, "digest") for run in self.runs for hit in [run.might_hold(rows)[0]]]
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out.groupBy(*rows.columns).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
+def _merged(runs: list[Run]) -> DataFrame:
+    rows = runs[0].table
+    for r in runs[1:]:
+        rows = rows.unionByName(r.table)
+    return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
+def _indexed(rows: DataFrame) -> tuple[DataFrame, DataFrame, BitFilter, DataFrame | None]:
+    """For rows (id, norm, digest): the log (digest, id), the index's table, the filter of digests that have copies, and
+    the digests that join different texts (None: there are none)."""
+    index = DigestIndex(rows.sparkSession)
+    log = index.flush(rows.select("digest", "id")).table
+    table = index.compact().table()
+    copied = BitFilter(table.where("group_size > 1"), "digest")
+    ends = copied.split(rows, "digest")[0].groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
     mixed = materialize(ends.where("least <> greatest").select("digest"), "digest_collisions")
-    return rows, index, None if mixed.isEmpty() else mixed
+    return log.select("digest", F.col("keep_id").alias("id")), table, copied, None if mixed.isEmpty() else mixed
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=sha256) -> DataFrame:
     """One row per row of docs: (id, keep_id, group_size, kept, digest)."""
-    rows, index, mixed = _indexed(docs, text, doc_id, digest)
-    found = index.runs().groupBy("digest", "id").agg(F.count(F.lit(1)).alias("times")).join(index.table, "digest")
+    rows = docs.select(F.col(doc_id).alias("id"), normalized(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    log, table, _, mixed = _indexed(rows)
+    found = log.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("times")).join(table, "digest")
     if mixed is not None:
         found = found.join(mixed, "digest", "left_anti")
     columns = ["id", "keep_id", "group_size", "times", "digest"]
@@ -100,18 +148,18 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=sha256) -> DataFrame:
-    """docs' rows that stay, with docs' columns: of equal texts the one with the smallest id."""
-    _, index, mixed = _indexed(docs, text, doc_id, digest)
-    wide = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), normalized(text).alias("__norm")).withColumn("__digest", digest(F.col("__norm")))
-    keep = index.table.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"))
-    if mixed is not None:
-        mixed = mixed.withColumnRenamed("digest", "__digest")
-        keep = keep.join(mixed, "__digest", "left_anti")
-    same = (wide["__digest"] == keep["__digest"]) & wide["__id"].eqNullSafe(keep["__id"])
-    stay = wide.drop("__norm").join(keep, same, "left_semi")
-    ties = Window.partitionBy("__digest", "__id").orderBy(F.lit(1))
-    stay = stay.withColumn("__n", F.row_number().over(ties)).where("__n = 1").select("__row.*")
+    """docs' rows that stay, with docs' columns: of equal texts the one with the smallest id. Rows without copies are not
+    moved."""
+    wide = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("id"), normalized(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    _, table, copied, mixed = _indexed(wide.select("id", "norm", "digest"))
+    hits, alone = copied.split(wide, "digest")
     if mixed is not None:
-        by_text = Window.partitionBy("__digest", "__norm").orderBy(F.col("__id").asc_nulls_last())
-        stay = stay.union(wide.join(mixed, "__digest").withColumn("__n", F.row_number().over(by_text)).where("__n = 1").select("__row.*"))
-    return stay
+        by_text = Window.partitionBy("digest", "norm").orderBy(F.col("id").asc_nulls_last())
+        clashing = hits.join(mixed, "digest").withColumn("__n", F.row_number().over(by_text)).where("__n = 1").select("__row.*")
+        hits = hits.join(mixed, "digest", "left_anti")
+    keep = table.select(F.col("digest").alias("__digest"), "keep_id")
+    stay = hits.drop("norm").join(keep, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    # Rows that agree in id and text meet in one task only after each task has kept one of them.
+    ties = Window.partitionBy("digest", "id").orderBy(F.lit(1))
+    stay = stay.withColumn("__n", F.row_number().over(ties)).where("__n = 1").select("__row.*").union(alone.select("__row.*"))
+    return stay if mixed is None else stay.union(clashing)
