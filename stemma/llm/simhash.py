@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.llm.bit_filter import BitFilter
 from stemma.llm.common import arrow_map
 from stemma.operators.components import connected_components
 from stemma.sources.shared import materialize
@@ -111,10 +112,19 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     said = (F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
     keys = [F.xxhash64(*said).alias("__a"), F.xxhash64(F.lit(1), *said).alias("__b")]
     prints = fingerprints(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), *keys), "__text", "__fp", ["__id", "__a", "__b"])
+    prints = materialize(prints, "simhash_rows")
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__fp", "__a", "__b"))
-    nodes = materialize(prints.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "simhash_nodes")
-    kept = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.__a", "first.__b")
+    nodes = materialize(prints.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "simhash_nodes")
+    rooted = _rooted(nodes)
+    groups = materialize(rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1"), "simhash_groups")
+    kept = groups.select("first.__a", "first.__b")
+    grouped = rooted.select("fp", "root").join(groups.select("root"), "root").select("fp")
+    # Only rows of groups of two and more are moved; of the others none can go.
+    crowd = materialize(prints.join(grouped, F.col("__fp") == F.col("fp"), "left_semi").select("__a", "__b").distinct(), "simhash_grouped")
+    rows = docs.select(F.struct("*").alias("__row"), *keys)
+    hits, alone = BitFilter(crowd, "__a").split(rows, "__a")
+    missed = hits.join(crowd, ["__a", "__b"], "left_anti")  # what only the filter's crowding has hit
     # Rows that agree in id and text meet in one task only after each task has kept one of them.
     one = Window.partitionBy("__a", "__b").orderBy(F.lit(1))
-    rows = docs.select(F.struct("*").alias("__row"), *keys).withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return rows.join(kept, ["__a", "__b"], "left_semi").select("__row.*")
+    stay = hits.join(kept, ["__a", "__b"], "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return stay.select("__row.*").union(missed.select("__row.*")).union(alone.select("__row.*"))
