@@ -4,12 +4,16 @@ Among all document rates r with 0 <= r <= 3 whose words add up to each source's
 relative entropy to rate one. Its convex dual has one multiplier for each source's token constraint, and the primal
 optimum is exponentially tilted: r = min(3, exp(multiplier * size)). The multipliers are found by Newton steps inside a
 shrinking bracket; every step is one aggregation over the table of (source, size, number of documents), which map-side
-sums make small before anything is shuffled, so a source that holds a third of all rows is as cheap as any other.
+sums make small before anything is shuffled, so a source that holds a third of all rows is as cheap as any other. Sums of
+rates are sums of decimals, so they don't depend on the order of rows. Not to converge is an error.
 
 Rates become copies within the same table: going from the largest size to the smallest, each size gets the whole number
 of copies that brings the words taken so far closest to the words due so far (what a large document's whole copies miss
-is made up by the next sizes), so a source ends within about half of a small document of its target. A size's extra copies are dealt to its documents by id, within SUBS shares of a hash, so
-that a large group of equal sizes never meets in one task. A rerun gives the same copies.
+is made up by the next sizes), so a source ends within about half of a small document of its target. One task has the
+distinct sizes of a source, never its documents. A size's extra copies go to its documents with the least hashes of id and
+text, up to a bound found by counting hashes in ranges of RANGE documents or so: documents compare their own hash with
+it and never meet. Documents with the very hash of the bound (rows that agree in id and text) share what is left over by
+their place in the input. A rerun over the same files gives the same copies.
 
 Null text has size 0. Null sources are one source, the last in order. Documents of size 0 take no words and stay once.
 Rows that agree in id and text are documents of their own. Columns of the input may have any names.
@@ -27,35 +31,53 @@ from pyspark.sql import functions as F
 from stemma.llm.common import WORD, workers_find_package
 from stemma.sources.shared import materialize
 
-WEIGHTS, MOST, SUBS = (5.0, 2.0, 1.0), 3, 256
-STEPS, CLOSE = 60, 1e-7
+WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
+STEPS, CLOSE = 100, 1e-7
+#: Documents of one source and size in a range of hashes, about; cells (source, size) that are broadcast at most.
+RANGE, BROADCAST_CELLS = 4096, 100_000
+#: Sums of rates that come out alike in any order.
+EXACT = "decimal(38,9)"
 
 
 def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _placed(sources: DataFrame) -> DataFrame:
+    """sources with place, their number from 0 in order of source, nulls last: ranges are sorted apart, then counted."""
+    spread = sources.withColumn("last", F.col("source").isNull())
+    ordered = spread.repartitionByRange("last", "source").sortWithinPartitions("last", "source").withColumn("at", F.monotonically_increasing_id())
+    ordered = materialize(ordered.withColumn("range", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1)), "mixing_ordered")
+    seen, rows = 0, []
+    for r in ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect():  # one row for each partition
+        rows.append((r["range"], seen))
+        seen += r["n"]
+    first = sources.sparkSession.createDataFrame(rows, "range bigint, first bigint")
+    return ordered.join(F.broadcast(first), "range").withColumn("place", F.col("first") + F.col("at")).drop("range", "first", "at", "last")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(key, source_size, n_docs, least_size, target) from sizes (key, source, size, n); one row for each source.
 
-    A source is held at most * its size exactly if its share by weight of what those before it leave would be more, where
-    they are taken by their limit's ratio to their weight.
+    What is left is shared by weight; sources whose share is above their limit are held at it and the rest is shared
+    again, until none is above.
     """
     size = F.col("size")
     sources = sizes.groupBy("key", "source").agg(F.sum(size * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"),
                                                 F.min(F.when(size > 0, size)).alias("least_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    limit = most * F.col("source_size")
-    rated = sources.withColumn("weight", weight).withColumn("limit", limit.cast("double")).withColumn("ratio", F.col("limit") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", "key")
-    before, onward = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    held = rated.withColumn("level", level).withColumn("held", F.col("ratio") <= F.col("level"))
-    shared = F.min(F.when(~F.col("held"), F.struct("ratio", "key", "level"))).over(everything)
-    target = F.when(F.col("held"), F.col("limit")).otherwise(F.col("weight") * shared["level"])
-    return held.select("key", "source_size", "n_docs", "least_size", target.alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rated = _placed(sources).withColumn("weight", weight).withColumn("limit", (most * F.col("source_size")).cast("double"))
+    rated = materialize(rated.withColumn("ratio", F.col("limit") / F.col("weight")), "mixing_rated")
+    total = rated.agg(F.sum("source_size")).first()[0] or 0
+    level, before = 0.0, -1.0
+    while level != before:
+        held = F.col("ratio") <= level if before >= 0 else F.lit(False)
+        limits, whole = rated.agg(F.sum(F.when(held, F.col("limit")).cast(EXACT)), F.sum(F.when(~held, F.col("weight")).cast(EXACT))).first()
+        if not whole:
+            break
+        before, level = level, (total - float(limits or 0)) / float(whole)
+    target = F.when(F.col("ratio") <= level, F.col("limit")).otherwise(F.col("weight") * level)
+    return rated.select("key", "source_size", "n_docs", "least_size", target.alias("target"))
 
 
 def solve(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int = STEPS) -> DataFrame:
@@ -73,8 +95,8 @@ def solve(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
     fixed = ["key", "source_size", "n_docs", "least_size", "target", "mean_size"]
     for _ in range(steps):
         taken = (cells.join(state.select("key", "multiplier", "mean_size"), "key").groupBy("key")
-                 .agg(F.sum(words * F.least(tilt, F.lit(float(most)))).alias("taken"),
-                      F.sum(F.when(tilt < most, words * tilt * F.col("size") / F.col("mean_size")).otherwise(0.0)).alias("slope")))
+                 .agg(F.sum((words * F.least(tilt, F.lit(float(most)))).cast(EXACT)).cast("double").alias("taken"),
+                      F.sum(F.when(tilt < most, words * tilt * F.col("size") / F.col("mean_size")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope")))
         over = F.col("taken") - F.col("target")
         off = F.abs(over) / F.greatest("target", F.lit(1.0))
         stepped = state.join(taken, "key").withColumns({"lo": F.when(over < 0, F.col("multiplier")).otherwise(F.col("lo")), "hi": F.when(over > 0, F.col("multiplier")).otherwise(F.col("hi")), "off": off})
@@ -83,8 +105,8 @@ def solve(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
         moved = F.when(F.col("off") <= CLOSE, F.col("multiplier")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = materialize(stepped.select(*fixed, "lo", "hi", "off", moved.alias("multiplier")), "mixing_state")
         if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
-            break
-    return state.select(*fixed, F.round("multiplier", 12).alias("multiplier"))
+            return state.select(*fixed, F.round("multiplier", 12).alias("multiplier"))
+    raise ArithmeticError(f"the multipliers have not converged in {steps} steps")
 
 
 def _rounded(cells: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -102,30 +124,47 @@ def _rounded(cells: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame({"key": cells["key"], "size": size, "base": base, "extra": extra})
 
 
+def _bounds(rows: DataFrame, cells: DataFrame, largest: int) -> DataFrame:
+    """cells (key, size, base, extra) with bound, the extra-th least hash h of the cell's rows (key, size, h), and tied, the
+    share of the rows with that very hash that are among the extra ones."""
+    bits = max(0, math.ceil(math.log2(max(1, largest / RANGE))))
+    part = F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("bigint")
+    wanted = cells.where("extra > 0")
+    narrow = rows.select("key", "size", F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("u")).withColumn("part", part)
+    # u orders as unsigned what h orders as signed.
+    counted = narrow.join(wanted, ["key", "size"]).groupBy("key", "size", "part", "extra").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.sum("n").over(Window.partitionBy("key", "size").orderBy("part"))
+    met = counted.withColumn("seen", seen).where((F.col("seen") >= F.col("extra")) & (F.col("seen") - F.col("n") < F.col("extra")))
+    met = materialize(met.select("key", "size", "part", (F.col("extra") - F.col("seen") + F.col("n")).alias("left")), "mixing_ranges")
+    per = narrow.join(met, ["key", "size", "part"]).groupBy("key", "size", "left", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    seen = F.sum("n").over(Window.partitionBy("key", "size").orderBy("h"))
+    at = per.withColumn("seen", seen).where((F.col("seen") >= F.col("left")) & (F.col("seen") - F.col("n") < F.col("left")))
+    found = at.select("key", "size", F.col("h").alias("bound"), ((F.col("left") - F.col("seen") + F.col("n")) / F.col("n")).alias("tied"))
+    return cells.join(found, ["key", "size"], "left").select("key", "size", "base", "bound", "tied")
+
+
 def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, wide: bool = False) -> DataFrame:
     """(id, size, source_size, target, copies) for each row of docs; wide: also row, a struct of docs' columns."""
     workers_find_package(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    hashed = F.xxhash64(doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), key.alias("key"), size_of(text).alias("size"), hashed.alias("h"),
-                       F.pmod(hashed, F.lit(SUBS)).cast("int").alias("sub"), *[F.struct("*").alias("row")] * wide)
-    subs = materialize(rows.groupBy("key", "source", "size", "sub").agg(F.count(F.lit(1)).alias("n")), "mixing_sizes")
-    sizes = materialize(subs.groupBy("key", "source", "size").agg(F.sum("n").alias("n")), "mixing_sizes")
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("id"), key.alias("key"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"), *[F.struct("*").alias("row")] * wide)
+    narrow = docs.select(key.alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"))
+    narrow = materialize(narrow, "mixing_rows")
+    sizes = materialize(narrow.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing_sizes")
     sources = materialize(targets(sizes, weights, most), "mixing_targets")
     tilted = solve(sizes, sources, most)
     cells = sizes.where("size > 0").join(tilted, "key").select("key", "size", "n", "multiplier", "mean_size")
-    dealt = cells.groupBy("key").applyInPandas(lambda x: _rounded(x, most), "key string, size bigint, base bigint, extra bigint")
-    # A size's extra copies fall to its shares in proportion to their documents.
-    by_sub = Window.partitionBy("key", "size").orderBy("sub")
-    before, up_to = F.col("seen") - F.col("n"), F.col("seen")
-    share = lambda seen: F.floor(F.col("extra").cast("decimal(38,0)") * seen / F.col("all"))
-    split = (subs.withColumns({"seen": F.sum("n").over(by_sub), "all": F.sum("n").over(Window.partitionBy("key", "size"))})
-             .join(dealt, ["key", "size"], "left").withColumns({"base": F.coalesce("base", F.lit(1)), "extra": F.coalesce("extra", F.lit(0))})
-             .withColumn("more", (share(up_to) - share(before)).cast("long"))
-             .join(sources.select("key", "source_size", "target"), "key").select("key", "size", "sub", "base", "more", "source_size", "target"))
-    split = materialize(split, "mixing_copies")
-    place = F.row_number().over(Window.partitionBy("key", "size", "sub").orderBy(F.col("id").asc_nulls_last(), "h"))
-    found = rows.join(split, ["key", "size", "sub"]).withColumn("copies", F.col("base") + (place <= F.col("more")).cast("long"))
+    dealt = materialize(cells.groupBy("key").applyInPandas(lambda x: _rounded(x, most), "key string, size bigint, base bigint, extra bigint"), "mixing_copies")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    bounds = _bounds(narrow, dealt, largest)
+    every = sizes.select("key", "size").join(bounds, ["key", "size"], "left").join(sources.select("key", "source_size", "target"), "key")
+    every = materialize(every.withColumn("base", F.coalesce("base", F.lit(1))), "mixing_cells")
+    # Few cells go everywhere and rows stay where they are; otherwise rows meet their cell by an equi-join.
+    met = rows.join(F.broadcast(every) if every.count() <= BROADCAST_CELLS else every, ["key", "size"])
+    # Multiples of the golden section spread evenly over 0 to 1, in any stretch of a partition's rows.
+    chance = F.pmod((F.col("place").bitwiseAND((1 << 33) - 1) + F.pmod(F.xxhash64(F.shiftright("place", 33)), F.lit(1 << 20))) * 0.6180339887498949, F.lit(1.0))
+    more = F.coalesce((F.col("h") < F.col("bound")) | (F.col("h") == F.col("bound")) & (chance < F.col("tied")), F.lit(False))
+    found = met.withColumn("copies", F.col("base") + more.cast("long"))
     return found.select("id", "size", "source_size", "target", "copies", *["row"] * wide)
 
 

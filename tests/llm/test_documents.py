@@ -68,6 +68,51 @@ def test_exact_dedup(docs, raw, none, digest):
     assert exact_dedup.duplicate_groups(none).count() == exact_dedup.deduplicate(none).count() == 0
 
 
+def test_digest_index_levels(spark):
+    import random
+
+    r = random.Random(1)
+    digest = F.unhex(F.sha2(F.col("t").cast("string"), 256))
+    index, every = exact_dedup.DigestIndex(spark, fanout=2), []
+    for batch in range(7):  # a batch into an index that has runs already, again and again
+        rows = [(r.randint(0, 60), None if r.random() < 0.1 else batch * 100 + i) for i in range(40)]
+        added = spark.createDataFrame(rows, "t int, id long").withColumn("digest", digest)
+        if every:
+            known = {x["t"]: (x["keep_id"], x["group_size"]) for x in index.known(added.select("t", "digest").distinct()).collect()}
+            before = defaultdict(list)
+            for t, i in every:
+                before[t].append(i)
+            assert known == {t: (min((i for i in before[t] if i is not None), default=None), len(before[t])) for t, _ in rows if t in before}
+            hit, new = index.runs[0].might_hold(added)
+            assert hit.count() + new.count() == len(rows) and not set(x["digest"] for x in new.collect()) & set(x["digest"] for x in index.runs[0].table.collect())
+        index.add(added)
+        every += rows
+    assert [x.level for x in index.runs] == [2, 1, 0]
+    groups_of = defaultdict(list)
+    for t, i in every:
+        groups_of[t].append(i)
+    want = {hashlib.sha256(str(t).encode()).digest(): (min((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups_of.items()}
+    read = lambda df: {bytes(x["digest"]): (x["keep_id"], x["group_size"]) for x in df.collect()}
+    assert read(index.table()) == want
+    one = next(iter(want))
+    assert read(index.lookup(one)) == {one: want[one]} and read(index.lookup(b"none")) == {}
+    assert read(index.compact().table()) == want and len(index.runs) == 1
+
+
+@pytest.mark.parametrize("most_bits", [24, 0], ids=["filter", "keys"])
+def test_bit_filter(spark, most_bits):
+    from stemma.llm.bit_filter import BitFilter
+
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    rows = spark.range(3000).selectExpr("IF(id % 100 = 7, NULL, id) AS x", "'v' AS k")
+    hit, rest = BitFilter(keys, "k", most_bits).split(rows, "x")
+    got, left = [x["x"] for x in hit.collect()], [x["x"] for x in rest.collect()]
+    assert hit.columns == rest.columns == rows.columns and len(got) + len(left) == 3000 and left.count(None) == 30
+    assert not {x for x in left if x is not None and x % 3 == 0} and sum(x % 3 > 0 for x in got) <= (200 if most_bits else 0)
+    hit, rest = BitFilter(keys.where("false"), "k", most_bits).split(rows, "x")
+    assert hit.count() == 0 and rest.count() == 3000
+
+
 def linked(prints, distance=2):
     parent = {p: p for p in prints}
 
@@ -173,6 +218,44 @@ def test_mixing(docs, raw, none):
     assert mixing.copies(none).count() == mixing.mix(none).count() == 0
 
 
+def test_mixing_of_many_sources_and_equal_rows(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(7, "one and the same row", "hot")] * 4000 + [(i, " ".join("w" * r.randint(1, 5) for _ in range(r.randint(0, 40))), f"d{i % 97:03d}") for i in range(6000)] + [(None, "x y z", None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).cache()
+    got = mixing.copies(docs).collect()
+    assert sorted(map(str, mixing.copies(docs).collect())) == sorted(map(str, got)) and len(got) == len(rows)
+    size, kind = Counter(), {}
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    held = {}
+    while True:
+        level = (sum(size.values()) - sum(held.values())) / sum(w for s, w in weight.items() if s not in held)
+        over = {s: 3 * size[s] for s in size if s not in held and level * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        held |= over
+    want = {s: held.get(s, level * weight[s]) for s in size}
+    taken = Counter()
+    for x in docs.collect():
+        kind[x["doc_id"], x["text"]] = x["source"]
+    per = {(s, size[s]) for s in size}
+    by_target = defaultdict(set)
+    for x in got:
+        by_target[x["source_size"]].add(round(x["target"], 6))
+        taken[x["source_size"], round(x["target"], 6)] += x["copies"] * x["size"]
+    for s, n in per:
+        assert round(want[s], 6) in by_target[n] or any(math.isclose(t, want[s], rel_tol=1e-9) for t in by_target[n])
+    hot = [x for x in got if x["id"] == 7 and x["size"] == 5]
+    assert abs(sum(x["copies"] * 5 for x in hot if x["source_size"] == size["hot"]) - want["hot"]) <= 0.05 * want["hot"]
+    for (n, t), words_taken in taken.items():
+        share = sum(1 for s in size if size[s] == n and math.isclose(want[s], t, rel_tol=1e-6))
+        assert abs(words_taken - t * share) <= max(0.06 * t * share, 20 * share)
+
+
 @pytest.mark.parametrize("shard_bytes,fan", [(20_000, 8), (200, 2), (1 << 30, 8)], ids=["one level", "many levels", "one shard"])
 def test_lm(docs, raw, none, shard_bytes, fan):
     got = {(r["id"], r["n_tokens"]): r for r in lm.score(docs, fold("doc_id", 7) == 2, block_bytes=9000, shard_bytes=shard_bytes, fan=fan).collect()}
