@@ -21,10 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stemma.llm.common import arrow_map, others, workers_find_package
+from stemma.llm.common import arrow_map, others, pieces, workers_find_package
 
-CHUNK, OVERLAP = 1 << 16, 1 << 12
+CHUNK, OVERLAP = 1 << 14, 1 << 11
 #: A boundary so near the end of a chunk may depend on what follows: the longest contraction has three characters.
 UNSURE = 3
 
@@ -71,11 +72,26 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.finditer(pattern, text) if not m.group()[-1].isspace()]
 
 
+def _cut(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """Chunks (__rid, __row, __text, __k) of long texts; __row with a text's first chunk only."""
+    def run(batches):
+        for batch in (part for whole in batches for part in pieces(whole)):
+            of, first, k, parts = [], [], [], []
+            for i, x in enumerate(batch.column("__text").to_pylist()):
+                for n, at in enumerate(range(0, len(x), chunk)):
+                    of.append(i)
+                    first.append(None if n else i)
+                    k.append(n)
+                    parts.append(x[at : at + chunk + overlap])
+            yield pa.RecordBatch.from_arrays([batch.column("__rid").take(pa.array(of, pa.int32())), batch.column("__row").take(pa.array(first, pa.int32())), pa.array(parts, pa.string()), pa.array(k, pa.int32())], names=["__rid", "__row", "__text", "__k"])
+
+    rows = long.select("__rid", "__row", "__text")
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField("__k", T.IntegerType())]))
+
+
 def _stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """Pieces (__rid, __piece, __row, __text) of long texts; __row with a text's first piece only."""
-    at = F.col("__k") * chunk
-    cut = long.select("__rid", "__row", "__text", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("__text") - 1) / chunk).cast("int"))).alias("__k"))
-    cut = cut.select("__rid", "__k", F.when(F.col("__k") == 0, F.col("__row")).alias("__row"), F.substring("__text", at + 1, F.lit(chunk + overlap)).alias("__text"))
+    cut = _cut(long, chunk, overlap)
 
     def edges(b: pa.RecordBatch) -> list:
         head, tail = [], []
@@ -110,8 +126,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     rows = df.select(F.struct(F.lit(True).alias("__here"), *(F.col(f"`{c}`") for c in kept)).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     short = arrow_map(rows.where(F.char_length("__text") <= chunk), "__ids array<int>", _encoder(shared, pattern, "__text"), ["__row"])
     long = rows.where(F.char_length("__text") > chunk).withColumn("__rid", F.monotonically_increasing_id())
-    pieces = _stitched(long, pattern, chunk, overlap).repartition("__rid", "__piece")
-    coded = arrow_map(pieces, "__ids array<int>", _encoder(shared, pattern, "__text"), ["__rid", "__piece", "__row"])
+    stitched = _stitched(long, pattern, chunk, overlap).repartition("__rid", "__piece")
+    coded = arrow_map(stitched, "__ids array<int>", _encoder(shared, pattern, "__text"), ["__rid", "__piece", "__row"])
     joined = (coded.groupBy("__rid").agg(F.first("__row", True).alias("__row"), F.array_sort(F.collect_list(F.struct("__piece", "__ids"))).alias("__parts"))
               .select("__row", F.flatten("__parts.__ids").alias("__ids")))
     return short.union(joined).select(*(F.col(f"__row.`{c}`") for c in kept), F.col("__ids").alias(ids))
