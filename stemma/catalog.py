@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,34 +14,35 @@ from stemma import schema
 #: The driver's tables as a catalogue, in SQL that Spark and the oracle share; S stands for the string type.
 ADAPTERS = {
     "names": """
-SELECT 'R' || CAST(r_regionkey AS S) AS id, r_name AS label, CAST(NULL AS S) AS language, CAST(NULL AS S) AS gender, CAST(NULL AS S) AS wk FROM region
-UNION ALL SELECT 'N' || CAST(n_nationkey AS S), n_name, 'English', NULL, 'n:' || lower(n_name) FROM nation
-UNION ALL SELECT 'C' || CAST(c_custkey AS S), c_name, c_mktsegment, NULL, NULL FROM customer
-UNION ALL SELECT 'S' || CAST(s_suppkey AS S), s_name, 'English', NULL, 's:' || lower(s_name) FROM supplier
+SELECT 'R' || CAST(r_regionkey AS S) AS id, r_name AS label, CAST(NULL AS S) AS language, CAST(NULL AS S) AS gender, CAST(NULL AS S) AS wk, CAST(NULL AS S) AS native_label, CAST(NULL AS S) AS wikidata_qid FROM region
+UNION ALL SELECT 'N' || CAST(n_nationkey AS S), n_name, 'English', NULL, 'n:' || lower(n_name), NULL, NULL FROM nation
+UNION ALL SELECT 'C' || CAST(c_custkey AS S), c_name, c_mktsegment, NULL, NULL, NULL, NULL FROM customer
+UNION ALL SELECT 'S' || CAST(s_suppkey AS S), CASE WHEN s_suppkey % 50 = 3 THEN '-' ELSE s_name END, 'English', NULL, 's:' || lower(s_name), CASE WHEN s_suppkey % 50 = 3 THEN 'Native ' || CAST(s_suppkey AS S) END, 'Q' || CAST(1000000 + s_suppkey AS S) FROM supplier
 UNION ALL SELECT 'P' || CAST(p_partkey AS S), p_name, nullif(p_type, 'PROMO'),
-  CASE p_partkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'unisex' END, CASE WHEN p_partkey % 3 = 0 THEN 'p:' || CAST(p_partkey AS S) END FROM part
-UNION ALL SELECT 'D' || CAST(doc_id AS S), split_part(text, ' ', 1), CASE WHEN lang = 'en' THEN 'English' ELSE lang END, NULL, NULL FROM documents""",
+  CASE p_partkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'unisex' END, CASE WHEN p_partkey % 3 = 0 THEN 'p:' || CAST(p_partkey AS S) END,
+  CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 5 > 0 THEN 'Q' || CAST(p_partkey AS S) END FROM part
+UNION ALL SELECT 'D' || CAST(doc_id AS S), split_part(text, ' ', 1), CASE WHEN lang = 'en' THEN 'English' ELSE lang END, NULL, NULL, NULL, NULL FROM documents""",
     "relations": """
 SELECT name_a, name_b, min(confidence) AS confidence FROM (
   SELECT least(a, b) AS name_a, greatest(a, b) AS name_b, confidence FROM (
     SELECT 'C' || CAST(x.c_custkey AS S) AS a, 'C' || CAST(y.c_custkey AS S) AS b, 'community' AS confidence
     FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 AND y.c_mktsegment = x.c_mktsegment
     UNION ALL SELECT 'P' || CAST(l_partkey AS S), 'S' || CAST(l_suppkey AS S), CASE WHEN l_returnflag = 'A' THEN 'sourced' ELSE 'community' END
-    FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)) GROUP BY name_a, name_b""",
+    FROM lineitem )) GROUP BY name_a, name_b""",
     "lineage": """
 SELECT 'N' || CAST(n_nationkey AS S) AS child_id, 'R' || CAST(n_regionkey AS S) AS parent_id, 'derived_from' AS relation_type FROM nation
 UNION ALL SELECT 'C' || CAST(c_custkey AS S), 'N' || CAST(c_nationkey AS S), 'derived_from' FROM customer
 UNION ALL SELECT 'S' || CAST(s_suppkey AS S), 'N' || CAST(s_nationkey AS S), 'variant_of' FROM supplier
-UNION ALL SELECT DISTINCT 'P' || CAST(l_partkey AS S), 'S' || CAST(l_suppkey AS S), 'diminutive_of' FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1
-UNION ALL SELECT DISTINCT 'P' || CAST(l_partkey AS S), 'S' || CAST(l_suppkey AS S), 'derived_from' FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'A'""",
+UNION ALL SELECT DISTINCT 'P' || CAST(l_partkey AS S), 'S' || CAST(l_suppkey AS S), 'diminutive_of' FROM lineitem
+UNION ALL SELECT DISTINCT 'P' || CAST(l_partkey AS S), 'S' || CAST(l_suppkey AS S), 'derived_from' FROM lineitem WHERE l_returnflag = 'A'""",
     "enrichments": """
-SELECT 'D' || CAST(doc_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, substr(text, 1, 80) AS content FROM documents
+SELECT 'D' || CAST(doc_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, text AS content FROM documents
 UNION ALL SELECT 'D' || CAST(doc_id AS S), 'behindthename', 'usage', 'quality ' || CAST(quality AS S) FROM labels""",
     "batch": """
-SELECT 'D' || CAST(doc_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, 'changed ' || substr(text, 1, 40) AS content FROM documents WHERE doc_id % 2 = 0
+SELECT 'D' || CAST(item_id AS S) AS name_id, 'wikidata' AS source, 'description' AS field, 'changed ' || text AS content FROM benchmark
 UNION ALL SELECT 'D' || CAST(doc_id AS S), 'behindthename', 'related', 'toxic ' || CAST(toxic AS S) FROM labels""",
 }
-SOURCES = ("region", "nation", "customer", "supplier", "part", "lineitem", "documents", "labels")
+SOURCES = ("region", "nation", "customer", "supplier", "part", "lineitem", "documents", "labels", "benchmark")
 
 
 def oracle_with(*names: str) -> str:
@@ -73,18 +76,61 @@ class Catalog:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str | None) -> Catalog:
-        """The catalogue saved below path; without a path an empty one, so that queries give no rows rather than fail."""
+        """The catalogue's newest version below path; without a path an empty one, so that queries give no rows rather than fail."""
+        where = _newest(spark, path) if path else {}
+
         def read(table: str) -> DataFrame:
-            return with_defaults(spark.read.schema(schema.TABLES[table]).parquet(f"{path}/{table}"), table) if path else spark.createDataFrame([], schema.TABLES[table])
+            return with_defaults(spark.read.schema(schema.TABLES[table]).parquet(where[table]), table) if path else spark.createDataFrame([], schema.TABLES[table])
 
         parts = [read(t) for t in ("names", "name_relations", "name_lineage", "name_enrichments")]
         return cls(parts[0].withColumnRenamed("wiktionary_key", "wk"), *parts[1:])
 
-    def save(self, path: str) -> None:
-        """Writes the four tables, filling in what they lack."""
+    def save(self, path: str, only: tuple[str, ...] = tuple(schema.TABLES)) -> None:
+        """Writes a new version of the tables in only, filling in what they lack; the others stay as they are.
+
+        Tables go to folders of their own; the version is a small file that names a folder for each table and is renamed
+        into place last, so a reader or a crash sees all of the old version or all of the new one.
+        """
         parts = {"names": self.names.withColumnRenamed("wk", "wiktionary_key"), "name_relations": self.relations, "name_lineage": self.lineage, "name_enrichments": self.enrichments}
-        for table, df in parts.items():
-            conform(df, table).write.mode("overwrite").parquet(f"{path}/{table}")
+        spark = self.names.sparkSession
+        where = _newest(spark, path) if set(only) < set(schema.TABLES) else {}
+        for table in only:
+            where[table] = f"{path}/{table}/{uuid.uuid4().hex}"
+            conform(parts[table], table).write.parquet(where[table])
+        fs, at = _file_system(spark, f"{path}/versions")
+        number = max([0, *_versions(fs, at)]) + 1
+        fs.mkdirs(at)
+        part = _hadoop_path(spark, f"{path}/versions/.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.write(bytearray(json.dumps({t: w.removeprefix(f"{path}/") for t, w in where.items()}).encode()))
+        out.close()
+        if not fs.rename(part, _hadoop_path(spark, f"{path}/versions/{number:08d}")):
+            fs.delete(part, False)
+            raise RuntimeError(f"{path}: another writer has saved version {number}")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = _hadoop_path(spark, path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(fs, at) -> list[int]:
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _newest(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each table in the newest version below path."""
+    fs, at = _file_system(spark, f"{path}/versions")
+    found = _versions(fs, at)
+    if not found:
+        raise FileNotFoundError(f"no catalogue below {path}")
+    text = "".join(r["value"] for r in spark.read.text(f"{path}/versions/{found[-1]:08d}").collect())  # one line for each version
+    return {t: f"{path}/{w}" for t, w in json.loads(text).items()}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

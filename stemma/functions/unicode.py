@@ -21,6 +21,12 @@ def plain(label: str | None) -> str | None:
     return re.sub("[^a-z0-9]", "", bare.lower())
 
 
+def locale_key(label: str) -> tuple[str, str, str]:
+    """Sorts labels as a reader's locale does, as far as letters, then marks, then case (small first) go."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", label) if not unicodedata.category(c).startswith("M"))
+    return bare.casefold(), unicodedata.normalize("NFKD", label).casefold(), label.swapcase()
+
+
 def jaro(a: str, b: str) -> float:
     """Share of characters that match within a window, less half the transpositions (which may be half of an odd number)."""
     if a == b:

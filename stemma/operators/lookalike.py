@@ -22,9 +22,9 @@ def score(a: Column, b: Column) -> Column:
 
 
 def rank(names: DataFrame, label: str, exclude: Iterable[str] = (), limit: int = LIMIT) -> DataFrame:
-    """(id, label, score), best first. Rows of unfit length go before any pair is compared."""
+    """(id, label, score), best first, then by label in locale order. Rows of unfit length go before any pair is compared."""
     target = plain(label) or ""
     rows = names.where(~F.col("id").isin(*exclude)) if (exclude := list(exclude)) else names
     rows = rows.withColumn("plain", plain_label(F.col("label"))).where(F.char_length("plain").between(max(SHORTEST, len(target) - LENGTHS_APART), len(target) + LENGTHS_APART))
     scored = rows.withColumn("score", F.round(score(F.col("plain"), F.lit(target)), 6)).where("score IS NOT NULL")
-    return scored.orderBy(F.desc("score"), "label", "id").limit(limit).select("id", "label", "score")
+    return scored.orderBy(F.desc("score"), F.collate("label", "UNICODE"), "id").limit(limit).select("id", "label", "score")

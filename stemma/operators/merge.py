@@ -24,13 +24,14 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return rows.withColumn("__n", place).where("__n = 1").drop("__n")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[str, str], new_id: Column | None = None) -> DataFrame:
-    """target's columns after the merge of source, which has one row for a key.
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[str, str], new_id: Column | None = None, stamps: tuple[str, ...] = ()) -> DataFrame:
+    """target's columns after the merge of source; of source rows with one key the first by all columns counts.
 
     policy: of columns that source has: overwrite (nulls too), coalesce (a null keeps the old value) or keep. Rows
-    without a match are added whole; their id is new_id or stable_id of the key.
+    without a match are added whole; their id is new_id or stable_id of the key. stamps: columns of target that say when a
+    row was written.
     """
-    source = source.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    source = last_per_key(source.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, [F.col(c).asc_nulls_last() for c in source.columns])
     new = source.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(F.col(c).alias(f"__s_{c}") for c in source.columns if c not in keys), F.lit(True).alias("__new"))
     old = target.withColumn("__old", F.lit(True))
     met = old.join(new, [F.col(k) == F.col(f"__k_{k}") for k in keys], "full_outer")
@@ -47,19 +48,32 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[s
         kept = {OVERWRITE: incoming, COALESCE: F.coalesce(incoming, F.col(c)), KEEP: F.col(c)}[how]
         return F.when(F.col("__old").isNull(), incoming).when(F.col("__new").isNull(), F.col(c)).otherwise(kept)
 
-    return met.select(*(merged(c).alias(c) for c in target.columns))
+    stamped = lambda c: F.when(F.col("__new").isNotNull(), F.current_timestamp()).otherwise(F.col(c))
+    return met.select(*((stamped(c) if c in stamps and c not in source.columns else merged(c)).alias(c) for c in target.columns))
 
 
 def upsert_names_by_qid(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows, ["wikidata_qid"], {c: OVERWRITE for c in ("label", "native_label", "language", "gender", "updated_at")})
+    return upsert(target, rows, ["wikidata_qid"], {c: OVERWRITE for c in ("label", "native_label", "language", "gender")}, stamps=("updated_at",))
 
 
 def upsert_names_by_key(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows, ["wiktionary_key"], {"label": OVERWRITE, "language": COALESCE, "gender": COALESCE})
+    return upsert(target, rows, ["wiktionary_key"], {"label": OVERWRITE, "language": COALESCE, "gender": COALESCE}, stamps=("updated_at",))
 
 
-def upsert_enrichments(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows.where("content IS NOT NULL"), ["name_id", "source", "field"], {"content": OVERWRITE, "source_url": OVERWRITE})
+def upsert_enrichments(target: DataFrame, rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Rows for unknown names go, where names (id) is given."""
+    rows = rows.where("content IS NOT NULL")
+    if names is not None:
+        rows = rows.join(names.select(F.col("id").alias("name_id")).distinct(), "name_id", "left_semi")
+    return upsert(target, rows, ["name_id", "source", "field"], {"content": OVERWRITE, "source_url": OVERWRITE}, stamps=("fetched_at",))
+
+
+def descriptions(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(name_id, source, field, content, source_url) from (qid, description) of names that are known by their item."""
+    ids = names.where("wikidata_qid IS NOT NULL").select(F.col("wikidata_qid").alias("qid"), F.col("id").alias("name_id"))
+    link = F.concat(F.lit("https://www.wikidata.org/wiki/"), "qid")
+    said = rows.where("description IS NOT NULL AND description <> ''").join(ids, "qid")
+    return said.select("name_id", F.lit("wikidata").alias("source"), F.lit("description").alias("field"), F.col("description").alias("content"), link.alias("source_url"))
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

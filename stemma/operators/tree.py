@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from stemma.catalog import Catalog
 from stemma.functions.text import displayable, trimmed
+from stemma.functions.unicode import locale_key
 from stemma.operators.graph import degrees, incident
 from stemma.operators.viewport import Capacity, Sides, capacity, sides
 
 #: Fixed values.
 FEATURED, FEATURED_FETCH = 5, 40
+#: What a node shows of its name.
+SHOWN = ("label", "language", "native_label", "gender", "wikidata_qid")
 
 
 def children_of(lineage: DataFrame, ids: Iterable[str]) -> DataFrame:
@@ -49,18 +52,24 @@ def resolve_twins(catalog: Catalog, focus: DataFrame) -> DataFrame:
     lineage = degrees(incident(catalog.lineage, "child_id", "parent_id"))
     wanted = focus.select("id").distinct().join(n.select("id", "label", "language"), "id").join(lineage, "id", "left")
     alone = wanted.where("degree IS NULL").select("id", F.lower("label").alias("low"), F.coalesce("language", F.lit("english")).alias("near"))
-    others = n.join(lineage, "id").select(F.col("id").alias("twin"), F.lower("label").alias("low"), "language", "wk", "degree")
-    order = [F.desc("degree"), F.desc_nulls_first("same"), F.desc("keyed"), F.asc("twin")]
-    met = alone.join(others, "low").withColumn("same", F.ilike("language", F.col("near"))).withColumn("keyed", F.col("wk").isNotNull())
-    best = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("place = 1").select("id", "twin")
+    # Of a label's names in one language only the best can win: one row a label and language meets the focus, however many share it.
+    rank = F.struct((-F.col("degree")).alias("less"), F.col("wk").isNull().alias("keyless"), F.col("id").alias("twin"))
+    others = n.join(lineage, "id").groupBy(F.lower("label").alias("low"), "language").agg(F.min(rank).alias("best"))
+    # Whoever shares label and language looks for the same twin.
+    asked = alone.select("low", "near").distinct()
+    order = F.struct(F.col("best.less").alias("less"), F.when(F.col("same").isNull(), 0).when(F.col("same"), 1).otherwise(2).alias("far"), F.col("best.keyless").alias("keyless"), F.col("best.twin").alias("twin"))
+    met = asked.join(others, "low").withColumn("same", F.ilike("language", F.col("near")))
+    found = met.groupBy("low", "near").agg(F.min(order)["twin"].alias("twin"))
+    best = alone.join(found, ["low", "near"]).select("id", "twin")
     return focus.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("twin", "id").alias("twin"))
 
 
 def featured_roots(catalog: Catalog, count: int = FEATURED) -> DataFrame:
-    """(id, label, kids): parents of most children with a label fit to show; those without parents and with a short label
-    if there are enough of them. The best count * 40 parents are taken before labels are looked at."""
+    """(id, label, kids): parents of most children with a label or else a native label fit to show; those without parents and
+    with a short label if there are enough of them. The best count * 40 parents are taken before labels are looked at."""
     top = catalog.lineage.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("kids")).orderBy(F.desc("kids"), "id").limit(count * FEATURED_FETCH)
-    named = top.join(catalog.names.select("id", trimmed(F.col("label")).alias("label")), "id").where(displayable(F.col("label")))
+    shown = F.coalesce(*(F.when(displayable(F.col(c)), trimmed(F.col(c))) for c in ("label", "native_label")))
+    named = top.join(catalog.names.select("id", shown.alias("label")), "id").where("label IS NOT NULL")
     rated = parent_counts(named, catalog.lineage).withColumnRenamed("n", "parents").join(named, "id")
     good = (F.col("parents") == 0) & ~F.col("label").contains(",") & (F.size(F.split("label", r"\s+")) <= 2)
     pooled = rated.withColumn("good", good).withColumn("n_good", F.sum(F.col("good").cast("int")).over(Window.partitionBy(F.lit(1))))  # count * 40 rows at most
@@ -76,6 +85,9 @@ class Node:
     parent: str | None
     kind: str = "name"
     members: tuple[tuple[str, str, str | None], ...] = ()
+    native: str | None = None
+    gender: str | None = None
+    qid: str | None = None
 
 
 @dataclass(frozen=True)
@@ -92,20 +104,21 @@ class Tree:
         return found
 
 
-def _level(catalog: Catalog, frontier: list[str], up: bool) -> list[tuple[str, str, str, str | None]]:
-    """(frontier id, candidate, label, language) in rank order, one job: children by their number of children; parents by
-    their number of parents, then of children."""
+def _level(catalog: Catalog, frontier: list[str], up: bool, most: int) -> list:
+    """Rows (id, other, label, language, native_label, gender, wikidata_qid) in rank order, one job: children by their number
+    of children; parents by their number of parents, then of children. Of each of the frontier's ids the best most come to
+    the driver: what a cap and the nodes already taken can pass over."""
     near = (parents_of if up else children_of)(catalog.lineage, frontier).toDF("id", "other")
     ids = near.select(F.col("other").alias("id")).distinct()
     kids = child_counts(ids, catalog.lineage).toDF("other", "kids")
-    rated = near.distinct().join(kids, "other").join(catalog.names.select(F.col("id").alias("other"), "label", "language"), "other")
+    rated = near.distinct().join(kids, "other").join(catalog.names.select(F.col("id").alias("other"), *SHOWN), "other")
     order: list[Column] = [F.desc("kids"), F.asc("other")]
     if up:
         rated = rated.join(parent_counts(ids, catalog.lineage).toDF("other", "above"), "other")
         order = [F.desc("above"), *order]
     place = {i: n for n, i in enumerate(frontier)}
-    rows = rated.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).collect()
-    return [(r["id"], r["other"], r["label"], r["language"]) for r in sorted(rows, key=lambda r: (place[r["id"]], r["place"]))]
+    rows = rated.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("place") <= most).collect()
+    return sorted(rows, key=lambda r: (place[r["id"]], r["place"]))
 
 
 def lineage_tree(catalog: Catalog, root: str, width: float = 1200, height: float = 800, resolve: bool = True, share: Sides | None = None, collapse: bool = True) -> Tree | None:
@@ -114,15 +127,18 @@ def lineage_tree(catalog: Catalog, root: str, width: float = 1200, height: float
     spark = catalog.names.sparkSession
     if resolve:
         root = resolve_twins(catalog, spark.createDataFrame([(root,)], "id string")).first()["twin"]
-    row = catalog.names.where(F.col("id") == root).select("label", "language").first()
+    row = catalog.names.where(F.col("id") == root).select(*SHOWN).first()
     if row is None:
         return None
     room: Capacity = capacity(width, height)
-    first = {False: _level(catalog, [root], False), True: _level(catalog, [root], True)}
+    # A fan-out is 16 at most, and a tree has max_nodes nodes that may be passed over.
+    enough = 16 + room.max_nodes
+    first = {False: _level(catalog, [root], False, enough), True: _level(catalog, [root], True, enough)}
     share = share or sides(room, room.depth_slots if first[True] else 0, room.depth_slots if first[False] else 0)
     readable = readable_kids(room)
     at_root, on_branch = min(16, max(share.root_fanout, 2 * readable)), min(10, max(share.branch_fanout, readable + 2))
-    nodes = {root: Node(root, row["label"], row["language"], 0, None)}
+    made = lambda i, r, depth, parent: Node(i, r["label"], r["language"], depth, parent, native=r["native_label"], gender=r["gender"], qid=r["wikidata_qid"])
+    nodes = {root: made(root, row, 0, None)}
     edges: list[tuple[str, str]] = []
     for up, hops in ((False, share.descendant_depth), (True, share.ancestor_depth)):
         frontier = [root]
@@ -132,11 +148,12 @@ def lineage_tree(catalog: Catalog, root: str, width: float = 1200, height: float
             cap = (share.ancestor_fanout if up else at_root) if hop == 0 else on_branch
             added: dict[str, int] = {}
             reached = []
-            for near, other, label, language in first[up] if hop == 0 else _level(catalog, frontier, up):
+            for r in first[up] if hop == 0 else _level(catalog, frontier, up, enough):
+                near, other = r["id"], r["other"]
                 if other in nodes or added.get(near, 0) >= cap or len(nodes) >= room.max_nodes:
                     continue
                 added[near] = added.get(near, 0) + 1
-                nodes[other] = Node(other, label, language, -(hop + 1) if up else hop + 1, None if up else near)
+                nodes[other] = made(other, r, -(hop + 1) if up else hop + 1, None if up else near)
                 edges.append((other, near) if up else (near, other))
                 if up and nodes[near].depth < 0:
                     nodes[near] = replace(nodes[near], parent=other)
@@ -183,7 +200,7 @@ def collapse_siblings(tree: Tree, most: int) -> Tree:
         mine = [k for k in kids[parent] if k in by_id]
         if parent in gone or parent not in by_id:
             continue
-        order = sorted(mine, key=lambda k: (-len(kids.get(k, ())), by_id[k].label, k)) if len(mine) > most else mine
+        order = sorted(mine, key=lambda k: (-len(kids.get(k, ())), locale_key(by_id[k].label), k)) if len(mine) > most else mine
         kept, rest = (order[: max(1, most - 1)], order[max(1, most - 1) :]) if len(mine) > most else (order, [])
         edges += [(parent, k) for k in kept]
         dropped = [i for k in rest for i in _subtree(tree, k, kids) if i not in gone]
@@ -214,7 +231,7 @@ def collapse_depths(tree: Tree, most: int, rounds: int = 200) -> Tree:
             free = [n for n in here if n.kind != "group" and n.parent]
             if len(here) <= most or not free:
                 break
-            pick = min(free, key=lambda n: (len(kids.get(n.id, ())), n.parent not in groups, n.label, n.id))
+            pick = min(free, key=lambda n: (len(kids.get(n.id, ())), n.parent not in groups, locale_key(n.label), n.id))
             dropped = [i for i in _subtree(Tree(tree.root, list(nodes.values()), edges), pick.id, kids) if i != tree.root]
             members = _names_in(Tree(tree.root, list(nodes.values()), edges), dropped)
             for i in dropped:
@@ -244,6 +261,14 @@ def expand_group(tree: Tree, group_id: str) -> Tree:
     return Tree(tree.root, list(nodes.values()), edges)
 
 
+def depth_counts(tree: Tree) -> dict[int, int]:
+    """How many nodes lie at each distance from the focus, ancestors and descendants together."""
+    found: dict[int, int] = {}
+    for n in tree.nodes:
+        found[abs(n.depth)] = found.get(abs(n.depth), 0) + 1
+    return found
+
+
 def tree_rows(spark, tree: Tree | None) -> tuple[DataFrame, DataFrame]:
     """A tree's nodes and edges as tables."""
     nodes = [] if tree is None else [(n.id, n.label, n.language, n.depth, n.parent, n.kind, [list(m) for m in n.members]) for n in tree.nodes]

@@ -7,6 +7,7 @@ they come to the driver; the tables behind them never do.
 from __future__ import annotations
 
 from dataclasses import asdict
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ class Service:
 
     def _graph(self, nodes: DataFrame) -> dict:
         """Nodes (id, depth, parent) with labels, and the edges to their parents."""
-        labelled = nodes.join(self.catalog.names.select("id", "label", "language", "gender"), "id").orderBy("depth", "id")
+        labelled = nodes.join(self.catalog.names.select("id", *tree.SHOWN), "id").withColumn("role", F.lit("cognate")).orderBy("depth", "id")
         rows = _rows(labelled)
         return {"nodes": [{k: v for k, v in r.items() if k != "parent"} for r in rows], "edges": [{"source": r["parent"], "target": r["id"]} for r in rows if r["parent"]]}
 
@@ -92,7 +93,7 @@ class Service:
 
     def graph_constellation(self, name: str | None = None) -> dict:
         found = graph.island_of(self.catalog.names, self.both, self.parts, name) if name else graph.constellation(self.catalog.names, self.both, self.parts)
-        rows = _rows(found.join(self.catalog.names.select("id", "label", "language", "gender"), "id").orderBy("hub_id", "depth", "id"))
+        rows = _rows(found.join(self.catalog.names.select("id", *tree.SHOWN), "id").orderBy("hub_id", "depth", "id"))
         if name and not rows:
             raise NotFound(name)
         edges = _rows(graph.induced_edges(self.catalog.relations, found)) if rows else []
@@ -134,6 +135,10 @@ class Service:
         found = self.names_search(q, page_size=12, suggestions=True) if q and q.strip() else []
         return found[0]["id"] if found else None
 
+    def name_page(self, name_id: str) -> str:
+        """Where a name's own page leads: the front page with that name in focus."""
+        return f"/?name={quote(name_id, safe='')}"
+
     def search_page(self, q: str, lang: str | None = None, page=1) -> dict:
         """Facets and a page of results; a page beyond the last shows the last."""
         first = self.names_search(q, lang, page)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,9 @@ def search_suggest(spark, sf):
     return search.suggest(Catalog.from_tables(spark, sf), TERM, 10).select(SHOWN)
 
 
-@query(f"SELECT id, list_sort({GRAMS.format('label')}) AS grams FROM names WHERE id LIKE 'P1%'", "names")
+@query(f"SELECT id, list_sort({GRAMS.format('label')}) AS grams FROM names", "names")
 def trigram_sets(spark, sf):
-    return Catalog.part(spark, sf, "names").where(F.col("id").like("P1%")).select("id", F.array_sort(tx.trigrams(F.col("label"))).alias("grams"))
+    return Catalog.part(spark, sf, "names").select("id", F.array_sort(tx.trigrams(F.col("label"))).alias("grams"))
 
 
 @query("SELECT language, n FROM (SELECT language, count(*) AS n FROM names WHERE language IS NOT NULL GROUP BY language ORDER BY n DESC, language LIMIT 80) WHERE trim(language) <> ''", "names")
@@ -79,11 +81,6 @@ def facet_languages(spark, sf):
     return search.language_facets(Catalog.part(spark, sf, "names"))
 
 
-@query("SELECT n.id, n.label, n.language, n.gender FROM names n WHERE n.id = 'N11'", "names")
-def name_detail(spark, sf):
-    return search.detail(Catalog.from_tables(spark, sf), "N11").select("id", "label", "language", "gender")
-
-
 HUB = BOTH + ", hub AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1)"
 
 
@@ -138,30 +135,48 @@ def expand_hop1_excl(spark, sf):
     return graph.expand(c.names, both, hub, [first] if first else [])
 
 
-TWO = NEAR + """, hop1 AS (SELECT e.id, row_number() OVER (ORDER BY d.degree DESC, e.id) AS r FROM near e JOIN names n ON n.id = e.id JOIN deg d ON d.id = e.id),
- hop2 AS (SELECT b.other AS id, min(h.r) AS r FROM hop1 h JOIN both_ends b ON b.id = h.id JOIN names n ON n.id = b.other WHERE b.other NOT IN (SELECT id FROM hop1 UNION ALL SELECT id FROM hub) GROUP BY b.other)"""
-TWO_SQL = "SELECT id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent FROM hub UNION ALL SELECT id, 1, (SELECT id FROM hub) FROM hop1 UNION ALL SELECT x.id, 2, h.id FROM hop2 x JOIN hop1 h ON h.r = x.r"
+@query("""SELECT n.id, n.label, n.language, n.gender, (SELECT string_agg(source || '|' || field || '|' || content, ';' ORDER BY source, field, content) FROM enrichments e WHERE e.name_id = n.id) AS notes,
+ (SELECT string_agg(c.id || '|' || c.label, ';' ORDER BY c.id) FROM (SELECT k.id, k.label FROM names k JOIN (SELECT DISTINCT other FROM both_ends b WHERE b.id = n.id) o ON o.other = k.id ORDER BY k.id LIMIT 50) c) AS kin
+ FROM names n WHERE n.id = (SELECT id FROM hub) OR n.id = (SELECT min(name_id) FROM enrichments)""", "names", "relations", "enrichments", steps=HUB)
+def name_detail(spark, sf):
+    """The detail of a name with relations and of one with enrichments."""
+    c = Catalog.from_tables(spark, sf)
+    told = search.detail(c, _hub(c)).union(search.detail(c, c.enrichments.agg(F.min("name_id")).first()[0]))
+    joined = lambda c, *fields: F.nullif(F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(x[f] for f in fields))), ";"), F.lit(""))
+    return told.select("id", "label", "language", "gender", joined("enrichments", "source", "field", "content").alias("notes"), joined("cognates", "id", "label").alias("kin"))
+
+
+def _two_hops(most: int, hop1: int, hop2: int) -> str:
+    """The greedy choice in order: a parent's best neighbours not yet taken, the list of those taken handed from row to row."""
+    return NEAR + f""", hop1 AS (SELECT id, r FROM (SELECT e.id, row_number() OVER (ORDER BY d.degree DESC, e.id) AS r FROM near e JOIN names n ON n.id = e.id JOIN deg d ON d.id = e.id) WHERE r <= {min(hop1, most - 1)}),
+ near2 AS (SELECT h.r, h.id AS parent, list(b.other ORDER BY d.degree DESC, b.other) AS near FROM hop1 h JOIN (SELECT DISTINCT id, other FROM both_ends) b ON b.id = h.id JOIN names n ON n.id = b.other JOIN deg d ON d.id = b.other GROUP BY h.r, h.id),
+ grow AS (SELECT CAST(0 AS BIGINT) AS k, list_concat([(SELECT id FROM hub)], (SELECT list(id ORDER BY r) FROM hop1)) AS taken, CAST([] AS VARCHAR[]) AS fresh, CAST(NULL AS VARCHAR) AS parent
+  UNION ALL SELECT k + 1, list_concat(taken, added), added, up FROM (SELECT g.k, g.taken, n.parent AS up, list_slice(list_filter(n.near, lambda x: NOT list_contains(g.taken, x)), 1, least({hop2}, greatest(0, {most} - len(g.taken)))) AS added FROM grow g JOIN near2 n ON n.r = g.k + 1))"""
+
+
+TWO_SQL = "SELECT id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent FROM hub UNION ALL SELECT id, 1, (SELECT id FROM hub) FROM hop1 UNION ALL SELECT unnest(fresh), 2, parent FROM grow"
 
 
-@query(TWO_SQL, "names", "relations", steps=TWO)
+@query(TWO_SQL, "names", "relations", steps=_two_hops(30, 28, 6))
 def focus_neighborhood(spark, sf):
     c = Catalog.from_tables(spark, sf)
     return graph.neighborhood(c.names, both_ends(c), _hub(c))
 
 
-@query(TWO_SQL, "names", "relations", steps=TWO)
+@query(TWO_SQL, "names", "relations", steps=_two_hops(60, 15, 5))
 def cognate_subgraph(spark, sf):
     c = Catalog.from_tables(spark, sf)
     return graph.subgraph(c.names, both_ends(c), _hub(c))
 
 
-@query(TWO_SQL, "names", "relations", steps=TWO)
+@query(TWO_SQL, "names", "relations", steps=_two_hops(51, 28, 6))
 def expand_two_hops(spark, sf):
     c = Catalog.from_tables(spark, sf)
     return graph.expand_two(c.names, both_ends(c), _hub(c))
 
 
-PARTS = BOTH + ", reach AS (SELECT id, id AS root FROM deg UNION SELECT b.other, r.root FROM reach r JOIN both_ends b ON b.id = r.id), parts AS (SELECT id, min(root) AS component FROM reach GROUP BY id), sized AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM parts)"
+PARTS = BOTH + """, reach(id, root) USING KEY (id) AS (SELECT id, id AS root FROM deg UNION SELECT b.id, min(r.root) FROM reach r JOIN both_ends b ON b.other = r.id JOIN recurring.reach mine ON mine.id = b.id WHERE r.root < mine.root GROUP BY b.id),
+ parts AS (SELECT id, root AS component FROM reach), sized AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM parts)"""
 
 
 @query("SELECT id, component, size FROM sized", "relations", steps=PARTS)
@@ -201,7 +216,18 @@ def constellation_hubs(spark, sf):
     return graph.hubs(both_ends(c), _parts(c))
 
 
-WALK = HUBS + ", walk AS (SELECT hub_id, hub_id AS id, 0 AS depth FROM hubs UNION SELECT w.hub_id, b.other, w.depth + 1 FROM walk w JOIN both_ends b ON b.id = w.id WHERE w.depth < 2), far AS (SELECT hub_id, p.id, 2 AS depth FROM hubs h JOIN parts p ON p.component = h.component), isle AS (SELECT hub_id, id, min(depth) AS depth FROM (SELECT * FROM walk UNION ALL SELECT * FROM far) GROUP BY hub_id, id)"
+def _islands(starts: str, name: str = "isle") -> str:
+    """Breadth first from each start (hub_id), a node's neighbours by degree, seven nodes: the queue is handed from row to row."""
+    return f""", {name}_near AS (SELECT b.id, list(b.other ORDER BY d.degree DESC, b.other) AS near FROM (SELECT DISTINCT id, other FROM both_ends) b JOIN deg d ON d.id = b.other GROUP BY b.id),
+ {name}_grow AS (SELECT h.hub_id, [h.hub_id] AS taken, n.near AS queue, 0 AS step FROM {starts} h JOIN {name}_near n ON n.id = h.hub_id
+  UNION ALL SELECT g.hub_id, CASE WHEN list_contains(g.taken, g.queue[1]) THEN g.taken ELSE list_append(g.taken, g.queue[1]) END,
+   CASE WHEN list_contains(g.taken, g.queue[1]) THEN list_slice(g.queue, 2, len(g.queue)) ELSE list_concat(list_slice(g.queue, 2, len(g.queue)), list_filter(n.near, lambda x: NOT list_contains(g.taken, x) AND x <> g.queue[1])) END, g.step + 1
+  FROM {name}_grow g JOIN {name}_near n ON n.id = g.queue[1] WHERE len(g.taken) < 7 AND len(g.queue) > 0),
+ {name}_all AS (SELECT hub_id, unnest(taken) AS id FROM (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY step DESC) AS n FROM {name}_grow) WHERE n = 1),
+ {name} AS (SELECT hub_id, id, CASE WHEN id = hub_id THEN 0 WHEN EXISTS (SELECT 1 FROM both_ends b WHERE b.id = m.hub_id AND b.other = m.id) THEN 1 ELSE 2 END AS depth FROM {name}_all m)"""
+
+
+WALK = HUBS + _islands("hubs")
 
 
 @query("SELECT hub_id, id, depth FROM isle JOIN names USING (id)", "names", "relations", steps=WALK)
@@ -210,13 +236,17 @@ def constellation_islands(spark, sf):
     return graph.constellation(c.names, both_ends(c), _parts(c))
 
 
-@query("SELECT hub_id, name_a AS a, name_b AS b FROM relations JOIN isle x ON x.id = name_a JOIN isle y USING (hub_id) WHERE y.id = name_b", "names", "relations", steps=WALK)
+@query("SELECT DISTINCT x.hub_id, name_a AS a, name_b AS b FROM relations JOIN isle x ON x.id = name_a JOIN isle y ON y.hub_id = x.hub_id AND y.id = name_b", "names", "relations", steps=WALK)
 def constellation_edges(spark, sf):
     c = Catalog.from_tables(spark, sf)
     return graph.induced_edges(c.relations, graph.constellation(c.names, both_ends(c), _parts(c)))
 
 
-@query("SELECT hub_id, id, depth FROM isle JOIN names USING (id) WHERE hub_id = (SELECT hub_id FROM hubs JOIN parts p USING (component) WHERE p.id = (SELECT min(id) FROM parts WHERE component = (SELECT component FROM hubs ORDER BY degree DESC, hub_id LIMIT 1)))", "names", "relations", steps=WALK)
+OWN = HUBS + ", who AS (SELECT component AS name_id, hub_id AS hub FROM hubs ORDER BY degree DESC, hub_id LIMIT 1), tops AS (SELECT hub AS hub_id FROM who), owns AS (SELECT name_id AS hub_id FROM who)" + _islands("tops") + _islands("owns", "mine")
+
+
+@query("""SELECT hub_id, id, depth FROM isle JOIN names USING (id) WHERE (SELECT name_id FROM who) IN (SELECT id FROM isle)
+ UNION ALL SELECT CASE WHEN (SELECT hub FROM who) IN (SELECT id FROM mine) THEN (SELECT hub FROM who) ELSE hub_id END, id, depth FROM mine JOIN names USING (id) WHERE (SELECT name_id FROM who) NOT IN (SELECT id FROM isle)""", "names", "relations", steps=OWN)
 def island_for_name(spark, sf):
     c = Catalog.from_tables(spark, sf)
     both, parts = both_ends(c), _parts(c)
@@ -248,11 +278,14 @@ def twin_resolve(spark, sf):
     return tree.resolve_twins(c, c.names)
 
 
+FIT = "(length(trim({0})) >= 2 AND NOT regexp_matches(trim({0}), '^[-–—.*·•_…]+$') AND regexp_matches({0}, '\\p{{L}}'))"
+
+
 def _featured_sql(count: int) -> str:
     return f"""SELECT id, label, kids FROM (SELECT *, sum(CAST(good AS INT)) OVER () AS n_good FROM (
- SELECT t.id, trim(n.label) AS label, t.kids, (SELECT count(*) FROM lineage l WHERE l.child_id = t.id) = 0 AND NOT contains(n.label, ',') AND len(regexp_split_to_array(trim(n.label), '\\s+')) <= 2 AS good
- FROM (SELECT parent_id AS id, count(*) AS kids FROM lineage GROUP BY parent_id ORDER BY kids DESC, id LIMIT {count * 40}) t JOIN names n ON n.id = t.id
- WHERE length(trim(n.label)) >= 2 AND NOT regexp_matches(trim(n.label), '^[-–—.*·•_…]+$') AND regexp_matches(n.label, '\\p{{L}}')))
+ SELECT id, label, kids, (SELECT count(*) FROM lineage l WHERE l.child_id = x.id) = 0 AND NOT contains(label, ',') AND len(regexp_split_to_array(label, '\\s+')) <= 2 AS good FROM (
+ SELECT t.id, trim(CASE WHEN {FIT.format("n.label")} THEN n.label WHEN {FIT.format("n.native_label")} THEN n.native_label END) AS label, t.kids
+ FROM (SELECT parent_id AS id, count(*) AS kids FROM lineage GROUP BY parent_id ORDER BY kids DESC, id LIMIT {count * 40}) t JOIN names n ON n.id = t.id) x WHERE label IS NOT NULL))
  WHERE n_good < {count} OR good ORDER BY kids DESC, id LIMIT {count}"""
 
 
@@ -295,44 +328,51 @@ VIEW = "SELECT DISTINCT 300 + 100 * (p_size % 17) AS w, 250 + 50 * (p_size % 23)
 SLOTS = f" v AS ({VIEW}), s AS (SELECT w, h, CASE WHEN h > w THEN 'vertical' ELSE 'horizontal' END AS orientation, least(7, greatest(2, CAST(floor(greatest(greatest(w, h) - 160, 200) / 130.0) AS INT))) AS depth_slots, least(14, greatest(3, CAST(floor(greatest(least(w, h) - 160, 120) / 78.0) AS INT))) AS breadth_slots FROM v)"
 
 
+def _room(w: pd.Series, h: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([asdict(viewport.capacity(x, y)) for x, y in zip(w, h)])
+
+
 @query("SELECT w, h, orientation, depth_slots, breadth_slots, least(48, greatest(8, depth_slots * least(breadth_slots, 8))) AS max_nodes FROM s", steps=SLOTS)
 def capacity(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     v = part.select((300 + 100 * (F.col("p_size") % 17)).alias("w"), (250 + 50 * (F.col("p_size") % 23)).alias("h")).distinct()
-    within = lambda c, low, high: F.least(F.greatest(c.cast("int"), F.lit(low)), F.lit(high))
-    depth = within(F.floor((F.greatest(F.greatest("w", "h") - viewport.MARGIN, F.lit(200))) / viewport.LEVEL), 2, 7)
-    breadth = within(F.floor((F.greatest(F.least("w", "h") - viewport.MARGIN, F.lit(120))) / viewport.SIBLING), 3, 14)
-    v = v.select("w", "h", F.when(F.col("h") > F.col("w"), "vertical").otherwise("horizontal").alias("orientation"), depth.alias("depth_slots"), breadth.alias("breadth_slots"))
-    return v.withColumn("max_nodes", within(F.col("depth_slots") * F.least("breadth_slots", F.lit(8)), 8, 48))
+    room = F.pandas_udf(_room, "orientation string, depth_slots int, breadth_slots int, max_nodes int")
+    return v.select("w", "h", room("w", "h").alias("room")).select("w", "h", "room.*")
 
 
-@query()
+def _shares(depth: pd.Series, breadth: pd.Series, up: pd.Series, down: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([asdict(viewport.sides(viewport.Capacity("horizontal", *x[:2], 0), *x[2:])) for x in zip(depth, breadth, up, down)])
+
+
+LEVELS = SLOTS + """, c AS (SELECT DISTINCT depth_slots, breadth_slots, depth_slots - 1 AS levels, u.up, d.down FROM s, range(0, 8) u(up), range(0, 8) d(down)),
+ a AS (SELECT *, CASE WHEN down <= 0 THEN least(levels, up) WHEN down >= 3 THEN least(1, up) WHEN up <= 0 OR levels < 2 THEN 0 ELSE least(least(up, levels - 1), greatest(1, CAST(floor(levels * up / (up + down) + 0.5) AS INT))) END AS above FROM c),
+ b AS (SELECT *, CASE WHEN down <= 0 THEN 0 WHEN down >= 3 THEN least(levels - above, down) WHEN up <= 0 THEN least(levels, down) WHEN levels < 2 THEN least(1, down) ELSE least(levels - above, down) END AS below FROM a)"""
+
+
+@query("""SELECT depth_slots, breadth_slots, up, down, total AS ancestor_depth, below AS descendant_depth, greatest(fan, CASE WHEN total > 0 THEN 1 ELSE 0 END) AS ancestor_fanout, breadth_slots AS root_fanout, greatest(2, CAST(ceil(breadth_slots / 2) AS INT)) AS branch_fanout FROM (
+ SELECT *, above + CASE WHEN down BETWEEN 1 AND 2 AND up > 0 AND levels >= 2 THEN least(levels - above - below, up - above) ELSE 0 END AS total,
+  CASE WHEN down <= 0 THEN breadth_slots WHEN down >= 3 THEN 1 WHEN up <= 0 THEN breadth_slots WHEN levels < 2 THEN 0 ELSE least(breadth_slots, 3) END AS fan FROM b)""", steps=LEVELS)
 def side_allocation(spark, sf):
-    rows = []
-    for w, h in ((1200, 800), (1200, 700), (400, 900), (500, 400)):
-        room = viewport.capacity(w, h)
-        for up in range(8):
-            for down in range(8):
-                s = viewport.sides(room, up, down)
-                rows.append((w, h, up, down, s.ancestor_depth, s.descendant_depth, s.ancestor_fanout, s.root_fanout, s.branch_fanout))
-    return spark.createDataFrame(rows, "w int, h int, up int, down int, ancestor_depth int, descendant_depth int, ancestor_fanout int, root_fanout int, branch_fanout int")
+    hops = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    every = capacity(spark, sf).select("depth_slots", "breadth_slots").distinct().withColumn("up", hops).withColumn("down", hops)
+    share = F.pandas_udf(_shares, "ancestor_depth int, descendant_depth int, ancestor_fanout int, root_fanout int, branch_fanout int")
+    return every.select("*", share("depth_slots", "breadth_slots", "up", "down").alias("share")).select("depth_slots", "breadth_slots", "up", "down", "share.*")
 
 
 @query("""SELECT id, round(lo + band / 2, 6) AS centre FROM (SELECT id, band, sum(band) OVER (PARTITION BY parent ORDER BY id ROWS UNBOUNDED PRECEDING) - band + 12 * (row_number() OVER (PARTITION BY parent ORDER BY id) - 1) AS lo
  FROM (SELECT id, parent, (1000 - 12 * (count(*) OVER (PARTITION BY parent) - 1)) * w / sum(w) OVER (PARTITION BY parent) AS band FROM (
   SELECT n.child_id AS id, n.parent_id AS parent, 1 + (SELECT count(*) FROM lineage k WHERE k.parent_id = n.child_id) AS w FROM lineage n WHERE n.parent_id LIKE 'R%')))""", "lineage")
 def layout_bands(spark, sf):
-    """Bands over the regions' nations by weight, for all trees at once: prefix sums in a window for each parent."""
+    """Bands over the regions' nations by weight, for all trees at once: a region's few nations in one group."""
     lineage = Catalog.part(spark, sf, "lineage")
-    from pyspark.sql import Window
-
     roots = lineage.where(F.col("parent_id").like("R%")).select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent"))
     weighed = tree.child_counts(roots, lineage).join(roots, "id").withColumn("w", F.col("n") + 1)
-    whole, so_far = Window.partitionBy("parent"), Window.partitionBy("parent").orderBy("id")
-    band = (1000 - 12 * (F.count(F.lit(1)).over(whole) - 1)) * F.col("w") / F.sum("w").over(whole)
-    banded = weighed.withColumn("band", band)
-    low = F.sum("band").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) - F.col("band") + 12 * (F.row_number().over(so_far) - 1)
-    return banded.select("id", F.round(low + F.col("band") / 2, 6).alias("centre"))
+
+    def split(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("id")
+        return pd.DataFrame({"id": x["id"], "centre": [round((a + b) / 2, 6) for a, b in layout.bands(x["w"].tolist(), 0, 1000)]})
+
+    return weighed.groupBy("parent").applyInPandas(split, "id string, centre double")
 
 
 @query("""SELECT qid, label, coalesce(native_label, other_native) AS native_label, coalesce(language, other_language) AS language FROM (
@@ -428,17 +468,19 @@ def gender_norm(spark, sf):
 
 
 TRIPLES = """ t AS (SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS qid, p_partkey AS n, CASE p_size % 4 WHEN 0 THEN 'Q202444' WHEN 1 THEN 'Q11879590' WHEN 2 THEN 'Q12308941' ELSE 'Q3409032' END AS type FROM part
- UNION ALL SELECT 'Q' || CAST(p_partkey AS VARCHAR), p_partkey, 'Q202444' FROM part WHERE p_size % 4 = 1), s AS (SELECT DISTINCT 'Q' || CAST(l_partkey AS VARCHAR) AS a, 'Q' || CAST(l_suppkey AS VARCHAR) AS b FROM lineitem WHERE l_quantity = 50)"""
+ UNION ALL SELECT 'Q' || CAST(p_partkey AS VARCHAR), p_partkey, 'Q202444' FROM part WHERE p_size % 4 = 1), s AS (SELECT DISTINCT 'Q' || CAST(l_partkey AS VARCHAR) AS a, 'Q' || CAST(l_suppkey AS VARCHAR) AS b FROM lineitem)"""
 
 
 def _triples(spark, sf) -> DataFrame:
-    part, items = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity = 50")
+    part, items = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
     uri = lambda c: F.concat(F.lit("http://host/entity/Q"), F.col(c).cast("string"))
     size, null = F.col("p_size"), F.lit(None).cast("string")
     kind = F.when(size % 4 == 0, "Q202444").when(size % 4 == 1, "Q11879590").when(size % 4 == 2, "Q12308941").otherwise("Q3409032")
     row = lambda df, s, p, o, lang=null: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), lang.alias("lang"))
     return (row(part, uri("p_partkey"), "type", kind).union(row(part.where(size % 4 == 1), uri("p_partkey"), "type", F.lit("Q202444")))
             .union(row(part, uri("p_partkey"), "label", F.col("p_name"), F.lit("en"))).union(row(part.where(size % 3 == 0), uri("p_partkey"), "native", F.col("p_brand"), F.lit("fr")))
+            .union(row(part.where(size % 2 == 0), uri("p_partkey"), "description", F.col("p_type"), F.lit("en"))).union(row(part.where(size % 2 == 1), uri("p_partkey"), "description", F.col("p_type"), F.lit("fr")))
+            .union(row(part.where(size % 7 == 0), uri("p_partkey"), "language", F.col("p_type"))).union(row(part.where(size % 5 == 0), uri("p_partkey"), "gender", F.col("p_brand")))
             .union(row(items, uri("l_partkey"), "same_as", uri("l_suppkey"))))
 
 
@@ -457,9 +499,14 @@ def sparql_offset(spark, sf):
     return knowledge.page_at(_triples(spark, sf), "Q202444", 60, 30)
 
 
-@query("SELECT DISTINCT qid, n FROM t WHERE type = 'Q202444' AND starts_with(qid, 'Q12')", steps=TRIPLES)
+@query("SELECT DISTINCT qid, n FROM t WHERE type = 'Q202444' AND starts_with(qid, 'Q12') AND n > 12 ORDER BY n LIMIT 25", steps=TRIPLES)
 def sparql_prefix(spark, sf):
-    return knowledge.with_prefix(_triples(spark, sf), "Q202444", "12")
+    return knowledge.with_prefix(_triples(spark, sf), "Q202444", "12", after=12, size=25)
+
+
+@query("SELECT 'Q' || CAST(max(p_partkey) AS VARCHAR) AS qid FROM part")
+def max_qid(spark, sf):
+    return knowledge.max_qid(knowledge.typed(_triples(spark, sf)))
 
 
 @query("SELECT DISTINCT s.a, s.b FROM s JOIN t x ON x.qid = s.a JOIN t y ON y.qid = s.b AND y.type = x.type WHERE s.a < s.b", steps=TRIPLES)
@@ -483,7 +530,7 @@ def sparql_count(spark, sf):
     return knowledge.count_typed(_triples(spark, sf), "Q202444", "Q11879590")
 
 
-@query("SELECT DISTINCT t.qid, p_name AS label, CASE WHEN p_size % 3 = 0 THEN p_brand END AS native_label, CAST(NULL AS VARCHAR) AS description FROM t JOIN part ON p_partkey = t.n WHERE type = 'Q202444'", steps=TRIPLES)
+@query("SELECT DISTINCT t.qid, p_name AS label, CASE WHEN p_size % 3 = 0 THEN p_brand END AS native_label, CASE WHEN p_size % 2 = 0 THEN p_type END AS description, CASE WHEN p_size % 7 = 0 THEN p_type END AS language, CASE WHEN p_size % 5 = 0 THEN p_brand END AS gender FROM t JOIN part ON p_partkey = t.n WHERE type = 'Q202444'", steps=TRIPLES)
 def sparql_optional(spark, sf):
     return knowledge.with_optionals(_triples(spark, sf), "Q202444")
 
@@ -508,23 +555,35 @@ def upsert_overwrite(spark, sf):
 
 
 @query("""SELECT coalesce(n.wk, b.wk) AS wiktionary_key, CASE WHEN b.wk IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.wk IS NULL THEN n.language ELSE coalesce(b.language, n.language) END AS language
- FROM (SELECT * FROM names WHERE wk IS NOT NULL) n FULL JOIN (SELECT 'p:' || CAST(p_partkey AS VARCHAR) AS wk, upper(p_name) AS label, CASE WHEN p_size % 2 = 0 THEN p_brand END AS language FROM part WHERE p_partkey % 2 = 0) b ON b.wk = n.wk""", "names")
+ FROM (SELECT * FROM names WHERE wk IS NOT NULL) n FULL JOIN (SELECT 'p:' || CAST(p_partkey AS VARCHAR) AS wk, upper(p_name) AS label, CASE WHEN p_size % 2 = 0 THEN p_brand END AS language FROM part) b ON b.wk = n.wk""", "names")
 def upsert_coalesce(spark, sf):
     target = Catalog.part(spark, sf, "names").where("wk IS NOT NULL").select("id", F.col("wk").alias("wiktionary_key"), "label", "language", "gender")
-    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 2 = 0")
+    part = spark.read.parquet(f"{sf}/part.parquet")
     rows = part.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("wiktionary_key"), F.upper("p_name").alias("label"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("language"), F.lit(None).cast("string").alias("gender"))
     return merge.upsert_names_by_key(target, rows).select("wiktionary_key", "label", "language")
 
 
-FRESH = " fresh AS (SELECT DISTINCT least('P' || CAST(l_partkey AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR)) AS name_a, greatest('P' || CAST(l_partkey AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR)) AS name_b FROM lineitem WHERE l_quantity = 49 AND l_discount = 0.1 OR l_quantity = 50 AND l_discount = 0.1)"
+FRESH = " fresh AS (SELECT DISTINCT least('P' || CAST(l_partkey AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR)) AS name_a, greatest('P' || CAST(l_partkey AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR)) AS name_b FROM lineitem), old AS (SELECT * FROM relations WHERE confidence = 'sourced')"
 
 
-@query("SELECT name_a, name_b, confidence FROM relations UNION ALL SELECT f.name_a, f.name_b, 'community' FROM fresh f ANTI JOIN relations r ON r.name_a = f.name_a AND r.name_b = f.name_b", "relations", steps=FRESH)
+@query("SELECT name_a, name_b, confidence FROM old UNION ALL SELECT f.name_a, f.name_b, 'community' FROM fresh f ANTI JOIN old r ON r.name_a = f.name_a AND r.name_b = f.name_b", "relations", steps=FRESH)
 def insert_ignore(spark, sf):
+    """The sourced relations, and all that the lines of orders say besides."""
     c = Catalog.from_tables(spark, sf)
-    items = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_discount = 0.1 AND l_quantity IN (49, 50)")
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
     edges = items.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name_a"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name_b"), F.lit("community").alias("confidence"))
-    return merge.insert_relations(c.relations, edges, c.names.select("id", F.col("id").alias("key")), "key")
+    return merge.insert_relations(c.relations.where("confidence = 'sourced'"), edges, c.names.select("id", F.col("id").alias("key")), "key")
+
+
+@query("""SELECT coalesce(n.wikidata_qid, b.qid) AS wikidata_qid, CASE WHEN b.qid IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.qid IS NULL THEN n.native_label ELSE b.native_label END AS native_label,
+ CASE WHEN b.qid IS NULL THEN n.gender ELSE b.gender END AS gender FROM (SELECT * FROM names WHERE wikidata_qid IS NOT NULL) n FULL JOIN (
+ SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS qid, upper(p_name) AS label, CASE WHEN p_size % 2 = 0 THEN p_brand END AS native_label, CASE WHEN p_size % 4 = 1 THEN 'male' END AS gender FROM part) b ON b.qid = n.wikidata_qid""", "names")
+def upsert_by_qid(spark, sf):
+    """Overwrites, nulls too, by item."""
+    target = Catalog.part(spark, sf, "names").where("wikidata_qid IS NOT NULL").drop("wk")
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    rows = part.select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("wikidata_qid"), F.upper("p_name").alias("label"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("native_label"), F.lit(None).cast("string").alias("language"), F.when(F.col("p_size") % 4 == 1, "male").alias("gender"))
+    return merge.upsert_names_by_qid(target, rows).select("wikidata_qid", "label", "native_label", "gender")
 
 
 @query("SELECT child_id, parent_id, relation_type, 'manual' AS source FROM lineage WHERE relation_type = 'variant_of' UNION ALL SELECT child_id, parent_id, relation_type, 'wiktionary' FROM lineage WHERE relation_type = 'derived_from' AND child_id LIKE 'C%'", "lineage")
@@ -556,7 +615,7 @@ def table_counts(spark, sf):
     return merge.table_counts(c.names, c.relations, c.enrichments)
 
 
-@query("""SELECT id, degree FROM (SELECT n.id, coalesce(d.degree, 0) AS degree FROM names n LEFT JOIN deg d ON d.id = n.id WHERE n.wk IS NOT NULL ORDER BY degree DESC, n.id LIMIT 100) WHERE degree >= 1
+@query("""SELECT id, degree FROM (SELECT n.id, coalesce(d.degree, 0) AS degree FROM names n LEFT JOIN deg d ON d.id = n.id WHERE n.wikidata_qid IS NOT NULL ORDER BY degree DESC, n.id LIMIT 100) WHERE degree >= 1
  AND id NOT IN (SELECT name_id FROM enrichments WHERE source = 'behindthename') ORDER BY degree DESC, id LIMIT 50""", "names", "relations", "enrichments", steps=BOTH)
 def enrichment_pending(spark, sf):
     c = Catalog.from_tables(spark, sf)
@@ -565,24 +624,27 @@ def enrichment_pending(spark, sf):
 
 @query()
 def lookalikes(spark, sf):
-    return lookalike.rank(Catalog.part(spark, sf, "names").where("id LIKE 'P%'"), "large plaet")
+    return lookalike.rank(Catalog.part(spark, sf, "names"), "large plaet")
 
 
 @query()
 def jaro_winkler(spark, sf):
-    nation = spark.read.parquet(f"{sf}/nation.parquet")
-    return nation.select("n_name", F.round(jaro_winkler_of(plain_label(F.col("n_name")), F.lit("germany")), 6).alias("near"))
+    names = Catalog.part(spark, sf, "names")
+    return names.select("id", F.round(jaro_winkler_of(plain_label(F.col("label")), F.lit("germany")), 6).alias("near"))
+
 
+_SHOWN = "coalesce(nullif(nullif(trim(label), ''), '-'), nullif(nullif(trim(native_label), ''), '-'), '—') AS shown"
+_CODED = "url_encode(replace(label, ' ', '_'))"
+for _mark, _code in (("!", "%21"), ("''", "%27"), ("(", "%28"), (")", "%29"), ("*", "%2A")):
+    _CODED = f"replace({_CODED}, '{_code}', '{_mark}')"
 
-@query("SELECT n.id, coalesce(nullif(nullif(trim(label), ''), '-'), '—') AS shown, 'https://en.wiktionary.org/wiki/' || url_encode(replace(label, ' ', '_')) AS url FROM names n WHERE id LIKE 'P%' OR id LIKE 'N%'", "names")
+
+@query(f"SELECT n.id, {_SHOWN}, 'https://en.wiktionary.org/wiki/' || {_CODED} AS url FROM names n", "names")
 def shown_names(spark, sf):
-    n = Catalog.part(spark, sf, "names").where("id LIKE 'P%' OR id LIKE 'N%'")
-    return n.select("id", tx.shown_name(F.col("label"), F.lit(None).cast("string")).alias("shown"), tx.page_url(F.col("label")).alias("url"))
+    n = Catalog.part(spark, sf, "names")
+    return n.select("id", tx.shown_name(F.col("label"), F.col("native_label")).alias("shown"), tx.page_url(F.col("label")).alias("url"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of a ranked fuzzy search."""
     return search.search(Catalog.from_tables(spark, sf_dir), TERM).select(SHOWN)
-
-
-

@@ -82,8 +82,16 @@ def page_at(triples: DataFrame, type_: str, offset: int, size: int) -> DataFrame
     return typed(triples, type_).select("qid", "n").distinct().orderBy("n").offset(offset).limit(size)
 
 
-def with_prefix(triples: DataFrame, type_: str, digits: str) -> DataFrame:
-    return typed(triples, type_).where(F.col("qid").startswith("Q" + digits)).select("qid", "n").distinct()
+def with_prefix(triples: DataFrame, type_: str, digits: str, after: int | None = None, size: int | None = None) -> DataFrame:
+    """A type's items whose number starts with digits; with a size the next page of them after a number, in order."""
+    found = typed(triples, type_).where(F.col("qid").startswith("Q" + digits)).select("qid", "n").distinct()
+    found = found if after is None else found.where(F.col("n") > after)
+    return found if size is None else found.orderBy("n").limit(size)
+
+
+def max_qid(rows: DataFrame, column: str = "qid") -> DataFrame:
+    """(qid): the item with the largest number."""
+    return rows.agg(F.max_by(column, qid_number(F.col(column))).alias("qid"))
 
 
 def in_window(triples: DataFrame, low: int, high: int, *types: str) -> DataFrame:
@@ -133,14 +141,14 @@ def count_typed(triples: DataFrame, *types: str) -> DataFrame:
 
 
 def with_optionals(triples: DataFrame, type_: str, language: str = "en") -> DataFrame:
-    """A type's items with what else is known of each, null where nothing is: label, native label, description."""
+    """A type's items with what else is known of each, null where nothing is: label, native label, description, language, gender."""
     def value(p: str, name: str, lang: str | None) -> DataFrame:
         rows = triples.where(F.col("p") == p)
         rows = rows.where(F.col("lang") == lang) if lang else rows
         return rows.select(qid_of_uri(F.col("s")).alias("qid"), F.col("o").alias(name)).groupBy("qid").agg(F.min(name).alias(name))
 
     found = typed(triples, type_).select("qid").distinct()
-    for part in (value("label", "label", language), value("native", "native_label", None), value("description", "description", language)):
+    for part in (value("label", "label", language), value("native", "native_label", None), value("description", "description", language), value("language", "language", None), value("gender", "gender", None)):
         found = found.join(part, "qid", "left")
     return found
 
@@ -182,6 +190,6 @@ def usage_rows(replies: DataFrame, url: str = "https://www.behindthename.com/nam
 def pending(names: DataFrame, degree: DataFrame, enrichments: DataFrame, source: str, limit: int, least: int) -> DataFrame:
     """(id, degree) of names yet to be enriched: the best 2 * limit by degree are taken first, then those below the least
     degree or done already go."""
-    ranked = names.where("wk IS NOT NULL").join(degree, "id").select("id", "degree").orderBy(F.desc("degree"), "id").limit(2 * limit)
+    ranked = names.where("wikidata_qid IS NOT NULL").join(degree, "id").select("id", "degree").orderBy(F.desc("degree"), "id").limit(2 * limit)
     done = enrichments.where(F.col("source") == source).select(F.col("name_id").alias("id")).distinct()
     return ranked.where(F.col("degree") >= least).join(done, "id", "left_anti").orderBy(F.desc("degree"), "id").limit(limit)

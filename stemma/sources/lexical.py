@@ -27,15 +27,25 @@ EDGE_ROW = "struct<child:string,parent:string,relation_type:string>"
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON-lines file, gz by suffix; blank and malformed lines are skipped. A gz file is one split, so its
     lines are dealt out before they are parsed."""
-    lines = spark.read.text(path)
-    lines = lines.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else lines
-    return parse(lines)
+    lines = placed(spark.read.text(path))
+    return parse(lines.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else lines)
+
+
+#: Where a line of a file comes from.
+ORIGIN = {"file": "_metadata.file_path", "block": "_metadata.file_block_start"}
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """(value, at) of lines as files give them, or with ORIGIN's columns; at is their place by file and offset, however the
+    files are split."""
+    origin = [F.col(n if n in lines.columns else path).alias(n) for n, path in ORIGIN.items()]
+    return lines.select("value", F.struct(*origin, F.monotonically_increasing_id().alias("line")).alias("at"))
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """(entry) from lines (value); a line that isn't a JSON object gives no row."""
     parsed = F.from_json("value", schema.LEXICAL_ENTRY + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.where(F.trim("value") != "").select(parsed.alias("entry")).where("entry IS NOT NULL AND entry._bad IS NULL")
+    return lines.where(F.trim("value") != "").select(parsed.alias("entry"), *(["at"] if "at" in lines.columns else [])).where("entry IS NOT NULL AND entry._bad IS NULL")
 
 
 def counts(lines: DataFrame) -> DataFrame:
@@ -170,7 +180,7 @@ def transform(entries: DataFrame) -> DataFrame:
     entry = F.col("entry")
     kept = entries.where(is_given_name(entry) & (trimmed(F.coalesce(entry["word"], F.lit(""))) != ""))
     code = F.lower(F.coalesce(entry["lang_code"], F.lit("en")))
-    rows = kept.withColumns({"ordinal": F.monotonically_increasing_id(), "lang_code": code, "label": collapsed(composed(entry["word"]))})
+    rows = kept.withColumns({"ordinal": F.col("at") if "at" in entries.columns else F.monotonically_increasing_id(), "lang_code": code, "label": collapsed(composed(entry["word"]))})
     me = F.struct("lang_code", "label").cast(_TERM)
     code = F.col("lang_code")
     steps = F.concat(*(c.cast(f"array<{_STEP}>") for c in (rule_templates(entry, me, code), rule_etymology(entry, me, code), rule_glosses(entry, me, code), rule_descendants(entry, me))))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, one machine) a folder is made once and set."""
+    """The session's spark.checkpoint.dir; where it is unset and all runs on one machine a folder is made once and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stemma-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stemma.catalog import Catalog, conform
+from stemma.functions.text import LANGUAGE_OF_CODE, lookup
 from stemma.operators.merge import insert_ignore, upsert_names_by_key
 from stemma.sources import lexical
 from stemma.sources.shared import materialize
@@ -16,15 +17,15 @@ def merge_batch(spark: SparkSession, path: str, lines: DataFrame) -> None:
     """Merges lines into the catalogue below path; a replayed batch changes nothing."""
     catalog = Catalog.load(spark, path)
     t = materialize(lexical.transform(lexical.parse(lines)), "ingest_entries")
-    rows = lexical.names(t).select(F.col("key").alias("wiktionary_key"), "label", F.coalesce("language", F.lit(None)).alias("language"), "gender")
+    rows = lexical.names(t).select(F.col("key").alias("wiktionary_key"), "label", F.coalesce("language", lookup(LANGUAGE_OF_CODE, F.lower("lang_code"))).alias("language"), "gender")
     names = materialize(upsert_names_by_key(catalog.names.withColumnRenamed("wk", "wiktionary_key"), rows), "ingest_names")
     ids = names.select(F.col("wiktionary_key").alias("key"), "id").where("key IS NOT NULL")
     edges = lexical.edges(t).join(ids.toDF("child", "child_id"), "child").join(ids.toDF("parent", "parent_id"), "parent").select("child_id", "parent_id", "relation_type", "source_url")
     lineage = materialize(insert_ignore(catalog.lineage, conform(edges, "name_lineage"), ["child_id", "parent_id", "relation_type"]), "ingest_lineage")
-    Catalog(names.withColumnRenamed("wiktionary_key", "wk"), materialize(catalog.relations, "ingest_relations"), lineage, materialize(catalog.enrichments, "ingest_enrichments")).save(path)
+    Catalog(names.withColumnRenamed("wiktionary_key", "wk"), catalog.relations, lineage, catalog.enrichments).save(path, only=("names", "name_lineage"))
 
 
 def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
     """Reads all files of a folder that weren't read before, then stops; progress is in the checkpoint folder."""
-    lines = spark.readStream.text(folder)
-    return lines.writeStream.foreachBatch(lambda batch, _: merge_batch(spark, path, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    lines = spark.readStream.text(folder).select("value", *(F.col(path).alias(n) for n, path in lexical.ORIGIN.items()))
+    return lines.writeStream.foreachBatch(lambda batch, _: merge_batch(spark, path, lexical.placed(batch))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -45,7 +45,7 @@ def test_components_of_chains_stars_and_noise(spark):
 @pytest.fixture(scope="module")
 def demo(spark):
     names = [("ma", "Maria", "Greek", None, "el:maria"), ("mb", "Mary", "English", None, None), ("mc", "Miriam", "Hebrew", None, None), ("ya", "Yusuf", "Arabic", None, None), ("yb", "Joseph", "English", None, None), ("xx", "MARY", None, None, None)]
-    return Catalog(spark.createDataFrame(names, "id string, label string, language string, gender string, wk string").cache(),
+    return Catalog(spark.createDataFrame(names, "id string, label string, language string, gender string, wk string").withColumns({"native_label": F.lit(None).cast("string"), "wikidata_qid": F.when(F.col("id") == "ma", "Q9")}).cache(),
                    spark.createDataFrame([("ma", "mb", "community"), ("ma", "mc", "community"), ("mb", "mc", "community"), ("ya", "yb", "community")], "name_a string, name_b string, confidence string").cache(),
                    spark.createDataFrame([("ma", "mc", "derived_from"), ("mb", "ma", "derived_from")], "child_id string, parent_id string, relation_type string").cache(),
                    spark.createDataFrame([("ma", "wikidata", "meaning", "beloved"), ("yb", "wikidata", "etymology", "he adds")], "name_id string, source string, field string, content string").cache())

@@ -8,7 +8,7 @@ import pytest
 
 from stemma.plans.queries import ORACLES, QUERIES, flagship
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 
 
