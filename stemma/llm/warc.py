@@ -2,14 +2,17 @@
 
 Writing: pages with equal payloads are found by digest; the one with the smallest id becomes a response record, the
 others revisit records that carry no payload. Each task packs its records into archives of about ARCHIVE_BYTES: a ZIP
-with a stored WARC member and a stored CDXJ index. Reading: the end of central directory is located in the archive's
-tail, ZIP64 records are followed where there are any, the central directory gives the members, their local headers give
-the data's place, and each record named by the index is read by its range; nothing is extracted.
+with a stored WARC member, its records packed each by itself if gzip is asked, and a stored CDXJ index. Reading: the end
+of central directory is located in the archive's tail, ZIP64 records are followed where there are any, the central
+directory gives the members, their local headers give the data's place, and each record named by an index member (any
+below indexes/, plain or gzip) is read by its range from the stored member below archive/ that the index names; nothing is
+extracted.
 
-Archives are rows (name, content), so Spark's own writers and readers move them to and from any store; binaryFile reads
-ZIP files from a folder in the same form, and export writes them there.
+Archives are rows (name, content), so Spark's own writers and readers move them to and from any store. unpack_files reads
+archives that lie in a folder as files: Spark lists them, and each is opened once and read by ranges, never whole.
 
 Null html is an empty payload; null urls have no target header and read back as null; null ids lose against all others.
+The target header has a url's control characters and white space percent-encoded; the index has the url itself.
 Of rows that agree in id and payload one is the response. Payloads shorter than least_bytes are never revisits.
 Truncated or compressed members and damaged directories are errors, not skipped. Other columns may have any names.
 """
@@ -17,10 +20,12 @@ Truncated or compressed members and damaged directories are errors, not skipped.
 from __future__ import annotations
 
 import base64
+import gzip as zipped
 import hashlib
 import json
 import os
 import struct
+import urllib.parse
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import workers_find_package
+from stemma.llm.common import pieces, workers_find_package
 from stemma.sources.shared import materialize
 
 ARCHIVE_BYTES = 16 << 20
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVE, INDEXES, WARC_NAME = "archive/", "indexes/", "data.warc"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Signatures of the ZIP format.
@@ -138,11 +143,15 @@ def _fields(head: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
 
 
+def _written(url: str) -> str:
+    return "".join(urllib.parse.quote(c, errors="surrogatepass") if c.isspace() or not c.isprintable() else c for c in url)
+
+
 def _record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
-    lines += [] if url is None else [f"WARC-Target-URI: {json.dumps(url)[1:-1]}"]
+    lines += [] if url is None else [f"WARC-Target-URI: {_written(url)}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{'' if refers_to is None else refers_to}>"] * (kind == "revisit")
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
@@ -168,7 +177,7 @@ def decide(pages: DataFrame, html: str = "html", page_id: str = "page_id", least
     return done
 
 
-def pack(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url", archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False, least_bytes: int = 0) -> DataFrame:
+def pack(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url", archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False, least_bytes: int = 0, gzip: bool = False) -> DataFrame:
     """Archives (name, content) that hold a record for each row of pages."""
     workers_find_package(pages.sparkSession)
     decided = decide(pages, html, page_id, least_bytes)
@@ -177,22 +186,24 @@ def pack(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: st
     def write(batches):
         part, made = TaskContext.get().partitionId(), 0
         warc, index = bytearray(), []
+        named = WARC_NAME + ".gz" * gzip
 
         def archive():
             nonlocal made
             name = f"part-{part:06d}-{made:04d}.wacz"
-            content = pack_zip([(WARC_MEMBER, bytes(warc)), (INDEX_MEMBER, "\n".join(index).encode("utf-8", "surrogatepass"))], zip64)
+            content = pack_zip([(ARCHIVE + named, bytes(warc)), (INDEXES + "index.cdxj", "\n".join(index).encode("utf-8", "surrogatepass"))], zip64)
             made += 1
             warc.clear()
             index.clear()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["name", "content"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             for i, link, body, kind, refers in zip(*(batch.column(n).to_pylist() for n in ("id", "url", "html", "__type", "__refers_to"))):
                 payload = (body or "").encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 record = _record(kind, i, link, payload, digest, refers)
-                about = {"url": link, "digest": f"sha1:{digest}", "mime": "text/html", "filename": WARC_MEMBER, "offset": len(warc), "length": len(record)}
+                record = zipped.compress(record, 6, mtime=0) if gzip else record
+                about = {"url": link, "digest": f"sha1:{digest}", "mime": "text/html", "filename": named, "offset": len(warc), "length": len(record)}
                 index.append(f"{digest} {DATE[:4]}0101000000 {json.dumps(about)}")
                 warc.extend(record)
                 if len(warc) >= archive_bytes:
@@ -203,17 +214,30 @@ def pack(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: st
     return rows.mapInArrow(write, "name string, content binary")
 
 
+def _unzipped(raw: bytes) -> bytes:
+    return zipped.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
 def read_records(size: int, read: Callable[[int, int], bytes]) -> Iterator[dict]:
     """The records of one archive, in the order of its index."""
     archive = RangeZip(size, read)
-    start, end = archive.start(WARC_MEMBER), archive.members[WARC_MEMBER].size
-    for line in archive.member(INDEX_MEMBER).decode("utf-8", "surrogatepass").split("\n"):
-        if not line:
+    indexes = sorted(n for n in archive.members if n.startswith(INDEXES) and n.removesuffix(".gz").endswith((".cdx", ".cdxj")))
+    if not indexes:
+        raise ValueError("no index of records")
+    starts: dict[str, int] = {}
+    for line in (line for n in indexes for line in _unzipped(archive.member(n)).decode("utf-8", "surrogatepass").split("\n")):
+        if "{" not in line:  # blank, or a header
             continue
-        about = json.loads(line.split(" ", 2)[2])
-        if about["offset"] + about["length"] > end:
+        about = json.loads(line[line.index("{") :])
+        member = about["filename"] if about["filename"] in archive.members else ARCHIVE + about["filename"]
+        if member not in archive.members:
+            raise ValueError(f"the index names {about['filename']}, which is no member")
+        if member not in starts:
+            starts[member] = archive.start(member)
+        at, length = int(about["offset"]), int(about["length"])
+        if at + length > archive.members[member].size:
             raise ValueError("the index points beyond its member")
-        raw = read(start + about["offset"], about["length"])
+        raw = _unzipped(read(starts[member] + at, length))
         head, _, rest = raw.partition(b"\r\n\r\n")
         warc = _fields(head)
         block = rest[: int(warc["Content-Length"])]
@@ -225,43 +249,60 @@ def read_records(size: int, read: Callable[[int, int], bytes]) -> Iterator[dict]
             raise ValueError(f"a payload doesn't fit its record {warc['WARC-Record-ID']}")
         link = warc.get("WARC-Target-URI")
         page = lambda x: x[len("<urn:x-page:") : -1] or None
-        yield {"page_id": page(warc["WARC-Record-ID"]), "url": None if link is None else json.loads(f'"{link}"'), "payload_bytes": n, "payload_digest": digest,
+        yield {"page_id": page(warc["WARC-Record-ID"]), "url": about.get("url", link), "payload_bytes": n, "payload_digest": digest,
                "record_type": warc["WARC-Type"], "refers_to": page(warc["WARC-Refers-To"]) if "WARC-Refers-To" in warc else None, "payload": payload if full else None}
 
 
 FIELDS = {"page_id": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload": pa.binary()}
 
 
+def _batches(found: Iterator[dict], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Records in batches of bounded size."""
+    rows = lambda held: pa.RecordBatch.from_arrays([pa.array([x[n] for x in held], kind) for n, kind in FIELDS.items()], names=list(FIELDS))
+    held, size = [], 0
+    for record in found:
+        held.append(record if payloads else record | {"payload": None})
+        size += len(held[-1]["payload"] or b"")
+        if size > ARCHIVE_BYTES or len(held) > 10_000:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+RECORD = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
+
+
 def unpack(archives: DataFrame, content: str = "content", payloads: bool = True) -> DataFrame:
     """The records of archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for
     revisits, or for all if payloads is false)."""
     workers_find_package(archives.sparkSession)
 
-    def rows(found: list[dict]):
-        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], kind) for n, kind in FIELDS.items()], names=list(FIELDS))
-
     def read(batches):
         for batch in batches:
             for cell in batch.column(0):
                 whole = memoryview(cell.as_buffer())
-                held, size = [], 0
-                for record in read_records(len(whole), lambda at, n: bytes(whole[at : at + n])):
-                    if not payloads:
-                        record["payload"] = None
-                    held.append(record)
-                    size += len(record["payload"] or b"")
-                    if size > ARCHIVE_BYTES or len(held) > 10_000:
-                        yield rows(held)
-                        held, size = [], 0
-                if held:
-                    yield rows(held)
-
-    return archives.select(content).mapInArrow(read, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
-
-
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """ZIP archives in a folder, as unpack takes them."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(path)
+                yield from _batches(read_records(len(whole), lambda at, n: bytes(whole[at : at + n])), payloads)
+
+    return archives.select(content).mapInArrow(read, RECORD)
+
+
+def unpack_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of the archives that lie as files in a folder of any store that workers can open by its address. Only
+    names and lengths pass through Spark."""
+    workers_find_package(spark)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(path).select("path", "length")
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for where, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                store, name = fs.FileSystem.from_uri(where if "://" in where else where.replace("file:/", "file:///", 1))
+                with store.open_input_file(name) as f:
+                    yield from _batches(read_records(size, lambda at, n: f.read_at(n, at)), payloads)
+
+    return listed.mapInArrow(read, RECORD)
 
 
 def export(archives: DataFrame, folder: str) -> None:
