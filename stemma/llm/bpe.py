@@ -5,7 +5,9 @@ start, so a chunk's first boundaries may be wrong. The pattern looks ahead but n
 have one boundary in common all later ones agree: that is where they are stitched, at a boundary with no white space
 before it, so that a piece alone splits as it does inside the text. From the first pair of neighbours without such a
 boundary (thousands of letters without a break) the rest of the text is one piece. The pieces are then encoded
-in parallel and their ids put together in order. A text of one chunk is one piece.
+in parallel and their ids put together in order. A text of one chunk is one piece. The chunks of a text of more than
+SPREAD characters go to different tasks; those of a shorter one stay in its row's task, as moving them costs more than it
+saves. Both ways give the same ids.
 
 Null text counts as empty and has no ids. Repeated rows and null ids need no care, as no column serves as a key.
 Columns of the input with the name of an output are replaced.
@@ -14,6 +16,7 @@ Columns of the input with the name of an output are replaced.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from stemma.llm.common import arrow_map, others, pieces, workers_find_package
 
-CHUNK, OVERLAP = 1 << 14, 1 << 11
+CHUNK, OVERLAP, SPREAD = 1 << 14, 1 << 11, 1 << 18
 #: A boundary so near the end of a chunk may depend on what follows: the longest contraction has three characters.
 UNSURE = 3
 
@@ -59,10 +62,11 @@ def _list_array(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else [], kind))
 
 
-def _encoder(shared, pattern: str, text: str):
+def _encoder(shared, pattern: str, text: str, cut: Callable[[str], list[str]] = lambda x: [x]):
     def batch(b: pa.RecordBatch) -> list:
         encode = _encoding(shared.value, pattern).encode_to_numpy
-        return [_list_array([encode(x.as_py() or "", disallowed_special=()).astype(np.int32) for x in b.column(text)], pa.int32())]
+        ids = (np.concatenate([encode(piece, disallowed_special=()).astype(np.int32) for piece in cut(x.as_py() or "")]) for x in b.column(text))
+        return [_list_array(list(ids), pa.int32())]
 
     return batch
 
@@ -72,6 +76,27 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.finditer(pattern, text) if not m.group()[-1].isspace()]
 
 
+def _edges(part: str, pattern: str, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's boundaries up to overlap, and its sure ones beyond chunk as its neighbour counts them."""
+    ends = np.array(boundaries(part, pattern), np.int32)
+    sure = ends[ends <= len(part) - UNSURE]
+    return ends[ends <= overlap], sure[sure > chunk] - chunk
+
+
+def stitched(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The pieces of one text."""
+    at, tail = [0], None
+    for start in range(0, len(text) if len(text) > chunk else 0, chunk):
+        head, after = _edges(text[start : start + chunk + overlap], pattern, chunk, overlap)
+        if tail is not None:
+            met = np.intersect1d(tail, head)
+            if not len(met):
+                break
+            at.append(start + int(met[0]))
+        tail = after
+    return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
+
+
 def _cut(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Chunks (__rid, __row, __text, __k) of long texts; __row with a text's first chunk only."""
     def run(batches):
@@ -96,10 +121,8 @@ def _stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
     def edges(b: pa.RecordBatch) -> list:
         head, tail = [], []
         for x in b.column("__text"):
-            ends = np.array(boundaries(x.as_py(), pattern), np.int32)
-            sure = ends[ends <= len(x.as_py()) - UNSURE]
-            head.append(ends[ends <= overlap])
-            tail.append(sure[sure > chunk] - chunk)
+            for found, part in zip((head, tail), _edges(x.as_py(), pattern, chunk, overlap)):
+                found.append(part)
         return [_list_array(head, pa.int32()), _list_array(tail, pa.int32())]
 
     marked = arrow_map(cut.repartition("__rid", "__k"), "__head array<int>, __tail array<int>", edges)
@@ -116,7 +139,7 @@ def _stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
             .select("__rid", "__piece", "__row", F.array_join(F.col("__parts.__text"), "").alias("__text")))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """df (its columns in keep, all by default) with the token ids of each whole text, as an array of int."""
     spark: SparkSession = df.sparkSession
     workers_find_package(spark)
@@ -124,10 +147,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     kept = [c for c in others(df, ids) if keep is None or c in keep]
     # The marker column is there even if nothing else is kept.
     rows = df.select(F.struct(F.lit(True).alias("__here"), *(F.col(f"`{c}`") for c in kept)).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    short = arrow_map(rows.where(F.char_length("__text") <= chunk), "__ids array<int>", _encoder(shared, pattern, "__text"), ["__row"])
-    long = rows.where(F.char_length("__text") > chunk).withColumn("__rid", F.monotonically_increasing_id())
-    stitched = _stitched(long, pattern, chunk, overlap).repartition("__rid", "__piece")
-    coded = arrow_map(stitched, "__ids array<int>", _encoder(shared, pattern, "__text"), ["__rid", "__piece", "__row"])
+    apart = F.char_length("__text") > max(spread, chunk)
+    short = arrow_map(rows.where(~apart), "__ids array<int>", _encoder(shared, pattern, "__text", lambda x: stitched(x, pattern, chunk, overlap)), ["__row"])
+    long = rows.where(apart).withColumn("__rid", F.monotonically_increasing_id())
+    joined = _stitched(long, pattern, chunk, overlap).repartition("__rid", "__piece")
+    coded = arrow_map(joined, "__ids array<int>", _encoder(shared, pattern, "__text"), ["__rid", "__piece", "__row"])
     joined = (coded.groupBy("__rid").agg(F.first("__row", True).alias("__row"), F.array_sort(F.collect_list(F.struct("__piece", "__ids"))).alias("__parts"))
               .select("__row", F.flatten("__parts.__ids").alias("__ids")))
     return short.union(joined).select(*(F.col(f"__row.`{c}`") for c in kept), F.col("__ids").alias(ids))

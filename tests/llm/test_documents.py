@@ -32,10 +32,10 @@ def norm(t):
     return re.sub("[ \t-\r]+", " ", t or "")
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 1 << 12), (50, 16), (97, 40)])
-def test_bpe(docs, raw, none, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,spread", [(bpe.CHUNK, bpe.OVERLAP, bpe.SPREAD), (50, 16, 0), (97, 40, 0), (97, 40, bpe.SPREAD), (50, 16, 1000)])
+def test_bpe(docs, raw, none, chunk, overlap, spread):
     enc = tokenizer()
-    got = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+    got = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, spread=spread)
     assert [c for c in got.columns if c != "ids"] == [c for c in docs.columns if c != "ids"]
     back = bpe.decode(got, RANKS, "ids", "bytes", "packed").select("doc_id", "ids", "bytes", "packed").collect()
     want = Counter((r[0], tuple(enc.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in raw)
