@@ -4,8 +4,8 @@ Base spans (e-mail, IP, card, phone) follow fixed patterns and checks and always
 further, overlapping spans: e-mail addresses written out in words or signs, phone numbers without a country code or with
 a leading zero, account and social security numbers, assigned secrets of any length, bare keys, private key blocks. Each
 candidate gets features of its form and its surroundings, and gradient-boosted trees, written out as CASE expressions,
-give it a score. A candidate above its kind's threshold is added unless it overlaps a base span or an added one with a
-better score. The trees are trained on the driver on a fixed number of generated examples (EXAMPLES), whose features come
+give it a score. A candidate above its kind's threshold is added unless it overlaps a base span or a longer one (of equal
+length the one with the better score) that is added. The trees are trained on the driver on a fixed number of generated examples (EXAMPLES), whose features come
 from the same expressions; half of the examples set the thresholds.
 
 Every pattern runs in time proportional to the text: where the plain form of a pattern would try each character of a
@@ -41,7 +41,7 @@ HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "pho
 EDGE, NO_EDGE = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 _AT, _DOT = r"(?:\x20?(?:\[at\]|\(at\)|\{at\}|<at>)\x20?|\x20at\x20)", r"(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\x20?|\x20dot\x20)"
 PROPOSED = {
-    "email_words": r"(?i)" + EDGE + r"[A-Za-z0-9._%+-]++" + _AT + r"[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)++",
+    "email_words": r"(?i)" + EDGE + r"[A-Za-z0-9._%+-]++" + _AT + r"[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)++(?!\x20at\x20)",
     "iban": EDGE + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?" + NO_EDGE,
     "phone_local": r"(?<![A-Za-z0-9+.-])(?:\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|\(?0[0-9]{1,4}\)?(?:[\x20./-][0-9]{2,7}){1,4})" + NO_EDGE,
     "secret": r"(?i)" + EDGE + r"(?:[A-Za-z0-9]{1,20}[_-]){0,4}(?:api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|key|token|bearer|secret|passwd|passphrase|password|pwd)\"?\x20?(?::=|=>|[=:])\x20?[\"']?[A-Za-z0-9_/+.!@#$%^&*~-][A-Za-z0-9_/+.!@#$%^&*~=-]{5,}+[\"']?",
@@ -52,6 +52,7 @@ PROPOSED = {
 PROPOSED_HINT = {"email_words": r"(?i)(?:[\[({<]at[\])}>]|\x20at\x20[A-Za-z0-9-]++(?:\.|\x20dot\x20|\x20?[\[({<]dot))", "iban": r"[A-Z]{2}[0-9]{2}", "phone_local": r"[0-9]{3}[\x20./-]?[0-9]{2}|0[0-9]{1,4}\)?[\x20./-][0-9]", "secret": r"(?i)(?:key|token|bearer|secret|passwd|passphrase|password|pwd)\"?\x20?[=:]", "ssn": r"[0-9]{3}[\x20-][0-9]{2}[\x20-]", "bare_key": r"[A-Za-z0-9_/+-]{16}", "private_key": r"PRIVATE KEY"}
 CUES = r"(?i)(?:mail|contact|write|call|phone|tel|mobile|fax|reach|account|iban|bank|pay|ssn|social|security|insurance|login|key|auth|secret|token|credential|bearer|whatsapp|sms)"
 OTHER_CUES = r"(?i)(?:order|invoice|version|isbn|ref|item|part|serial|build|commit|sha|hash|md5|checksum|digest|page|room|track|score|ticket|case|model|date|id)\b[^A-Za-z]*$"
+DOMAIN = r"(?i)[^a-z](?:com|org|net|edu|gov|info|io|ai|app|dev|co|eu|de|fr|es|it|nl|ch|at|be|pl|se|no|dk|fi|pt|uk|us|ca|au|in|jp|cn|br|mx|ru)$"
 SPAN = "array<struct<s:int,e:int,m:string,left:string,right:string>>"
 AROUND, STEP = 24, 256
 EXAMPLES, TREES, RATE, PRECISION = 3500, 60, 0.3, 0.98
@@ -114,7 +115,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: valid(kind) for kind in BASE}
 
 
-FEATURES = ["kind", "length", "digits", "letters", "upper", "runs", "variety", "zeros", "first", "cue", "other_cue", "glued_left", "glued_right", "quoted", "mixed", "marked", "words"]
+FEATURES = ["kind", "length", "digits", "letters", "upper", "runs", "variety", "zeros", "first", "cue", "other_cue", "glued_left", "glued_right", "quoted", "mixed", "marked", "words", "domain"]
 
 
 def _features(kind: int, x: Column) -> Column:
@@ -127,7 +128,7 @@ def _features(kind: int, x: Column) -> Column:
     made = [F.lit(float(kind)), F.char_length(tail), F.char_length(_digits(tail)), count(tail, "[^A-Za-z]"), count(tail, "[^A-Z]"),
             F.size(F.split(tail, r"[^A-Za-z0-9]+")), F.size(F.array_distinct(F.split(F.left(tail, F.lit(64)), ""))), count(tail, "[^0]"), first, yes(x["left"].rlike(CUES)), yes(x["left"].rlike(OTHER_CUES)),
             yes(x["left"].rlike("[A-Za-z0-9]$")), yes(x["right"].rlike("^[A-Za-z0-9]")), yes(m.rlike("[\"']")), yes(tail.rlike("[0-9][A-Za-z]") & tail.rlike("[A-Za-z][0-9]")),
-            yes(m.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|(?:sk|pk|rk)[_-]|xox[abprs]-|eyJ)|[\[({<]|(?i)\x20dot\x20")), yes(tail.rlike("^[a-z]+(?:[_.-][a-z]+)*[\"']?$"))]
+            yes(m.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|(?:sk|pk|rk)[_-]|xox[abprs]-|eyJ)|[\[({<]|(?i)\x20dot\x20")), yes(tail.rlike("^[a-z]+(?:[_.-][a-z]+)*[\"']?$")), yes(m.rlike(DOMAIN))]
     return F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in made))
 
 
@@ -161,8 +162,8 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str, float]]:
         if kind == "email_words":
             at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", "."), ("{at}", "{dot}"), (" at ", " dot "), (" AT ", " DOT "), (" <at> ", " <dot> ")])
             if good:
-                return f"{r.choice([word() + '.' + word(), word(), word() + digits(2)])}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'io', 'co'])}"
-            return r.choice([f"{digits(2)} at {digits(2)}.{digits(1)}", f"{word()} at {word()}.{word()}", f"{word()} at {digits(1)}.{digits(2)}", f"{digits(2)}[at]{digits(2)}.{digits(1)}"])
+                return f"{r.choice([word() + '.' + word(), word(), word() + digits(2)])}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'io', 'co', 'de', 'fr', 'uk'])}"
+            return r.choice([f"{word()}{at}{word()} dot {word()}", f"{digits(2)} at {digits(2)}.{digits(1)}", f"{word()} at {word()}.{word()}", f"{word()} at {digits(1)}.{digits(2)}", f"{digits(2)}[at]{digits(2)}.{digits(1)}"])
         if kind == "iban":
             return r.choice(["DE", "GB", "FR", "ES", "NL", "IT", "CH"]) + digits(2) + (" " * r.randint(0, 1)).join(["", *(digits(4) for _ in range(r.randint(3, 6)))]) + r.choice(["", digits(2)]) if good else code(2, "ABX") + digits(2) + code(r.choice([12, 16]), "ABCDEFXYZ")
         if kind == "phone_local":
@@ -172,7 +173,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str, float]]:
             return r.choice([f"{r.choice(['000', '001'])} {r.choice(['000', '100'])} {digits(1)}000", f"{area}-{digits(3)}-{digits(4)}", f"0{digits(1)}.{digits(2)}.{r.randint(1950, 2030)}", f"0{digits(1)}/{digits(2)}/{r.randint(1950, 2030)}", f"0{digits(1)}-{digits(2)}", f"0{digits(1)}.{digits(2)}"])
         if kind == "secret":
             name, sign = r.choice(["token", "api_key", "secret", "password", "auth_key", "client_secret", "access-key", "DB_PASSWORD", "pwd", "Bearer"]), r.choice([" = ", "=", ": ", ":=", " => "])
-            value = r.choice([code(r.randint(16, 44), "0123456789abcdefABCDEFghkmz"), code(r.randint(16, 40), hexes), code(r.randint(12, 40), mixed), word().title() + code(4, "0123456789") + r.choice("!@#$%") + word(), word() + digits(4)]) if good else r.choice(["required", "optional", "undefined", word() + word() + "ab", word() + "_" + word() + "_name", word() + "-" + word(), "********", "<your.key>", "None.None", "example"])
+            value = r.choice([code(r.randint(16, 44), "0123456789abcdefABCDEFghkmz"), code(r.randint(16, 40), hexes), code(r.randint(12, 40), mixed), word().title() + code(4, "0123456789") + r.choice("!@#$%") + word(), word() + digits(4), word() + digits(2) + word(), code(r.randint(3, 5), mixed) + r.choice("!@#$%&") + code(r.randint(4, 8), mixed) + digits(1)]) if good else r.choice(["required", "optional", "undefined", word() + word() + "ab", word() + "_" + word() + "_name", word() + "-" + word(), "********", "<your.key>", "None.None", "example"])
             value = longer() if good and own.random() < 0.4 else value
             return f'{name}{sign}"{value}"' if r.random() < 0.5 else f"{name}{sign}{value}"
         if kind == "bare_key":
@@ -290,11 +291,11 @@ def find(docs: DataFrame, model: Trees, text: str = "text", out: tuple[str, str]
     fixed = F.transform(F.concat(*(F.col(f"__base.{kind}") for kind in BASE)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("kind")))
     every = F.array_sort(F.concat(fixed, F.transform(F.col("__scored"), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["cost"].alias("cost"), c["kind"].alias("kind")))))
     meets = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    none = F.array().cast("array<struct<cost:double,s:int,e:int,kind:string>>")
+    none = F.array().cast("array<struct<less:int,cost:double,s:int,e:int,kind:string>>")
 
     def best(run: Column) -> Column:
         free = F.filter(run, lambda c: c["cost"].isNotNull() & ~F.exists(run, lambda b: b["cost"].isNull() & meets(b, c)))
-        ordered = F.array_sort(F.transform(free, lambda c: F.struct(c["cost"].alias("cost"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
+        ordered = F.array_sort(F.transform(free, lambda c: F.struct((c["s"] - c["e"]).alias("less"), c["cost"].alias("cost"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
         return F.aggregate(ordered, none, lambda acc, c: F.when(F.exists(acc, lambda b: meets(b, c)), acc).otherwise(F.array_append(acc, c)))
 
     kept = F.flatten(F.transform(_runs(every), best))
