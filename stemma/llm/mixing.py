@@ -11,8 +11,8 @@ Rates become copies within the same table: going from the largest size to the sm
 of copies that brings the words taken so far closest to the words due so far (what a large document's whole copies miss
 is made up by the next sizes), so a source ends within about half of a small document of its target. One task has the
 distinct sizes of a source, never its documents. A size's extra copies go to its documents with the least hashes of id and
-text, up to a bound found by counting hashes in ranges of RANGE documents or so: documents compare their own hash with
-it and never meet. Documents with the very hash of the bound (rows that agree in id and text) share what is left over by
+text, up to a bound found by counting hashes in ranges, as many as the largest size has documents in each of them: two
+steps of the root of their number. Documents compare their own hash with the bound and never meet. Documents with the very hash of the bound (rows that agree in id and text) share what is left over by
 their place in the input. A rerun over the same files gives the same copies.
 
 Null text has size 0. Null sources are one source, the last in order. Documents of size 0 take no words and stay once.
@@ -33,8 +33,8 @@ from stemma.sources.shared import materialize
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 STEPS, CLOSE = 100, 1e-7
-#: Documents of one source and size in a range of hashes, about; cells (source, size) that are broadcast at most.
-RANGE, BROADCAST_CELLS = 4096, 100_000
+#: Cells (source, size) that are broadcast at most.
+BROADCAST_CELLS = 100_000
 #: Sums of rates that come out alike in any order.
 EXACT = "decimal(38,9)"
 
@@ -127,7 +127,7 @@ def _rounded(cells: pd.DataFrame, most: int) -> pd.DataFrame:
 def _bounds(rows: DataFrame, cells: DataFrame, largest: int) -> DataFrame:
     """cells (key, size, base, extra) with bound, the extra-th least hash h of the cell's rows (key, size, h), and tied, the
     share of the rows with that very hash that are among the extra ones."""
-    bits = max(0, math.ceil(math.log2(max(1, largest / RANGE))))
+    bits = math.ceil(math.log2(max(1, largest)) / 2)
     part = F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("bigint")
     wanted = cells.where("extra > 0")
     narrow = rows.select("key", "size", F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("u")).withColumn("part", part)
