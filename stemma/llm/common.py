@@ -48,6 +48,15 @@ def others(df: DataFrame, *replaced: str) -> list[str]:
     return [c for c in df.columns if c not in replaced]
 
 
+def boxed(columns: list[str]) -> Column:
+    """The columns as one, so that inner columns may have any names."""
+    return F.struct(*(columns or [F.lit(None).cast("int").alias("none")])).alias("__row")
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    return [F.col("__row")[c].alias(c) for c in columns]
+
+
 #: Bytes and rows of an Arrow batch that are worked on at a time.
 PART_BYTES, PART_ROWS = 4 << 20, 2048
 
