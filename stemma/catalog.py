@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stemma import schema
+from stemma.store import BUCKETS, Conflict, Snapshot, Store, with_defaults
 
 #: The driver's tables as a catalogue, in SQL that Spark and the oracle share; S stands for the string type.
 ADAPTERS = {
@@ -50,12 +48,18 @@ def oracle_with(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({ADAPTERS[n].replace('AS S)', 'AS VARCHAR)')})" for n in names)
 
 
+#: The catalogue's parts, and the tables that keep them.
+PARTS = {"names": "names", "relations": "name_relations", "lineage": "name_lineage", "enrichments": "name_enrichments"}
+
+
 @dataclass
 class Catalog:
     names: DataFrame
     relations: DataFrame
     lineage: DataFrame
     enrichments: DataFrame
+    #: The version that was loaded, if any.
+    base: Snapshot | None = None
 
     @staticmethod
     def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,71 +79,31 @@ class Catalog:
         return cls(*(cls.part(spark, sf_dir, n) for n in ("names", "relations", "lineage", "enrichments")))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str | None) -> Catalog:
+    def load(cls, spark: SparkSession, path: str | None, version: int | None = None) -> Catalog:
         """The catalogue's newest version below path; without a path an empty one, so that queries give no rows rather than fail."""
-        where = _newest(spark, path) if path else {}
-
-        def read(table: str) -> DataFrame:
-            return with_defaults(spark.read.schema(schema.TABLES[table]).parquet(where[table]), table) if path else spark.createDataFrame([], schema.TABLES[table])
-
-        parts = [read(t) for t in ("names", "name_relations", "name_lineage", "name_enrichments")]
-        return cls(parts[0].withColumnRenamed("wiktionary_key", "wk"), *parts[1:])
-
-    def save(self, path: str, only: tuple[str, ...] = tuple(schema.TABLES)) -> None:
-        """Writes a new version of the tables in only, filling in what they lack; the others stay as they are.
-
-        Tables go to folders of their own; the version is a small file that names a folder for each table and is renamed
-        into place last, so a reader or a crash sees all of the old version or all of the new one.
+        if not path:
+            return cls(*(spark.createDataFrame([], schema.TABLES[t]) for t in PARTS.values())).renamed()
+        base = Store(spark, path).snapshot(version)
+        if not base.version:
+            raise FileNotFoundError(f"no catalogue below {path}")
+        return cls(*(with_defaults(base.table(t), t) for t in PARTS.values()), base).renamed()
+
+    def renamed(self) -> Catalog:
+        self.names = self.names.withColumnRenamed("wiktionary_key", "wk")
+        return self
+
+    def save(self, path: str, only: tuple[str, ...] = tuple(PARTS.values()), buckets: int = BUCKETS) -> None:
+        """Writes the whole content of the tables in only, filling in what they lack; the others stay as they are.
+
+        The save goes on top of the version that the catalogue was loaded from: if another writer has changed one of these
+        tables since, it raises Conflict. A catalogue that was loaded from nowhere can't replace a saved one. Merges of a few
+        rows don't save whole tables: see Store.transact.
         """
-        parts = {"names": self.names.withColumnRenamed("wk", "wiktionary_key"), "name_relations": self.relations, "name_lineage": self.lineage, "name_enrichments": self.enrichments}
-        spark = self.names.sparkSession
-        where = _newest(spark, path) if set(only) < set(schema.TABLES) else {}
-        for table in only:
-            where[table] = f"{path}/{table}/{uuid.uuid4().hex}"
-            conform(parts[table], table).write.parquet(where[table])
-        fs, at = _file_system(spark, f"{path}/versions")
-        number = max([0, *_versions(fs, at)]) + 1
-        fs.mkdirs(at)
-        part = _hadoop_path(spark, f"{path}/versions/.{uuid.uuid4().hex}")
-        out = fs.create(part)
-        out.write(bytearray(json.dumps({t: w.removeprefix(f"{path}/") for t, w in where.items()}).encode()))
-        out.close()
-        if not fs.rename(part, _hadoop_path(spark, f"{path}/versions/{number:08d}")):
-            fs.delete(part, False)
-            raise RuntimeError(f"{path}: another writer has saved version {number}")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = _hadoop_path(spark, path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def _versions(fs, at) -> list[int]:
-    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(n) for n in names if n.isdigit())
-
-
-def _newest(spark: SparkSession, path: str) -> dict[str, str]:
-    """The folder of each table in the newest version below path."""
-    fs, at = _file_system(spark, f"{path}/versions")
-    found = _versions(fs, at)
-    if not found:
-        raise FileNotFoundError(f"no catalogue below {path}")
-    text = "".join(r["value"] for r in spark.read.text(f"{path}/versions/{found[-1]:08d}").collect())  # one line for each version
-    return {t: f"{path}/{w}" for t, w in json.loads(text).items()}
-
-
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """df with exactly the table's columns: missing ones become null or the table's default."""
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(schema.TABLES[table])
-    return with_defaults(df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)), table)
-
-
-def with_defaults(df: DataFrame, table: str) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in schema.DEFAULTS.get(table, {}).items()})
+        store = Store(self.names.sparkSession, path, buckets)
+        base = self.base if self.base and self.base.store.path == path else store.snapshot(0)
+        if not base.version and store.versions():
+            raise Conflict(f"{path} holds a catalogue that this one was not loaded from")
+        parts = {t: getattr(self, a) for a, t in PARTS.items()}
+        parts["names"] = self.names.withColumnRenamed("wk", "wiktionary_key")
+        base.reads = {t: None for t in only}
+        self.base = store.commit(base, {t: parts[t] for t in only}, only)

@@ -24,12 +24,12 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return rows.withColumn("__n", place).where("__n = 1").drop("__n")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[str, str], new_id: Column | None = None, stamps: tuple[str, ...] = ()) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[str, str], new_id: Column | None = None, stamps: tuple[str, ...] = (), born: tuple[str, ...] = ()) -> DataFrame:
     """target's columns after the merge of source; of source rows with one key the first by all columns counts.
 
     policy: of columns that source has: overwrite (nulls too), coalesce (a null keeps the old value) or keep. Rows
     without a match are added whole; their id is new_id or stable_id of the key. stamps: columns of target that say when a
-    row was written.
+    row was written; born: when it was added.
     """
     source = last_per_key(source.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, [F.col(c).asc_nulls_last() for c in source.columns])
     new = source.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(F.col(c).alias(f"__s_{c}") for c in source.columns if c not in keys), F.lit(True).alias("__new"))
@@ -49,15 +49,17 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[s
         return F.when(F.col("__old").isNull(), incoming).when(F.col("__new").isNull(), F.col(c)).otherwise(kept)
 
     stamped = lambda c: F.when(F.col("__new").isNotNull(), F.current_timestamp()).otherwise(F.col(c))
-    return met.select(*((stamped(c) if c in stamps and c not in source.columns else merged(c)).alias(c) for c in target.columns))
+    added = lambda c: F.when(F.col("__old").isNull(), F.current_timestamp()).otherwise(F.col(c))
+    own = lambda c: c not in source.columns
+    return met.select(*((stamped(c) if c in stamps and own(c) else added(c) if c in born and own(c) else merged(c)).alias(c) for c in target.columns))
 
 
 def upsert_names_by_qid(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows, ["wikidata_qid"], {c: OVERWRITE for c in ("label", "native_label", "language", "gender")}, stamps=("updated_at",))
+    return upsert(target, rows, ["wikidata_qid"], {c: OVERWRITE for c in ("label", "native_label", "language", "gender")}, stamps=("updated_at",), born=("created_at",))
 
 
 def upsert_names_by_key(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows, ["wiktionary_key"], {"label": OVERWRITE, "language": COALESCE, "gender": COALESCE}, stamps=("updated_at",))
+    return upsert(target, rows, ["wiktionary_key"], {"label": OVERWRITE, "language": COALESCE, "gender": COALESCE}, stamps=("updated_at",), born=("created_at",))
 
 
 def upsert_enrichments(target: DataFrame, rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -76,11 +78,15 @@ def descriptions(rows: DataFrame, names: DataFrame) -> DataFrame:
     return said.select("name_id", F.lit("wikidata").alias("source"), F.lit("description").alias("field"), F.col("description").alias("content"), link.alias("source_url"))
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """target and those of rows whose key it doesn't have; of rows with one key, any one (the least by all columns)."""
+def fresh_rows(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Those of rows whose key target doesn't have, one for a key: the least by all columns."""
     fresh = rows.join(target.select(keys), keys, "left_anti")
-    first = last_per_key(fresh, keys, [F.col(c).asc_nulls_last() for c in rows.columns])
-    return target.unionByName(first.select(target.columns))
+    return last_per_key(fresh, keys, [F.col(c).asc_nulls_last() for c in rows.columns]).select(target.columns)
+
+
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """target and those of rows whose key it doesn't have."""
+    return target.unionByName(fresh_rows(target, rows, keys))
 
 
 def resolved(edges: DataFrame, ids: DataFrame, key: str, a: str, b: str) -> DataFrame:

@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from stemma.plans.load import KnowledgeLoad, Options, enrich
+from stemma.plans.load import DAILY, KnowledgeLoad, Options, enrich
 from stemma.sources import lexical, remote
 from stemma.sources.progress import choose_input
 from stemma.sources.shared import materialize
@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     of.add_argument("--dry-run", action="store_true")
     of = parts.add_parser("knowledge")
     of.add_argument("--catalog", required=True)
-    of.add_argument("--progress", default="knowledge-progress.json")
+    of.add_argument("--progress", help="beside the catalogue by default")
     of.add_argument("--mode", choices=("search", "scroll", "window", "type-window"), default="search")
     of.add_argument("--type")
     for name, default in (("--page-size", 400), ("--max-pages", None), ("--first", 1), ("--last", 100_000_000), ("--window", 50_000)):
@@ -38,8 +38,8 @@ def parser() -> argparse.ArgumentParser:
     of = parts.add_parser("enrich")
     of.add_argument("--catalog", required=True)
     of.add_argument("--key", default=os.environ.get("USAGE_KEY"))
-    of.add_argument("--limit", type=int, default=100)
-    of.add_argument("--min-degree", type=int, default=1)
+    of.add_argument("--limit", type=int, default=DAILY)
+    of.add_argument("--min-degree", type=int, default=0)
     return args
 
 

@@ -2,7 +2,8 @@
 
 Pages are fetched one after the other, as the services ask, and merged GATHERED at a time; the progress record is
 written after the merge it tells of, so a load that is killed repeats pages but never misses one. Merges are upserts:
-a repeated page changes nothing.
+a repeated page changes nothing. They read the buckets that their keys are in and write what is new or changed, in
+transactions that others may share the catalogue with.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from pyspark.sql import functions as F
 
 from stemma.catalog import Catalog
 from stemma.operators import graph, merge
+from stemma.plans.relations import merge_relations
 from stemma.sources import knowledge, remote
 from stemma.sources.knowledge import BATCH, NAME_TYPES, OFFSET_LIMIT, WINDOW
 from stemma.sources.progress import Progress
 from stemma.sources.shared import materialize
+from stemma.store import Snapshot, Store
 
 #: Pages merged at a time; the narrowest window that is split; items asked for at a time.
 GATHERED, NARROWEST, ENTITIES = 20, 2000, 50
+#: Names that are asked about between two merges, and a day's share of the usage service (fixed value).
+ASKED, DAILY = 50, 4000
 
 
 @dataclass
@@ -39,14 +44,17 @@ class Options:
 
 
 class KnowledgeLoad:
-    def __init__(self, spark: SparkSession, path: str, progress: str, options: Options = Options(), source: remote.Remote | None = None):
-        self.spark, self.path, self.progress, self.options, self.source = spark, path, progress, options, source or remote.Remote()
+    """progress: where the record is kept, beside the catalogue by default."""
+
+    def __init__(self, spark: SparkSession, path: str, progress: str | None = None, options: Options = Options(), source: remote.Remote | None = None):
+        self.spark, self.path, self.progress, self.options, self.source = spark, path, progress or f"{path}/progress.json", options, source or remote.Remote()
+        self.store = Store(spark, path)
 
     def _lines(self, replies: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(r,) for r in replies], "value string")
 
     def _saved(self, phase: str) -> Progress:
-        saved = Progress.load(self.progress) if self.options.resume else None
+        saved = Progress.load(self.progress, self.spark) if self.options.resume else None
         return saved if saved and saved.phase == phase else Progress(phase=phase)
 
     def _each(self, pages: Iterator[tuple[list, Progress]], merge_all: Callable[[list], None]) -> int:
@@ -58,13 +66,13 @@ class KnowledgeLoad:
             stop = self.options.max_pages is not None and n >= self.options.max_pages
             if stop or n % GATHERED == 0:
                 merge_all(held)
-                at.save(self.progress)
+                at.save(self.progress, self.spark)
                 held = []
             if stop:
                 return n
         merge_all(held)
         if at:
-            at.save(self.progress)
+            at.save(self.progress, self.spark)
         return n
 
     # Names.
@@ -72,11 +80,14 @@ class KnowledgeLoad:
     def merge_names(self, rows: DataFrame) -> None:
         """Rows (qid, label, native_label, language, gender, description) into names and descriptions."""
         rows = materialize(rows, "load_rows")
-        catalog = Catalog.load(self.spark, self.path)
         given = rows.select(F.col("qid").alias("wikidata_qid"), "label", "native_label", "language", "gender")
-        names = materialize(merge.upsert_names_by_qid(catalog.names.withColumnRenamed("wk", "wiktionary_key"), given), "load_names")
-        told = merge.upsert_enrichments(catalog.enrichments, merge.descriptions(rows, names))
-        Catalog(names.withColumnRenamed("wiktionary_key", "wk"), catalog.relations, catalog.lineage, materialize(told, "load_notes")).save(self.path, only=("names", "name_enrichments"))
+
+        def change(base: Snapshot) -> dict[str, DataFrame]:
+            known = base.rows("names_by_qid", given.select(F.col("wikidata_qid").alias("value")).dropna())
+            names = materialize(merge.upsert_names_by_qid(base.rows("names", known.select("id")), given), "load_names")
+            return {"names": names, "name_enrichments": _told(base, merge.descriptions(rows, names))}
+
+        self.store.transact(change)
 
     def names(self) -> int:
         """Loads names by the mode: search (then prefixes beyond the search's reach), scroll, window or type-window."""
@@ -90,9 +101,9 @@ class KnowledgeLoad:
                         return done
                     saved.completedTypes.append(type_qid)
                     saved.searchOffset, saved.pendingPrefixes, saved.uriPrefix, saved.after, saved.type = None, [], None, None, None
-                    saved.save(self.progress)
+                    saved.save(self.progress, self.spark)
             if not o.type:
-                Progress.clear(self.progress)
+                Progress.clear(self.progress, self.spark)
             return done
         types = (o.type,) if o.type else ()
         pages = self._scrolled(lambda at, size: remote.names_page(at, size, *types), "names", saved) if o.mode == "scroll" else self._windowed(lambda low, high: remote.names_window(low, high, *types), "names", saved)
@@ -154,30 +165,26 @@ class KnowledgeLoad:
         return self._each(pages, lambda replies: replies and self.merge_edges(knowledge.parse_edges(self._lines(replies))))
 
     def merge_edges(self, found: DataFrame) -> None:
-        """Closes what is stored and what is found together, so that parts of a load give what a whole one gives."""
-        catalog = Catalog.load(self.spark, self.path)
-        known = catalog.names.select("id", "wikidata_qid").where("wikidata_qid IS NOT NULL")
-        fresh = merge.resolved(found, known, "wikidata_qid", "a", "b")
-        if not self.options.skip_closure:
-            stored = catalog.relations.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-            fresh = graph.closure(materialize(stored.union(fresh.select("a", "b")), "load_edges"), "a", "b")
-        rows = fresh.where("a <> b").select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), F.lit("cognate").alias("relation_type"), F.lit("community").alias("confidence"))
-        relations = merge.insert_ignore(catalog.relations, rows, ["name_a", "name_b"])
-        Catalog(catalog.names, materialize(relations, "load_relations"), catalog.lineage, catalog.enrichments).save(self.path, only=("name_relations",))
+        """Adds the direct edges between known items; the closure follows, however the load is cut into parts."""
+        found = materialize(found, "load_found")
+        items = found.select(F.col("a").alias("value")).union(found.select(F.col("b").alias("value"))).distinct()
+        known = self.store.snapshot().rows("names_by_qid", items).withColumnRenamed("value", "wikidata_qid")
+        merge_relations(self.store, merge.resolved(found, known, "wikidata_qid", "a", "b"), "a", "b", close=not self.options.skip_closure)
 
     def _known(self, saved: Progress) -> Iterator[tuple[list, Progress]]:
-        """Batches of known items, in order of their numbers; the ids alone pass through the driver, a partition at a time."""
-        items = Catalog.load(self.spark, self.path).names.where("wikidata_qid IS NOT NULL").select("wikidata_qid").orderBy(knowledge.qid_number(F.col("wikidata_qid")))
-        size, held, at = min(self.options.page_size, BATCH), [], 0
+        """Batches of known items in order of their numbers, from the last that was asked for on, so that names that are added
+        meanwhile shift nothing; the ids alone pass through the driver, a partition at a time."""
+        number = knowledge.qid_number(F.col("value"))
+        items = self.store.snapshot().table("names_by_qid").select("value", number.alias("n")).where(F.col("n") > int(saved.after or 0)).orderBy("n")
+        size, held = min(self.options.page_size, BATCH), []
+        reply = lambda: [self.source.sparql(remote.edges_of([q for q, _ in held]), 4)]
         for r in items.toLocalIterator():
-            held.append(r["wikidata_qid"])
+            held.append((r["value"], r["n"]))
             if len(held) == size:
-                at += size
-                if at > (saved.searchOffset or 0):
-                    yield [self.source.sparql(remote.edges_of(held), 4)], Progress(phase="edges", searchOffset=at, completedTypes=saved.completedTypes)
-                held = []
+                yield reply(), Progress(phase="edges", after=str(held[-1][1]), completedTypes=saved.completedTypes)
+                held.clear()
         if held:
-            yield [self.source.sparql(remote.edges_of(held), 4)], Progress(phase="edges", searchOffset=at + len(held), completedTypes=saved.completedTypes)
+            yield reply(), Progress(phase="edges", after=str(held[-1][1]), completedTypes=saved.completedTypes)
 
     # Pages of both.
 
@@ -211,23 +218,37 @@ class KnowledgeLoad:
             yield [reply], Progress(phase=phase, windowStart=high, completedTypes=saved.completedTypes)
 
 
-def enrich(spark: SparkSession, path: str, key: str, limit: int = 100, least: int = 1, source: remote.Remote | None = None, pause: float = 0.55) -> int:
-    """Asks the usage service about the most connected names that it wasn't asked about, and merges what it says. The
-    service allows a few thousand names a day, so limit bounds what comes to the driver."""
+def _told(base: Snapshot, rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """What rows of enrichments change."""
+    return merge.upsert_enrichments(base.rows("name_enrichments", rows.select("name_id", "source", "field")), rows, names)
+
+
+def enrich(spark: SparkSession, path: str, key: str, limit: int = DAILY, least: int = 0, source: remote.Remote | None = None, pause: float = 0.55) -> int:
+    """Asks the usage service about the most connected names that it wasn't asked about, and merges what it says, ASKED names
+    at a time: what was merged stays if the service fails later. The service allows a few thousand names a day, so limit
+    bounds what comes to the driver."""
     source = source or remote.Remote()
     catalog = Catalog.load(spark, path)
     both = graph.incident(catalog.relations, "name_a", "name_b")
     todo = knowledge.pending(catalog.names, graph.name_degrees(catalog.names, both), catalog.enrichments, "behindthename", limit, least)
     asked = todo.join(catalog.names.select("id", "label"), "id").orderBy(F.desc("degree"), "id").collect()
-    replies = []
-    for r in asked:
-        for what in ("lookup", "related"):
-            reply = source.usage(what, r["label"], key)
-            source.sleep(pause)
-            if reply:
-                replies.append((r["id"], reply))
-    if replies:
-        rows = knowledge.usage_rows(spark.createDataFrame(replies, "name_id string, value string"))
-        told = merge.upsert_enrichments(catalog.enrichments, rows, catalog.names)
-        Catalog(catalog.names, catalog.relations, catalog.lineage, materialize(told, "enrich_notes")).save(path, only=("name_enrichments",))
+    store, replies = Store(spark, path), []
+
+    def merge_replies() -> None:
+        if replies:
+            rows = materialize(knowledge.usage_rows(spark.createDataFrame(replies, "name_id string, value string")), "enrich_rows")
+            store.transact(lambda base: {"name_enrichments": _told(base, rows, base.rows("names", rows.select(F.col("name_id").alias("id"))))})
+            replies.clear()
+
+    try:
+        for n, r in enumerate(asked, 1):
+            for what in ("lookup", "related"):
+                reply = source.usage(what, r["label"], key)
+                source.sleep(pause)
+                if reply:
+                    replies.append((r["id"], reply))
+            if n % ASKED == 0:
+                merge_replies()
+    finally:
+        merge_replies()
     return len(asked)

@@ -17,6 +17,20 @@ CHECKS = {"name_relations": "name_a < name_b", "name_lineage": "child_id <> pare
 REQUIRED = {"names": ["id", "label", "tradition_type"], "name_enrichments": ["name_id", "source", "field", "content"],
             "name_relations": ["name_a", "name_b"], "name_lineage": ["child_id", "parent_id", "relation_type"]}
 
+#: What a store keeps: columns, the key that holds one row, and the columns of the key that make the bucket.
+GRAMS = "label_grams"
+_PAIR, _ENTRY = "name_a string, name_b string", "value string, id string"
+STORED = {
+    "names": (NAMES, ("id",), ("id",)), "name_enrichments": (ENRICHMENTS, ("name_id", "source", "field"), ("name_id",)),
+    "name_relations": (RELATIONS, ("name_a", "name_b"), ("name_a", "name_b")), "name_lineage": (LINEAGE, ("child_id", "parent_id", "relation_type"), ("child_id", "parent_id", "relation_type")),
+    "names_by_qid": (_ENTRY, ("value",), ("value",)), "names_by_key": (_ENTRY, ("value",), ("value",)), GRAMS: ("gram string, id string, n int", ("gram", "id"), ("gram",)),
+    "direct_relations": (_PAIR, ("name_a", "name_b"), ("name_a", "name_b")), "open_relations": (_PAIR, ("name_a", "name_b"), ("name_a", "name_b")),
+    "component_of": ("id string, component string", ("id",), ("id",)), "component_members": ("component string, id string", ("component", "id"), ("component",)),
+    "component_sizes": ("component string, size bigint", ("component",), ("component",))}
+#: Tables that are kept with a table, by the column they follow, and those that are made anew after a table was replaced.
+FOLLOWERS = {"names": {"names_by_qid": "wikidata_qid", "names_by_key": "wiktionary_key", GRAMS: "label"}}
+DERIVED = {"name_relations": ("direct_relations", "open_relations", "component_of", "component_members", "component_sizes")}
+
 _TEMPLATE = "struct<name:string,args:map<string,string>,expansion:string>"
 LEXICAL_ENTRY = (
     "word string, lang string, lang_code string, pos string, "

@@ -1,4 +1,8 @@
-"""Where a resumable load stands: one JSON record, read with defaults, null if it is missing or broken."""
+"""Where a resumable load stands: one JSON record, read with defaults, null if it is missing or broken.
+
+With a session the record is a file of Spark's file systems, so a driver on another machine can go on; without one it is
+a local file.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,10 @@ import json
 import os
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import SparkSession
+
+from stemma.store import put_text, read_text, remove
+
 
 @dataclass
 class Progress:
@@ -19,25 +27,32 @@ class Progress:
     completedTypes: list[str] = field(default_factory=list)
 
     @classmethod
-    def load(cls, path: str) -> Progress | None:
+    def load(cls, path: str, spark: SparkSession | None = None) -> Progress | None:
         try:
-            with open(path, encoding="utf-8") as f:
-                raw = json.load(f)
+            if spark:
+                raw = json.loads(read_text(spark, path) or "null")
+            else:
+                with open(path, encoding="utf-8") as f:
+                    raw = json.load(f)
         except (OSError, ValueError):
             return None
         if not isinstance(raw, dict):
             return None
         return cls(**{k: v for k, v in raw.items() if k in cls.__dataclass_fields__ and v is not None})
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        if spark:
+            return put_text(spark, path, json.dumps(asdict(self)))
         part = path + ".part"
         with open(part, "w", encoding="utf-8") as f:
             json.dump(asdict(self), f)
         os.replace(part, path)
 
     @staticmethod
-    def clear(path: str) -> None:
-        if os.path.exists(path):
+    def clear(path: str, spark: SparkSession | None = None) -> None:
+        if spark:
+            remove(spark, path)
+        elif os.path.exists(path):
             os.remove(path)
 
 

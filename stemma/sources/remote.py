@@ -20,6 +20,7 @@ from stemma.sources.knowledge import NAME_TYPES, OFFSET_LIMIT
 SPARQL_URL, API_URL, USAGE_URL = "https://query.wikidata.org/sparql", "https://www.wikidata.org/w/api.php", "https://www.behindthename.com/api"
 SPARQL_TRIES, API_TRIES, LONGEST_WAIT = 10, 6, 60.0
 SPARQL_WAIT, API_WAIT = 5.0, 3.0
+USAGE_TRIES, USAGE_WAIT = 10, 60.0
 AGENT = "stemma/1.0 (names and their relations)"
 
 Transport = Callable[[str, str, dict, bytes | None], tuple[int, dict, bytes]]
@@ -93,13 +94,18 @@ class Remote:
         return self.api(action="wbgetentities", ids="|".join(qids), props="labels|descriptions", languages="en|mul")
 
     def usage(self, what: str, name: str, key: str) -> str | None:
-        """A reply of the usage service (what: lookup or related); none if the service doesn't know the name."""
-        status, _, body = self.transport("GET", f"{USAGE_URL}/{what}.json?{urllib.parse.urlencode({'name': name, 'key': key})}", {"Accept": "application/json", "User-Agent": AGENT}, None)
-        if status == 404:
-            return None
-        if status >= 400:
-            raise RuntimeError(f"the usage service failed ({status})")
-        return body.decode()
+        """A reply of the usage service (what: lookup or related); none if the service doesn't know the name. A busy or failing
+        service is asked again after a minute."""
+        for _ in range(USAGE_TRIES):
+            status, _, body = self.transport("GET", f"{USAGE_URL}/{what}.json?{urllib.parse.urlencode({'name': name, 'key': key})}", {"Accept": "application/json", "User-Agent": AGENT}, None)
+            if status == 404:
+                return None
+            if status < 400:
+                return body.decode()
+            if not _busy(status):
+                break
+            self._wait(USAGE_WAIT)
+        raise RuntimeError(f"the usage service failed ({status})")
 
 
 def _select(of: str, where: str, tail: str = "") -> str:

@@ -6,23 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stemma.catalog import Catalog, conform
 from stemma.functions.text import LANGUAGE_OF_CODE, lookup
-from stemma.operators.merge import insert_ignore, upsert_names_by_key
+from stemma.operators.merge import fresh_rows, upsert_names_by_key
 from stemma.sources import lexical
 from stemma.sources.shared import materialize
+from stemma.store import Snapshot, Store, conform
 
 
 def merge_batch(spark: SparkSession, path: str, lines: DataFrame) -> None:
-    """Merges lines into the catalogue below path; a replayed batch changes nothing."""
-    catalog = Catalog.load(spark, path)
+    """Merges lines into the catalogue below path; a replayed batch changes nothing. Only what the lines' keys are in is read,
+    and only rows that are new or changed are written."""
     t = materialize(lexical.transform(lexical.parse(lines)), "ingest_entries")
-    rows = lexical.names(t).select(F.col("key").alias("wiktionary_key"), "label", F.coalesce("language", lookup(LANGUAGE_OF_CODE, F.lower("lang_code"))).alias("language"), "gender")
-    names = materialize(upsert_names_by_key(catalog.names.withColumnRenamed("wk", "wiktionary_key"), rows), "ingest_names")
-    ids = names.select(F.col("wiktionary_key").alias("key"), "id").where("key IS NOT NULL")
-    edges = lexical.edges(t).join(ids.toDF("child", "child_id"), "child").join(ids.toDF("parent", "parent_id"), "parent").select("child_id", "parent_id", "relation_type", "source_url")
-    lineage = materialize(insert_ignore(catalog.lineage, conform(edges, "name_lineage"), ["child_id", "parent_id", "relation_type"]), "ingest_lineage")
-    Catalog(names.withColumnRenamed("wiktionary_key", "wk"), catalog.relations, lineage, catalog.enrichments).save(path, only=("names", "name_lineage"))
+    code = lookup(LANGUAGE_OF_CODE, F.lower("lang_code"))
+    rows = materialize(lexical.names(t).select(F.col("key").alias("wiktionary_key"), "label", F.coalesce("language", code).alias("language"), "gender"), "ingest_rows")
+    edges = materialize(lexical.edges(t), "ingest_edges")
+
+    def change(base: Snapshot) -> dict[str, DataFrame]:
+        known = base.rows("names_by_key", rows.select(F.col("wiktionary_key").alias("value")))
+        names = materialize(upsert_names_by_key(base.rows("names", known.select("id")), rows), "ingest_names")
+        ends = edges.select(F.col("child").alias("value")).union(edges.select(F.col("parent").alias("value"))).distinct()
+        ids = names.select(F.col("wiktionary_key").alias("key"), "id").union(base.rows("names_by_key", ends).select("value", "id")).distinct()
+        found = edges.join(ids.toDF("child", "child_id"), "child").join(ids.toDF("parent", "parent_id"), "parent")
+        lineage = conform(found.where("child_id <> parent_id"), "name_lineage")
+        keys = ["child_id", "parent_id", "relation_type"]
+        return {"names": names, "name_lineage": fresh_rows(base.rows("name_lineage", lineage.select(keys)), lineage, keys)}
+
+    Store(spark, path).transact(change)
 
 
 def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:

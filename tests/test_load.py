@@ -3,6 +3,7 @@
 import json
 import re
 import urllib.parse
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,7 +159,7 @@ def test_enrichment(spark, saved, tmp_path):
 
 def test_saves_are_whole(spark, saved):
     before = Catalog.load(spark, saved)
-    broken = Catalog(spark.createDataFrame([("1", "a")], "id string, label string"), before.relations, before.lineage.withColumn("source", F.raise_error(F.lit("x"))), before.enrichments)
+    broken = replace(before, names=spark.createDataFrame([("1", "a")], "id string, label string"))
     filled = spark.createDataFrame([("1", "2", "x", "y", "z", "u")], before.lineage.schema)
     broken.lineage = filled.withColumn("source", F.raise_error(F.lit("stop")))
     with pytest.raises(Exception, match="stop"):
