@@ -7,9 +7,11 @@ what remains beside the mean,
 
     distance >= sum over blocks of size * (difference of means)^2 + (difference of residual norms)^2,
 
-so an entry whose bound is above the exact distance to a first guess (the entry of the smallest coarse bound) is out. Bounds
-are taken with one block for the whole part first, then for those left with two, four and so on; what survives gets exact
-distances in integers. The bounds are lowered by more than rounding can raise them, so no nearest entry is lost.
+so an entry whose bound is above the exact distance to some other entry is out. Bounds are taken with one block for the whole
+part first, then with two, four and so on; at each level the entry of the smallest bound is the guess whose exact distance
+sets what is out. What survives all levels gets exact distances in integers. The bounds of a level are one product of
+matrices: a part's root-weighted means and residual norms are its coordinates, and their squares add up to the part's own.
+They are lowered by more than rounding can raise them, so no nearest entry is lost.
 
 Codebooks have PARTS * ENTRIES entries whatever the input, so they go to every task; a task adds up its parts by entry and
 hands on one row an entry, so a round's shuffle depends on the number of tasks alone.
@@ -39,8 +41,8 @@ from stemma.sources.shared import materialize
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
 #: Parts compared with a codebook at a time.
 ROWS = 4096
-#: What rounding may add to a norm, as a share of the norms, and to a bound, as a share of the bound.
-NORM_SLACK, BOUND_SLACK = 1e-12, 1e-9
+#: What rounding may add to a bound, as a share of the two squared norms.
+SLACK = 1e-11
 #: Labels whose sums are broadcast.
 BROADCAST_LABELS = 100_000
 
@@ -60,12 +62,10 @@ def integers(column: pa.Array, length: int) -> np.ndarray:
 
 @dataclass
 class Blocks:
-    """Of each row: sums of its blocks, norms beside the block's mean, and the norms."""
+    """Of each row, for its blocks: means times the root of the size, and norms beside the mean; and the squared norm."""
 
-    sizes: np.ndarray
-    sums: np.ndarray
-    beside: np.ndarray
-    norms: np.ndarray
+    coordinates: np.ndarray
+    squares: np.ndarray
 
     @classmethod
     def of(cls, rows: np.ndarray, blocks: int) -> Blocks:
@@ -74,17 +74,12 @@ class Blocks:
         values = rows.astype(np.float64)
         sums = np.add.reduceat(values, bounds[:-1], axis=1)
         apart = values - np.repeat(sums / sizes, np.diff(bounds), axis=1)
-        norm = lambda x: np.sqrt(np.add.reduceat(x * x, bounds[:-1], axis=1))
-        return cls(sizes, sums, norm(apart), norm(values))
-
-    def at(self, index) -> Blocks:
-        return Blocks(self.sizes, self.sums[index], self.beside[index], self.norms[index])
+        beside = np.sqrt(np.add.reduceat(apart * apart, bounds[:-1], axis=1))
+        return cls(np.hstack((sums / np.sqrt(sizes), beside)), (values * values).sum(1))
 
     def bound(self, other: Blocks) -> np.ndarray:
-        """What the squared distance of rows is at least; shapes broadcast, the blocks are the last axis."""
-        means = (self.sums - other.sums) ** 2 / self.sizes
-        apart = np.maximum(0.0, np.abs(self.beside - other.beside) - NORM_SLACK * (self.norms + other.norms))
-        return (means + apart * apart).sum(-1) * (1 - BOUND_SLACK)
+        """(rows, rows of other): what their squared distances are at least."""
+        return (self.squares[:, None] + other.squares) * (1 - SLACK) - 2 * (self.coordinates @ other.coordinates.T)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,16 +103,15 @@ class Codebook:
         return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def _nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mine = Blocks.of(rows, 1)
-        low = mine.at((slice(None), None)).bound(self.levels[0].at(None))
-        best = distance(rows, self.entries[low.argmin(1)])
-        row, entry = np.nonzero(low <= best[:, None])
-        for n, level in zip(self.counts[1:], self.levels[1:]):
-            stays = Blocks.of(rows, n).at(row).bound(level.at(entry)) <= best[row]
-            row, entry = row[stays], entry[stays]
+        best, left = np.full(len(rows), np.iinfo(np.int64).max), np.ones((len(rows), len(self.entries)), bool)
+        for n, level in zip(self.counts, self.levels):
+            low = Blocks.of(rows, n).bound(level)
+            best = np.minimum(best, distance(rows, self.entries[low.argmin(1)]))
+            left &= low <= best[:, None]
+        row, entry = np.nonzero(left)
         exact = distance(rows[row], self.entries[entry])
         self.compared += len(row)
-        first = np.searchsorted(row, np.arange(len(rows)))  # the guess itself is never out, so every row has one left
+        first = np.searchsorted(row, np.arange(len(rows)))  # the nearest is never out, so every row has one left
         least = np.minimum.reduceat(exact, first)
         hits = np.flatnonzero(exact == least[row])
         _, once = np.unique(row[hits], return_index=True)  # entries ascend within a row

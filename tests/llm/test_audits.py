@@ -90,7 +90,7 @@ def test_bounds_lose_no_entry_and_spare_comparisons():
         assert (d == all_pairs.min(1)).all() and (at == all_pairs.argmin(1)).all()
         assert book.compared < all_pairs.size / 2
         for n in book.counts:
-            bound = vector_codes.Blocks.of(rows, n).at((slice(None), None)).bound(vector_codes.Blocks.of(entries, n).at(None))
+            bound = vector_codes.Blocks.of(rows, n).bound(vector_codes.Blocks.of(entries, n))
             assert (bound <= all_pairs).all()
 
 
