@@ -1,8 +1,8 @@
 """The undirected relation graph: incidence, degrees, bounded neighbourhoods, closure and islands.
 
-Full-graph steps (degrees, components, closure) are joins and aggregations. A neighbourhood or an island is bounded by
-its budget; its greedy choice depends on order, so levels are fetched by joins on a frontier of bounded size and the
-choice runs over the fetched rows on the driver.
+Full-graph steps (degrees, components, closure) are joins and aggregations. Neighbourhoods and islands are bounded by their
+budgets and grow around any number of starts at once (operators.growth); one neighbourhood alone is cheaper by a join on its
+frontier, with the greedy choice over the few rows that come back.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.operators import growth
 from stemma.operators.components import connected_components
+from stemma.sources.shared import materialize
 
 #: Budgets, as the source has them.
 HOP1, HOP2_EACH, FOCUS, HOP2_TOTAL = 28, 6, 30, 50
@@ -149,36 +151,49 @@ def island_depths(links: dict[str, list[str]], members: list[str], hub: str) ->
     return {m: min(depth.get(m, 2), 2) for m in members}
 
 
-def grow_islands(names: DataFrame, both: DataFrame, starts: list[str], most: int = ISLAND) -> DataFrame:
-    """(hub_id, id, depth) of the island around each of a few starts.
-
-    An island has most nodes, so of a node's neighbours the 2 * most best ones are enough. Each round fetches those of
-    the nodes taken but not yet read, for all islands in one job: at most len(starts) * most nodes in all.
-    """
-    rank = Window.partitionBy("id").orderBy(F.desc("degree"), "other")
-    links: dict[str, list[str]] = {}
-    degree: dict[str, int] = {}
-    taken = {s: [s] for s in starts}
-    while unread := sorted({n for ids in taken.values() for n in ids if n not in links}):
-        near = both.where(F.col("id").isin(unread)).select("id", "other").distinct()
-        scored = near.join(degrees(both.join(near.select(F.col("other").alias("id")).distinct(), "id", "left_semi")).withColumnRenamed("id", "other"), "other")
-        links |= {n: [] for n in unread}
-        for r in scored.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= 2 * most).collect():
-            links[r["id"]].append(r["other"])
-            degree[r["other"]] = r["degree"]
-        taken = {s: pick_island(links, degree, s, most) for s in starts}
-    everyone = sorted({n for ids in taken.values() for n in ids})
-    inside: dict[str, list[str]] = {}
-    for r in both.where(F.col("id").isin(everyone) & F.col("other").isin(everyone)).select("id", "other").distinct().collect():
-        inside.setdefault(r["id"], []).append(r["other"])
-    rows = [(s, n, d) for s, ids in taken.items() for n, d in island_depths(inside, ids, s).items()]
-    found = both.sparkSession.createDataFrame(rows, "hub_id string, id string, depth int")
+def _best(both: DataFrame, degree: DataFrame, most: int, asked: DataFrame | None = None) -> DataFrame:
+    """(near, others): each name's best neighbours by degree, of all names or those asked (near). degree: of every name."""
+    near = both.select(F.col("id").alias("near"), F.col("other"))
+    near = (near.join(asked, "near", "left_semi") if asked is not None else near).distinct()
+    return growth.ranked(near.join(degree.withColumnRenamed("id", "other"), "other"), [F.desc("degree"), F.asc("other")], most)
+
+
+def neighborhoods(names: DataFrame, both: DataFrame, roots: DataFrame, most: int = FOCUS, hop1: int = HOP1, hop2: int = HOP2_EACH) -> DataFrame:
+    """(root, id, depth, parent): the neighborhood of every root (id) at once, two joins in all. Roots without a name have
+    none; nodes have one."""
+    known = names.select("id").distinct()
+    degree = materialize(degrees(both), "graph_degrees")
+    named = both.join(known.withColumnRenamed("id", "other"), "other", "left_semi")
+    # The first hop takes so many of a name's best; the second passes over what was taken, fewer than most.
+    best = materialize(_best(named, degree, max(hop1, hop2 + most)), "graph_best")
+    state = growth.begun(roots.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("root")))
+    for depth, cap in ((1, hop1), (2, hop2)):
+        state = growth.grown(state, best, depth, F.lit(cap), F.lit(True), most)
+    return growth.members(state).select("root", "id", "depth", F.col("near").alias("parent"))
+
+
+def islands(names: DataFrame, both: DataFrame, starts: DataFrame, most: int = ISLAND) -> DataFrame:
+    """(hub_id, id, depth) of the island around every start (id) at once: breadth first, a node's neighbours by degree, until
+    most nodes are taken. depth: hops from the start, two at most."""
+    degree = materialize(degrees(both), "graph_degrees")
+    state = growth.begun(starts.select(F.col("id").alias("root")).distinct())
+    for depth in range(1, most):
+        asked = growth.wanted(state, F.lit(True), most)
+        if asked.isEmpty():
+            break
+        # Of a node's neighbours most are taken at most, and fewer than most are passed over.
+        state = growth.grown(state, _best(both, degree, 2 * most, asked), depth, F.lit(most), F.lit(True), most)
+    found = growth.members(state).select(F.col("root").alias("hub_id"), "id", F.least("depth", F.lit(2)).alias("depth"))
     return found.join(names.select("id"), "id", "left_semi").select("hub_id", "id", "depth")
 
 
+def grow_islands(names: DataFrame, both: DataFrame, starts: list[str], most: int = ISLAND) -> DataFrame:
+    return islands(names, both, both.sparkSession.createDataFrame([(s,) for s in starts], "id string"), most)
+
+
 def constellation(names: DataFrame, both: DataFrame, parts: DataFrame, limit: int = ISLANDS, most: int = ISLAND) -> DataFrame:
     """(hub_id, id, depth): the islands around the hubs of the best components."""
-    return grow_islands(names, both, [r["hub_id"] for r in hubs(both, parts, limit).collect()], most)
+    return islands(names, both, hubs(both, parts, limit).select(F.col("hub_id").alias("id")), most)
 
 
 def island_of(names: DataFrame, both: DataFrame, parts: DataFrame, name_id: str, most: int = ISLAND) -> DataFrame:
@@ -201,8 +216,8 @@ def island_of(names: DataFrame, both: DataFrame, parts: DataFrame, name_id: str,
     return found
 
 
-def induced_edges(relations: DataFrame, members: DataFrame, a: str = "name_a", b: str = "name_b") -> DataFrame:
-    """(hub_id, a, b): the relations with both ends among an island's members."""
+def induced_edges(relations: DataFrame, members: DataFrame, a: str = "name_a", b: str = "name_b", *more: str) -> DataFrame:
+    """(hub_id, a, b, more): the relations with both ends among an island's members."""
     left = members.select("hub_id", F.col("id").alias("a"))
     right = members.select(F.col("hub_id").alias("same"), F.col("id").alias("b"))
-    return relations.select(F.col(a).alias("a"), F.col(b).alias("b")).join(left, "a").join(right, "b").where("hub_id = same").select("hub_id", "a", "b").distinct()
+    return relations.select(F.col(a).alias("a"), F.col(b).alias("b"), *more).join(left, "a").join(right, "b").where("hub_id = same").select("hub_id", "a", "b", *more).distinct()

@@ -160,7 +160,13 @@ def lineage_tree(catalog: Catalog, root: str, width: float = 1200, height: float
                 reached.append(other)
             frontier = reached
     tree = Tree(root, list(nodes.values()), edges)
-    return collapse_depths(collapse_siblings(tree, readable), max(3, room.breadth_slots)) if collapse else tree
+    return collapsed(tree, width, height) if collapse else tree
+
+
+def collapsed(tree: Tree, width: float, height: float) -> Tree:
+    """The tree with crowded siblings and levels in groups, as the viewport needs."""
+    room = capacity(width, height)
+    return collapse_depths(collapse_siblings(tree, readable_kids(room)), max(3, room.breadth_slots))
 
 
 def readable_kids(room: Capacity) -> int:

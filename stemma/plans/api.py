@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.catalog import Catalog
-from stemma.operators import graph, layout, search, tree
+from stemma.operators import graph, layout, search, tree, trees
+
+
+#: What a search result shows.
+RESULT = ("id", "label", "native_label", "language", "gender")
 
 
 class BadRequest(ValueError):
@@ -38,8 +42,10 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 class Service:
-    def __init__(self, catalog: Catalog, index: DataFrame | None = None):
-        self.catalog, self.index = catalog, index
+    def __init__(self, catalog: Catalog, postings: DataFrame | None = None):
+        """postings: of a catalogue that wasn't stored; a stored one has its own."""
+        self.catalog = catalog
+        self.index = search.StoredIndex(catalog) if catalog.base else search.LabelIndex(postings, catalog.names) if postings is not None else None
         self.both = graph.incident(catalog.relations, "name_a", "name_b", "confidence")
         self._parts: DataFrame | None = None
 
@@ -55,12 +61,11 @@ class Service:
         size = _number(limit if limit is not None else page_size, search.PAGE, 1, search.LARGEST_PAGE)
         at = _number(page, 1, 1)
         if suggestions:
-            return _rows(search.suggest(self.catalog, q, size).select("id", "label", "language", "gender")) if q.strip() else []
+            return _rows(search.suggest(self.catalog, q, size, self.index).select(*RESULT)) if q.strip() else []
         if not q.strip():
             return {"results": [], "total": 0, "page": at, "page_size": size}
-        total = search.total(self.catalog, q, lang).first()["total"]
-        found = search.search(self.catalog, q, at, size, lang, self.index)
-        return {"results": _rows(found.select("id", "label", "language", "gender")), "total": total, "page": at, "page_size": size}
+        found = search.hits(self.catalog, q, lang, self.index)
+        return {"results": _rows(search.page_of(found, self.catalog, at, size).select(*RESULT)), "total": found.count(), "page": at, "page_size": size}
 
     def name(self, name_id: str) -> dict:
         found = _rows(search.detail(self.catalog, name_id))
@@ -69,10 +74,13 @@ class Service:
         return found[0]
 
     def _graph(self, nodes: DataFrame) -> dict:
-        """Nodes (id, depth, parent) with labels, and the edges to their parents."""
-        labelled = nodes.join(self.catalog.names.select("id", *tree.SHOWN), "id").withColumn("role", F.lit("cognate")).orderBy("depth", "id")
+        """Nodes (id, depth, parent) with labels, and the edges to their parents with the relation's confidence."""
+        said = self.both.select(F.col("id").alias("parent"), F.col("other").alias("id"), "confidence")
+        sure = nodes.select("id", "parent").join(said, ["id", "parent"]).groupBy("id").agg(F.min("confidence").alias("confidence"))
+        labelled = nodes.join(self.catalog.names.select("id", *tree.SHOWN), "id").join(sure, "id", "left").withColumn("role", F.lit("cognate")).orderBy("depth", "id")
         rows = _rows(labelled)
-        return {"nodes": [{k: v for k, v in r.items() if k != "parent"} for r in rows], "edges": [{"source": r["parent"], "target": r["id"]} for r in rows if r["parent"]]}
+        edges = [{"source": r["parent"], "target": r["id"], "confidence": r["confidence"], "kind": "cognate"} for r in rows if r["parent"]]
+        return {"nodes": [{k: v for k, v in r.items() if k not in ("parent", "confidence")} for r in rows], "edges": edges}
 
     def graph_expand(self, node_id: str | None, hop=None, most=None) -> dict:
         """One hop cuts the nodes only, so its edges may lead to none of them."""
@@ -96,13 +104,13 @@ class Service:
         rows = _rows(found.join(self.catalog.names.select("id", *tree.SHOWN), "id").orderBy("hub_id", "depth", "id"))
         if name and not rows:
             raise NotFound(name)
-        edges = _rows(graph.induced_edges(self.catalog.relations, found)) if rows else []
+        edges = _rows(graph.induced_edges(self.catalog.relations, found, "name_a", "name_b", "confidence")) if rows else []
         order = [r["hub_id"] for r in graph.hubs(self.both, self.parts).collect()] if not name else [rows[0]["hub_id"]]
         per = {h: {"id": h, "hub_id": h, "nodes": [], "edges": []} for h in order}
         for r in rows:
             per[r["hub_id"]]["nodes"].append({k: v for k, v in r.items() if k != "hub_id"})
         for e in edges:
-            per[e["hub_id"]]["edges"].append({"source": e["a"], "target": e["b"]})
+            per[e["hub_id"]]["edges"].append({"source": e["a"], "target": e["b"], "confidence": e["confidence"], "kind": "cognate"})
         return {"islands": [i for i in per.values() if i["nodes"]]}
 
     def graph_home(self) -> dict:
@@ -114,8 +122,8 @@ class Service:
         if featured:
             roots = [r["id"] for r in tree.featured_roots(self.catalog).collect()]
             chosen = roots[1:] if rest else roots[:1]
-            made = [tree.lineage_tree(self.catalog, r, w, h, resolve=False) for r in chosen]
-            return {"trees": [self._tree(t, w, h) for t in made if t], "roots": roots}
+            made = [tree.collapsed(t, w, h) for t in trees.shown_trees(self.catalog, chosen, w, h)] if chosen else []
+            return {"trees": [self._tree(t, w, h) for t in made], "roots": roots}
         if not root:
             raise BadRequest("a root is required")
         made = tree.lineage_tree(self.catalog, root, w, h)

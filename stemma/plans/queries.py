@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from stemma.catalog import Catalog, oracle_with
 from stemma.functions import text as tx
 from stemma.functions.unicode import jaro_winkler_of, plain_label
-from stemma.operators import graph, layout, lookalike, merge, search, tree, viewport
+from stemma.operators import graph, layout, lookalike, merge, search, tree, trees, viewport
+from stemma.plans import relations as relation_loads
+from stemma.plans.relations import merge_relations
 from stemma.sources import knowledge, lexical
+from stemma.sources.shared import fresh_path, materialize
+from stemma.store import Store
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,8 +56,27 @@ SHOWN_SQL = "SELECT id, label, language, gender, sim, lineage_degree, cognate_de
 
 @query(f"{SHOWN_SQL} ranked WHERE place BETWEEN 21 AND 40", *NRL, steps=RANKED)
 def search_page(spark, sf):
+    return search.search(Catalog.from_tables(spark, sf), f" {TERM} ", page=2, page_size=20).select(SHOWN)
+
+
+def _stored(spark, sf) -> Catalog:
+    """The catalogue in a store: its names come first with other labels, which a second commit corrects, so that the index is
+    one that was kept up to date."""
     c = Catalog.from_tables(spark, sf)
-    return search.search(c, f" {TERM} ", page=2, page_size=20, index=search.trigram_index(c.names)).select(SHOWN)
+    store = Store(spark, fresh_path(spark, "stored_catalogue"), buckets=16)
+    names = c.names.withColumnRenamed("wk", "wiktionary_key")
+    wrong = F.crc32("id") % 3 == 0
+    whole = {"names": names.withColumn("label", F.when(wrong, F.lit("bored")).otherwise(F.col("label"))), "name_relations": c.relations, "name_lineage": c.lineage}
+    store.commit(store.snapshot(), {t: rows if t == "names" else rows.distinct() for t, rows in whole.items()}, whole)
+    store.commit(store.snapshot(), {"names": names.where(wrong)})
+    return Catalog.load(spark, store.path)
+
+
+@query(f"{SHOWN_SQL} ranked WHERE place BETWEEN 21 AND 40", *NRL, steps=RANKED)
+def search_indexed(spark, sf):
+    """The same page out of a stored catalogue, by the postings of the query's trigrams."""
+    c = _stored(spark, sf)
+    return search.search(c, TERM, page=2, page_size=20, index=search.StoredIndex(c)).select(SHOWN)
 
 
 @query(f"{SHOWN_SQL} (SELECT *, row_number() OVER (ORDER BY place) AS n FROM ranked WHERE language ILIKE 'standard') WHERE n <= 20", *NRL, steps=RANKED)
@@ -203,6 +226,34 @@ def closure_skipped(spark, sf):
     return graph.closure_skipped(Catalog.part(spark, sf, "relations"), cap=3)
 
 
+def _in_parts(spark, sf, cap: int) -> Store:
+    """A store whose relations came in three parts, by a hash of the pair."""
+    store = Store(spark, fresh_path(spark, "relations_in_parts"), buckets=8)
+    relations = Catalog.part(spark, sf, "relations").select("name_a", "name_b", F.pmod(F.xxhash64("name_a", "name_b"), F.lit(3)).alias("part"))
+    relations = materialize(relations, "relations_given")
+    for n in range(3):
+        merge_relations(store, relations.where(F.col("part") == n), cap=cap)
+    return store
+
+
+@query(_closure_sql(80).replace("x.id AS a, y.id AS b", "x.id AS name_a, y.id AS name_b"), "relations", steps=PARTS)
+def relations_in_parts(spark, sf):
+    """What a store holds after three loads, each closed: the closure of all of them at once."""
+    return _in_parts(spark, sf, 80).snapshot().table("name_relations").select("name_a", "name_b")
+
+
+@query(_closure_sql(3).replace("x.id AS a, y.id AS b", "x.id AS name_a, y.id AS name_b"), "relations", steps=PARTS)
+def relations_in_parts_capped(spark, sf):
+    """The same with a cap that components pass from one load to the next, so that pairs go again."""
+    return _in_parts(spark, sf, 3).snapshot().table("name_relations").select("name_a", "name_b")
+
+
+@query("SELECT id, component, size FROM sized", "relations", steps=PARTS)
+def components_in_parts(spark, sf):
+    """The components that a store keeps from load to load."""
+    return relation_loads.components(_in_parts(spark, sf, 80).snapshot())
+
+
 HUBS = PARTS + ", best AS (SELECT component, id AS hub_id, degree, row_number() OVER (PARTITION BY component ORDER BY degree DESC, id) AS n FROM parts JOIN deg USING (id)), hubs AS (SELECT component, hub_id, degree FROM best WHERE n = 1 ORDER BY degree DESC, hub_id LIMIT 20)"
 
 
@@ -236,6 +287,34 @@ def constellation_islands(spark, sf):
     return graph.constellation(c.names, both_ends(c), _parts(c))
 
 
+def _around_sql(most: int, caps: tuple[int, ...], named: bool) -> str:
+    """Breadth first from every name with relations, a cap for each depth: the queue is handed from row to row."""
+    cap = " ".join(f"WHEN {d} THEN {c}" for d, c in enumerate(caps))
+    only = "WHERE b.other IN (SELECT id FROM names)" if named else ""
+    return BOTH + f""", near AS (SELECT b.id, list(b.other ORDER BY d.degree DESC, b.other) AS others FROM (SELECT DISTINCT id, other FROM both_ends) b JOIN deg d ON d.id = b.other {only} GROUP BY b.id),
+ walk AS (SELECT id AS root, [id] AS taken, [{{'id': id, 'depth': 0}}] AS queue, CAST([] AS STRUCT(id VARCHAR, near VARCHAR, depth INTEGER)[]) AS got, 0 AS step FROM (SELECT DISTINCT id FROM both_ends JOIN names USING (id))
+  UNION ALL SELECT root, list_concat(taken, picks), list_concat(queue[2:], list_transform(picks, lambda x: {{'id': x, 'depth': queue[1].depth + 1}})), list_concat(got, list_transform(picks, lambda x: {{'id': x, 'near': queue[1].id, 'depth': CAST(queue[1].depth + 1 AS INTEGER)}})), step + 1
+  FROM (SELECT w.*, CASE WHEN queue[1].depth >= {len(caps)} OR n.others IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_filter(n.others, lambda x: NOT list_contains(taken, x))[1:greatest(0, least(CASE queue[1].depth {cap} END, {most} - len(taken)))] END AS picks
+   FROM walk w LEFT JOIN near n ON n.id = queue[1].id WHERE len(queue) > 0 AND len(taken) < {most})),
+ around AS (SELECT root, root AS id, 0 AS depth, CAST(NULL AS VARCHAR) AS near FROM walk WHERE step = 0 UNION ALL SELECT root, g.id, g.depth, g.near FROM (SELECT root, unnest(got) AS g FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY step DESC) AS last FROM walk) WHERE last = 1))"""
+
+
+@query("SELECT root, id, depth, near AS parent FROM around", "names", "relations", steps=_around_sql(30, (28, 6), True))
+def neighborhoods(spark, sf):
+    """The neighbourhoods of all names with relations."""
+    c = Catalog.from_tables(spark, sf)
+    both = both_ends(c)
+    return graph.neighborhoods(c.names, both, both.select("id"))
+
+
+@query("SELECT root AS hub_id, id, least(depth, 2) AS depth FROM around JOIN names USING (id)", "names", "relations", steps=_around_sql(7, (7,) * 6, False))
+def islands(spark, sf):
+    """The islands around all names with relations."""
+    c = Catalog.from_tables(spark, sf)
+    both = both_ends(c)
+    return graph.islands(c.names, both, both.select("id").join(c.names.select("id"), "id", "left_semi"))
+
+
 @query("SELECT DISTINCT x.hub_id, name_a AS a, name_b AS b FROM relations JOIN isle x ON x.id = name_a JOIN isle y ON y.hub_id = x.hub_id AND y.id = name_b", "names", "relations", steps=WALK)
 def constellation_edges(spark, sf):
     c = Catalog.from_tables(spark, sf)
@@ -299,11 +378,43 @@ def featured_roots_usable(spark, sf):
     return tree.featured_roots(Catalog.from_tables(spark, sf), 6)
 
 
-@query()
+def _trees_sql(roots: str) -> str:
+    """Breadth first from each root down, then up: the queue and the nodes taken are handed from row to row."""
+    room = viewport.capacity(1200, 800)
+    plan = trees.plans(room)
+    pick = lambda n: "CASE " + " ".join(f"WHEN up = {u} AND down = {d} THEN {row[n]}" for (u, d), row in plan.items()) + " END"
+
+    def walk(name: str, start: str, best: str, sign: int, levels: str, at_root: str) -> str:
+        return f""" {name} AS (SELECT root, levels_down, levels_up, root_down, root_up, branch, taken, [{{'id': root, 'depth': 0}}] AS queue, CAST([] AS STRUCT(id VARCHAR, near VARCHAR, depth INTEGER)[]) AS got, 0 AS step FROM {start}
+  UNION ALL SELECT root, levels_down, levels_up, root_down, root_up, branch, list_concat(taken, picks), list_concat(queue[2:], list_transform(picks, lambda x: {{'id': x, 'depth': queue[1].depth + 1}})),
+   list_concat(got, list_transform(picks, lambda x: {{'id': x, 'near': queue[1].id, 'depth': CAST({sign} * (queue[1].depth + 1) AS INTEGER)}})), step + 1
+  FROM (SELECT w.*, CASE WHEN queue[1].depth >= {levels} OR b.others IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_filter(b.others, lambda x: NOT list_contains(taken, x))[1:greatest(0, least(CASE WHEN queue[1].depth = 0 THEN {at_root} ELSE branch END, {room.max_nodes} - len(taken)))] END AS picks
+   FROM {name} w LEFT JOIN {best} b ON b.near = queue[1].id WHERE len(queue) > 0)),
+ {name}_done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY step DESC) AS last FROM {name}) WHERE last = 1)"""
+
+    return f""" kids AS (SELECT parent_id AS id, count(*) AS n FROM lineage GROUP BY 1), ups AS (SELECT child_id AS id, count(*) AS n FROM lineage GROUP BY 1),
+ below AS (SELECT parent_id AS near, list(child_id ORDER BY coalesce(k.n, 0) DESC, child_id) AS others FROM (SELECT DISTINCT parent_id, child_id FROM lineage JOIN names ON names.id = child_id) LEFT JOIN kids k ON k.id = child_id GROUP BY 1),
+ above AS (SELECT child_id AS near, list(parent_id ORDER BY coalesce(u.n, 0) DESC, coalesce(k.n, 0) DESC, parent_id) AS others FROM (SELECT DISTINCT parent_id, child_id FROM lineage JOIN names ON names.id = parent_id) LEFT JOIN kids k ON k.id = parent_id LEFT JOIN ups u ON u.id = parent_id GROUP BY 1),
+ begun AS (SELECT root, {pick(0)} AS levels_down, {pick(1)} AS levels_up, {pick(2)} AS root_down, {pick(3)} AS root_up, {pick(4)} AS branch, [root] AS taken
+  FROM (SELECT root, root IN (SELECT near FROM above) AS up, root IN (SELECT near FROM below) AS down FROM ({roots}))),
+{walk("fell", "begun", "below", 1, "levels_down", "root_down")},{walk("rose", "fell_done", "above", -1, "levels_up", "root_up")},
+ climbed AS (SELECT root, n, unnest.id AS id, unnest.near AS near, unnest.depth AS depth FROM (SELECT root, unnest(got) AS unnest, generate_subscripts(got, 1) AS n FROM rose_done)),
+ grown AS (SELECT root, root AS id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent FROM begun UNION ALL SELECT root, g.id, g.depth, g.near FROM (SELECT root, unnest(got) AS g FROM fell_done)
+  UNION ALL SELECT root, id, depth, (SELECT arg_max(o.id, o.n) FROM climbed o WHERE o.root = c.root AND o.near = c.id) FROM climbed c)"""
+
+
+@query("SELECT id, label, depth, parent FROM grown JOIN names USING (id)", "names", "lineage", steps=_trees_sql("SELECT 'N11' AS root"))
 def lineage_tree(spark, sf):
     return tree.tree_rows(spark, tree.lineage_tree(Catalog.from_tables(spark, sf), "N11", collapse=False))[0].select("id", "label", "depth", "parent")
 
 
+@query("SELECT root, id, depth, parent FROM grown", "names", "lineage", steps=_trees_sql("SELECT id AS root FROM names JOIN (SELECT parent_id AS id FROM lineage UNION SELECT child_id FROM lineage) USING (id)"))
+def lineage_trees(spark, sf):
+    """The trees around all names with lineage, in one plan."""
+    c = Catalog.from_tables(spark, sf)
+    return trees.lineage_trees(c, graph.incident(c.lineage, "child_id", "parent_id").select("id")).select("root", "id", "depth", "parent")
+
+
 @query()
 def tree_collapsed(spark, sf):
     made = tree.tree_rows(spark, tree.lineage_tree(Catalog.from_tables(spark, sf), "N11"))[0]
