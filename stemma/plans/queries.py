@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -439,20 +438,11 @@ VIEW = "SELECT DISTINCT 300 + 100 * (p_size % 17) AS w, 250 + 50 * (p_size % 23)
 SLOTS = f" v AS ({VIEW}), s AS (SELECT w, h, CASE WHEN h > w THEN 'vertical' ELSE 'horizontal' END AS orientation, least(7, greatest(2, CAST(floor(greatest(greatest(w, h) - 160, 200) / 130.0) AS INT))) AS depth_slots, least(14, greatest(3, CAST(floor(greatest(least(w, h) - 160, 120) / 78.0) AS INT))) AS breadth_slots FROM v)"
 
 
-def _room(w: pd.Series, h: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([asdict(viewport.capacity(x, y)) for x, y in zip(w, h)])
-
-
 @query("SELECT w, h, orientation, depth_slots, breadth_slots, least(48, greatest(8, depth_slots * least(breadth_slots, 8))) AS max_nodes FROM s", steps=SLOTS)
 def capacity(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     v = part.select((300 + 100 * (F.col("p_size") % 17)).alias("w"), (250 + 50 * (F.col("p_size") % 23)).alias("h")).distinct()
-    room = F.pandas_udf(_room, "orientation string, depth_slots int, breadth_slots int, max_nodes int")
-    return v.select("w", "h", room("w", "h").alias("room")).select("w", "h", "room.*")
-
-
-def _shares(depth: pd.Series, breadth: pd.Series, up: pd.Series, down: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([asdict(viewport.sides(viewport.Capacity("horizontal", *x[:2], 0), *x[2:])) for x in zip(depth, breadth, up, down)])
+    return v.select("w", "h", viewport.capacity_of(F.col("w"), F.col("h")).alias("room")).select("w", "h", "room.*")
 
 
 LEVELS = SLOTS + """, c AS (SELECT DISTINCT depth_slots, breadth_slots, depth_slots - 1 AS levels, u.up, d.down FROM s, range(0, 8) u(up), range(0, 8) d(down)),
@@ -466,8 +456,8 @@ LEVELS = SLOTS + """, c AS (SELECT DISTINCT depth_slots, breadth_slots, depth_sl
 def side_allocation(spark, sf):
     hops = F.explode(F.sequence(F.lit(0), F.lit(7)))
     every = capacity(spark, sf).select("depth_slots", "breadth_slots").distinct().withColumn("up", hops).withColumn("down", hops)
-    share = F.pandas_udf(_shares, "ancestor_depth int, descendant_depth int, ancestor_fanout int, root_fanout int, branch_fanout int")
-    return every.select("*", share("depth_slots", "breadth_slots", "up", "down").alias("share")).select("depth_slots", "breadth_slots", "up", "down", "share.*")
+    share = viewport.sides_of(*(F.col(c) for c in ("depth_slots", "breadth_slots", "up", "down")))
+    return every.select("*", share.alias("share")).select("depth_slots", "breadth_slots", "up", "down", "share.*")
 
 
 @query("""SELECT id, round(lo + band / 2, 6) AS centre FROM (SELECT id, band, sum(band) OVER (PARTITION BY parent ORDER BY id ROWS UNBOUNDED PRECEDING) - band + 12 * (row_number() OVER (PARTITION BY parent ORDER BY id) - 1) AS lo
@@ -486,16 +476,22 @@ def layout_bands(spark, sf):
     return weighed.groupBy("parent").applyInPandas(split, "id string, centre double")
 
 
-@query("""SELECT qid, label, coalesce(native_label, other_native) AS native_label, coalesce(language, other_language) AS language FROM (
- SELECT *, lag(native_label) OVER w AS other_native, lag(language) OVER w AS other_language, row_number() OVER (PARTITION BY qid ORDER BY score DESC, o DESC) AS n FROM (
-  SELECT 'Q' || CAST(p_partkey // 2 AS VARCHAR) AS qid, p_partkey AS o, p_name AS label, CASE WHEN p_size % 3 = 0 THEN p_brand END AS native_label, CASE p_size % 4 WHEN 0 THEN 'English' WHEN 1 THEN 'German' END AS language,
-   4 * CAST(p_size % 4 = 0 AS INT) + 2 * CAST(p_size % 3 = 0 AS INT) AS score FROM part) WINDOW w AS (PARTITION BY qid ORDER BY score, o)) WHERE n = 1""")
+_FILLED = ("native_label", "language", "gender", "description")
+_SCORE = "(CASE WHEN lower(coalesce({0}.language, '')) = 'english' THEN 4 ELSE 0 END + CASE WHEN {0}.native_label IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN {0}.description IS NOT NULL THEN 1 ELSE 0 END)"
+_FOLD = ", ".join(f"'{c}': CASE WHEN {_SCORE.format('r')} >= {_SCORE.format('a')} THEN coalesce(r.{c}, a.{c}) ELSE coalesce(a.{c}, r.{c}) END" for c in _FILLED)
+
+
+@query(f"""SELECT qid, w.label AS label, {", ".join(f"w.{c} AS {c}" for c in _FILLED)} FROM (
+ SELECT qid, list_reduce(list({{'label': label, {", ".join(f"'{c}': {c}" for c in _FILLED)}}} ORDER BY o), lambda a, r: {{'label': CASE WHEN {_SCORE.format('r')} >= {_SCORE.format('a')} THEN r.label ELSE a.label END, {_FOLD}}}) AS w FROM (
+  SELECT 'Q' || CAST(p_partkey // 5 AS VARCHAR) AS qid, p_partkey AS o, p_name AS label, CASE WHEN p_size % 3 = 0 THEN p_brand END AS native_label, CASE p_size % 4 WHEN 0 THEN 'English' WHEN 1 THEN 'German' END AS language,
+   CASE p_size % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender, CASE WHEN p_size % 2 = 0 THEN p_type END AS description FROM part) GROUP BY qid)""")
 def dedupe_qid(spark, sf):
+    """Five rows a key, folded in order."""
     part = spark.read.parquet(f"{sf}/part.parquet")
     size = F.col("p_size")
-    rows = part.select(F.concat(F.lit("Q"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("qid"), F.col("p_partkey").alias("o"), F.col("p_name").alias("label"), F.when(size % 3 == 0, F.col("p_brand")).alias("native_label"),
-                       F.when(size % 4 == 0, "English").when(size % 4 == 1, "German").alias("language"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("string").alias("description"))
-    return knowledge.dedupe_by_qid(rows, "o").select("qid", "label", "native_label", "language")
+    rows = part.select(F.concat(F.lit("Q"), F.floor(F.col("p_partkey") / 5).cast("string")).alias("qid"), F.col("p_partkey").alias("o"), F.col("p_name").alias("label"), F.when(size % 3 == 0, F.col("p_brand")).alias("native_label"),
+                       F.when(size % 4 == 0, "English").when(size % 4 == 1, "German").alias("language"), F.when(size % 5 == 0, "male").when(size % 5 == 1, "female").alias("gender"), F.when(size % 2 == 0, F.col("p_type")).alias("description"))
+    return knowledge.dedupe_by_qid(rows, "o").select("qid", "label", *_FILLED)
 
 
 def _entries(spark, sf) -> DataFrame:
@@ -509,23 +505,22 @@ def _entries(spark, sf) -> DataFrame:
     etymology = F.when(size % 3 == 0, F.array(template("bor", _1=F.lit("en"), _2=F.lit("fr"), _3=last)))
     descendants = F.when(size % 4 == 0, F.array(F.struct(F.lit("Danish").alias("lang"), F.lit("da").alias("lang_code"), last.alias("word"))))
     entry = F.struct(first.alias("word"), F.lit("English").alias("lang"), F.lit("en").alias("lang_code"), head.alias("head_templates"), etymology.alias("etymology_templates"), descendants.alias("descendants"), F.array(F.struct(F.array(gloss).alias("glosses"))).alias("senses"))
-    return lexical.parse(part.select(F.to_json(entry).alias("value")))
-
-
-_E = "e AS (SELECT p_partkey, p_size, lower(split_part(p_name, ' ', 1)) AS a, lower(regexp_extract(p_name, '[^ ]*$')) AS b, p_size % 5 <= 2 OR p_size % 7 = 0 AS given FROM part)"
-
+    return lexical.parse(part.select(F.to_json(entry).alias("value"), F.struct(F.col("p_partkey").alias("line")).alias("at")))
 
 
+_E = """e AS (SELECT p_partkey AS o, p_size, upper(a[1]) || a[2:] AS wa, upper(b[1]) || b[2:] AS wb, a, b, p_size % 5 <= 2 OR p_size % 7 = 0 AS given FROM (
+  SELECT p_partkey, p_size, lower(split_part(p_name, ' ', 1)) AS a, lower(regexp_extract(p_name, '[^ ]*$')) AS b FROM part))"""
+#: The rules' edges: an entry's steps in order, with language codes and labels of child and parent.
+_RULES = ["SELECT o, 0 AS place, 'en' AS cc, wa AS cl, 'fr' AS pc, wb AS pl, 'derived_from' AS kind, wa FROM e WHERE p_size % 7 = 0", "SELECT o, 1, 'fr', wb, 'la', wb || 'us', 'derived_from', wa FROM e WHERE p_size % 7 = 0",
+          "SELECT o, 2, 'en', wa, 'fr', wb, 'derived_from', wa FROM e WHERE given AND p_size % 3 = 0", "SELECT o, 3, 'en', wa, 'en', wb, CASE p_size % 5 WHEN 0 THEN 'diminutive_of' ELSE 'variant_of' END, wa FROM e WHERE p_size % 5 <= 1",
+          "SELECT o, 4, 'da', wb, 'en', wa, 'derived_from', wa FROM e WHERE given AND p_size % 4 = 0"]
+_STEPS = _E + ", steps AS (" + " UNION ALL ".join(_RULES) + ")"
+_PAGE = "'https://en.wiktionary.org/wiki/' || "
 
-_RULES = {1: "SELECT 'en:' || a AS child, 'fr:' || b AS parent, 'derived_from' AS relation_type FROM e WHERE p_size % 7 = 0 UNION ALL SELECT 'fr:' || b, 'la:' || b || 'us', 'derived_from' FROM e WHERE p_size % 7 = 0",
-          2: "SELECT 'en:' || a AS child, 'fr:' || b AS parent, 'derived_from' AS relation_type FROM e WHERE given AND p_size % 3 = 0",
-          3: "SELECT 'en:' || a AS child, 'en:' || b AS parent, CASE p_size % 5 WHEN 0 THEN 'diminutive_of' ELSE 'variant_of' END AS relation_type FROM e WHERE p_size % 5 <= 1",
-          4: "SELECT 'da:' || b AS child, 'en:' || a AS parent, 'derived_from' AS relation_type FROM e WHERE given AND p_size % 4 = 0"}
 
-
-@query("SELECT DISTINCT child, parent, relation_type FROM (" + " UNION ALL ".join(f"({r})" for r in _RULES.values()) + ") WHERE child <> parent", steps=_E)
+@query(f"SELECT child, parent, kind AS relation_type, {_PAGE} arg_min(wa, o) AS source_url FROM (SELECT *, cc || ':' || lower(cl) AS child, pc || ':' || lower(pl) AS parent FROM steps) WHERE child <> parent GROUP BY ALL", steps=_STEPS)
 def lexical_edges(spark, sf):
-    return lexical.edges(lexical.transform(_entries(spark, sf))).select("child", "parent", "relation_type")
+    return lexical.edges(lexical.transform(_entries(spark, sf)))
 
 
 @query("SELECT a AS word, count(*) AS n FROM e WHERE given GROUP BY a", steps=_E)
@@ -534,14 +529,20 @@ def given_name_filter(spark, sf):
     return kept.groupBy(F.lower("entry.word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT k AS key FROM (SELECT 'en:' || a AS k FROM e WHERE given UNION ALL SELECT child FROM r UNION ALL SELECT parent FROM r)", steps=_E + ", r AS (SELECT child, parent FROM (" + " UNION ALL ".join(f"({r})" for r in _RULES.values()) + "))")
+_GENDER = "CASE WHEN p_size % 7 = 0 THEN 'male' WHEN p_size % 5 = 0 THEN 'female' WHEN p_size % 5 = 2 THEN 'male' END"
+
+
+@query(f"""SELECT key, w.lang_code AS lang_code, w.label AS label, language, gender, {_PAGE} w.label AS source_url FROM (
+ SELECT lang_code || ':' || lower(label) AS key, arg_min({{'lang_code': lang_code, 'label': label}}, (o, place)) AS w, arg_min(language, (o, place)) FILTER (language IS NOT NULL) AS language, arg_min(gender, (o, place)) FILTER (gender IS NOT NULL) AS gender FROM (
+  SELECT o, -1 AS place, 'en' AS lang_code, wa AS label, 'English' AS language, {_GENDER} AS gender FROM e WHERE given
+  UNION ALL SELECT o, 2 * place, cc, cl, CASE cc WHEN 'da' THEN 'Danish' END, NULL FROM steps UNION ALL SELECT o, 2 * place + 1, pc, pl, NULL, NULL FROM steps) GROUP BY 1)""", steps=_STEPS)
 def lexical_names(spark, sf):
-    return lexical.names(lexical.transform(_entries(spark, sf))).select("key")
+    return lexical.names(lexical.transform(_entries(spark, sf)))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'male' WHEN p_size % 5 = 0 THEN 'female' WHEN p_size % 5 = 2 THEN 'male' END AS gender FROM part WHERE p_size % 5 <> 1 OR p_size % 7 = 0")
+@query(f"SELECT p_partkey, {_GENDER} AS gender FROM part")
 def gender_rules(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet").where("p_size % 5 <> 1 OR p_size % 7 = 0")
+    part = spark.read.parquet(f"{sf}/part.parquet")
     size = F.col("p_size")
     gloss = F.when(size % 5 == 0, "the female given name").when(size % 5 == 2, "a male given name").otherwise("a thing")
     head = F.when(size % 7 == 0, F.array(F.struct(F.lit("given name").alias("name"), F.create_map(F.lit("2"), F.lit("Male, x")).alias("args"))))
@@ -646,14 +647,23 @@ def sparql_optional(spark, sf):
     return knowledge.with_optionals(_triples(spark, sf), "Q202444")
 
 
-@query("SELECT low, least(low + 50000, 230001) AS high FROM range(1, 230001, 50000) AS r(low)")
+_NUMBERS = " q AS (SELECT CAST(substr(wikidata_qid, 2) AS BIGINT) AS n FROM names WHERE wikidata_qid IS NOT NULL)"
+
+
+@query("SELECT low, least(low + 50000, top) AS high, count(n) AS n FROM (SELECT unnest(range(1, top, 50000)) AS low, top FROM (SELECT max(n) + 1 AS top FROM q)) LEFT JOIN q ON n >= low AND n < low + 50000 GROUP BY low, top", "names", steps=_NUMBERS)
 def qid_windows(spark, sf):
-    return knowledge.windows(spark, 1, 230_001)
+    """The windows up to the largest item of the catalogue, and how many items each has."""
+    items = Catalog.part(spark, sf, "names").select(knowledge.qid_number(F.col("wikidata_qid")).alias("n")).where("n IS NOT NULL")
+    top = items.agg(F.max("n")).first()[0] or 0
+    held = items.groupBy((F.floor((F.col("n") - 1) / knowledge.WINDOW) * knowledge.WINDOW + 1).alias("low")).agg(F.count(F.lit(1)).alias("n"))
+    return knowledge.windows(spark, 1, top + 1).join(held, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT CAST(i AS VARCHAR) AS prefix FROM range(10, 100) AS r(i)")
+@query("SELECT prefix, count(n) AS n FROM (SELECT CAST(i AS VARCHAR) AS prefix FROM range(10, 100) AS r(i)) LEFT JOIN q ON starts_with(CAST(n AS VARCHAR), prefix) GROUP BY prefix", "names", steps=_NUMBERS)
 def uri_prefixes(spark, sf):
-    return knowledge.prefixes(spark)
+    """The prefixes that shard the source's items, and how many of the catalogue's items each has."""
+    held = Catalog.part(spark, sf, "names").select(F.substring("wikidata_qid", 2, 2).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    return knowledge.prefixes(spark).join(held, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 KEYED = " AND ".join(f"e.{k} = b.{k}" for k in ("name_id", "source", "field"))
@@ -665,13 +675,16 @@ def upsert_overwrite(spark, sf):
     return merge.upsert_enrichments(target, Catalog.part(spark, sf, "batch")).drop("source_url")
 
 
-@query("""SELECT coalesce(n.wk, b.wk) AS wiktionary_key, CASE WHEN b.wk IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.wk IS NULL THEN n.language ELSE coalesce(b.language, n.language) END AS language
- FROM (SELECT * FROM names WHERE wk IS NOT NULL) n FULL JOIN (SELECT 'p:' || CAST(p_partkey AS VARCHAR) AS wk, upper(p_name) AS label, CASE WHEN p_size % 2 = 0 THEN p_brand END AS language FROM part) b ON b.wk = n.wk""", "names")
+_NEW = "'h' || substr(sha256({0}), 1, 31)"
+
+
+@query("SELECT coalesce(n.id, " + _NEW.format("b.wk") + """) AS id, coalesce(n.wk, b.wk) AS wiktionary_key, CASE WHEN b.wk IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.wk IS NULL THEN n.language ELSE coalesce(b.language, n.language) END AS language
+ FROM names n FULL JOIN (SELECT 'p:' || CAST(p_partkey AS VARCHAR) AS wk, upper(p_name) AS label, CASE WHEN p_size % 2 = 0 THEN p_brand END AS language FROM part) b ON b.wk = n.wk""", "names")
 def upsert_coalesce(spark, sf):
-    target = Catalog.part(spark, sf, "names").where("wk IS NOT NULL").select("id", F.col("wk").alias("wiktionary_key"), "label", "language", "gender")
+    target = Catalog.part(spark, sf, "names").select("id", F.col("wk").alias("wiktionary_key"), "label", "language", "gender")
     part = spark.read.parquet(f"{sf}/part.parquet")
     rows = part.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("wiktionary_key"), F.upper("p_name").alias("label"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("language"), F.lit(None).cast("string").alias("gender"))
-    return merge.upsert_names_by_key(target, rows).select("wiktionary_key", "label", "language")
+    return merge.upsert_names_by_key(target, rows).select("id", "wiktionary_key", "label", "language")
 
 
 FRESH = " fresh AS (SELECT DISTINCT least('P' || CAST(l_partkey AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR)) AS name_a, greatest('P' || CAST(l_partkey AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR)) AS name_b FROM lineitem), old AS (SELECT * FROM relations WHERE confidence = 'sourced')"
@@ -686,15 +699,15 @@ def insert_ignore(spark, sf):
     return merge.insert_relations(c.relations.where("confidence = 'sourced'"), edges, c.names.select("id", F.col("id").alias("key")), "key")
 
 
-@query("""SELECT coalesce(n.wikidata_qid, b.qid) AS wikidata_qid, CASE WHEN b.qid IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.qid IS NULL THEN n.native_label ELSE b.native_label END AS native_label,
- CASE WHEN b.qid IS NULL THEN n.gender ELSE b.gender END AS gender FROM (SELECT * FROM names WHERE wikidata_qid IS NOT NULL) n FULL JOIN (
+@query("SELECT coalesce(n.id, " + _NEW.format("b.qid") + """) AS id, coalesce(n.wikidata_qid, b.qid) AS wikidata_qid, CASE WHEN b.qid IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.qid IS NULL THEN n.native_label ELSE b.native_label END AS native_label,
+ CASE WHEN b.qid IS NULL THEN n.gender ELSE b.gender END AS gender FROM names n FULL JOIN (
  SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS qid, upper(p_name) AS label, CASE WHEN p_size % 2 = 0 THEN p_brand END AS native_label, CASE WHEN p_size % 4 = 1 THEN 'male' END AS gender FROM part) b ON b.qid = n.wikidata_qid""", "names")
 def upsert_by_qid(spark, sf):
     """Overwrites, nulls too, by item."""
-    target = Catalog.part(spark, sf, "names").where("wikidata_qid IS NOT NULL").drop("wk")
+    target = Catalog.part(spark, sf, "names").drop("wk")
     part = spark.read.parquet(f"{sf}/part.parquet")
     rows = part.select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("wikidata_qid"), F.upper("p_name").alias("label"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("native_label"), F.lit(None).cast("string").alias("language"), F.when(F.col("p_size") % 4 == 1, "male").alias("gender"))
-    return merge.upsert_names_by_qid(target, rows).select("wikidata_qid", "label", "native_label", "gender")
+    return merge.upsert_names_by_qid(target, rows).select("id", "wikidata_qid", "label", "native_label", "gender")
 
 
 @query("SELECT child_id, parent_id, relation_type, 'manual' AS source FROM lineage WHERE relation_type = 'variant_of' UNION ALL SELECT child_id, parent_id, relation_type, 'wiktionary' FROM lineage WHERE relation_type = 'derived_from' AND child_id LIKE 'C%'", "lineage")
