@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stemma.catalog import Catalog, oracle_with
 from stemma.functions import text as tx
 from stemma.functions.unicode import jaro_winkler_of, plain_label
-from stemma.operators import graph, layout, lookalike, merge, search, tree, trees, viewport
+from stemma.operators import graph, layout, layouts, lookalike, merge, search, tree, trees, viewport
 from stemma.plans import relations as relation_loads
 from stemma.plans.relations import merge_relations
 from stemma.sources import knowledge, lexical
@@ -398,8 +398,11 @@ def _trees_sql(roots: str) -> str:
   FROM (SELECT root, root IN (SELECT near FROM above) AS up, root IN (SELECT near FROM below) AS down FROM ({roots}))),
 {walk("fell", "begun", "below", 1, "levels_down", "root_down")},{walk("rose", "fell_done", "above", -1, "levels_up", "root_up")},
  climbed AS (SELECT root, n, unnest.id AS id, unnest.near AS near, unnest.depth AS depth FROM (SELECT root, unnest(got) AS unnest, generate_subscripts(got, 1) AS n FROM rose_done)),
- grown AS (SELECT root, root AS id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent FROM begun UNION ALL SELECT root, g.id, g.depth, g.near FROM (SELECT root, unnest(got) AS g FROM fell_done)
-  UNION ALL SELECT root, id, depth, (SELECT arg_max(o.id, o.n) FROM climbed o WHERE o.root = c.root AND o.near = c.id) FROM climbed c)"""
+ grown AS (SELECT root, root AS id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS near, 0 AS place FROM begun UNION ALL SELECT root, g.id, g.depth, g.near, g.near, n FROM (SELECT root, unnest(got) AS g, generate_subscripts(got, 1) AS n FROM fell_done)
+  UNION ALL SELECT root, id, depth, (SELECT arg_max(o.id, o.n) FROM climbed o WHERE o.root = c.root AND o.near = c.id), near, 1000 + n FROM climbed c)"""
+
+
+ALL_ROOTS = "SELECT id AS root FROM names JOIN (SELECT parent_id AS id FROM lineage UNION SELECT child_id FROM lineage) USING (id)"
 
 
 @query("SELECT id, label, depth, parent FROM grown JOIN names USING (id)", "names", "lineage", steps=_trees_sql("SELECT 'N11' AS root"))
@@ -407,13 +410,59 @@ def lineage_tree(spark, sf):
     return tree.tree_rows(spark, tree.lineage_tree(Catalog.from_tables(spark, sf), "N11", collapse=False))[0].select("id", "label", "depth", "parent")
 
 
-@query("SELECT root, id, depth, parent FROM grown", "names", "lineage", steps=_trees_sql("SELECT id AS root FROM names JOIN (SELECT parent_id AS id FROM lineage UNION SELECT child_id FROM lineage) USING (id)"))
+@query("SELECT root, id, depth, parent FROM grown", "names", "lineage", steps=_trees_sql(ALL_ROOTS))
 def lineage_trees(spark, sf):
     """The trees around all names with lineage, in one plan."""
     c = Catalog.from_tables(spark, sf)
     return trees.lineage_trees(c, graph.incident(c.lineage, "child_id", "parent_id").select("id")).select("root", "id", "depth", "parent")
 
 
+_PLACED = """, t AS (SELECT grown.*, sign(depth) AS side, label FROM grown JOIN names USING (id)),
+ hung AS (SELECT root, side, id, near FROM t WHERE depth <> 0 AND (root, side, id) NOT IN (SELECT (root, side, near) FROM t WHERE depth <> 0) UNION ALL SELECT t.root, t.side, t.id, t.near FROM hung JOIN t ON t.root = hung.root AND t.side = hung.side AND t.id = hung.near),
+ w AS (SELECT root, side, id, count(*) AS weight FROM hung GROUP BY ALL),
+ sib AS (SELECT t.root, t.side, t.id, t.near, depth, weight, sum(weight) OVER s AS whole, count(*) OVER s AS n, sum(weight) OVER (s ORDER BY place) - weight AS before, row_number() OVER (s ORDER BY place) - 1 AS idx
+  FROM t JOIN w ON t.root = w.root AND t.side = w.side AND t.id = w.id WINDOW s AS (PARTITION BY t.root, t.side, t.near)),
+ pos AS (SELECT DISTINCT root, side, root AS id, 0 AS depth, -26.0::DOUBLE * whole AS low, 26.0::DOUBLE * whole AS high, 0::DOUBLE AS a, 0::DOUBLE AS b FROM sib WHERE near = root
+  UNION ALL SELECT root, side, id, depth, a + least((b - a) * 0.04, 8), b - least((b - a) * 0.04, 8), a, b FROM (
+   SELECT root, side, id, depth, start AS a, start + room * weight / whole AS b FROM (SELECT *, low + room * before / whole + gutter * idx AS start FROM (SELECT *, greatest(span - gutter * (n - 1), 1) AS room FROM (SELECT *, least(span * 0.02, 12) AS gutter FROM (
+    SELECT s.*, p.low, greatest(p.high - p.low, 1)::DOUBLE AS span FROM pos p JOIN sib s ON s.root = p.root AND s.side = p.side AND s.near = p.id)))))),
+ raw AS (SELECT t.root, t.id, t.depth, t.label, t.place, coalesce(parent, t.id) AS elder, CASE WHEN t.depth = 0 THEN 0 ELSE (p.a + p.b) / 2 END AS breadth FROM t LEFT JOIN pos p ON p.root = t.root AND p.id = t.id AND p.depth = t.depth AND t.depth <> 0),
+ spread AS (SELECT root, id, depth, label, CASE WHEN hi - lo >= 1 AND n > 1 AND far - near < (hi - lo) * 0.65 AND kin THEN lo + (hi - lo) * k / (n - 1) ELSE breadth END AS py FROM (
+  SELECT *, min(breadth) OVER (PARTITION BY root) AS lo, max(breadth) OVER (PARTITION BY root) AS hi, count(*) OVER l AS n, min(breadth) OVER l AS near, max(breadth) OVER l AS far, row_number() OVER (l ORDER BY breadth, place) - 1 AS k, min(elder) OVER l = max(elder) OVER l AS kin
+  FROM raw WINDOW l AS (PARTITION BY root, depth))),
+ box AS (SELECT *, 120.0::DOUBLE * depth AS px, least(length(label), 22) * CASE abs(depth) WHEN 0 THEN 28 WHEN 1 THEN 16 ELSE 13 END * 0.55::DOUBLE + 28 AS w, CASE abs(depth) WHEN 0 THEN 72 WHEN 1 THEN 52 ELSE 44 END AS h FROM spread),
+ fit AS (SELECT *, least(fy, sx * 1.75) AS sy FROM (SELECT *, least(fx, fy * 1.75) AS sx FROM (SELECT *, 964.0::DOUBLE / wide AS fx, 656.0::DOUBLE / tall AS fy FROM (
+  SELECT root, min(px) AS x0, min(py - h * 0.35) AS y0, greatest(max(px + w) - min(px), 1) AS wide, greatest(max(py + h * 0.35) - min(py - h * 0.35), 1) AS tall FROM box GROUP BY root)))),
+ placed AS (SELECT b.root, b.id, b.depth, 96 + greatest(0, (964 - wide * sx) / 2) + (px - x0) * sx AS x, 88 + greatest(0, (656 - tall * sy) / 2) + (py - y0) * sy AS y, least(greatest(least(sx, sy) * 0.95, 0.85), 1.5) AS scale FROM box b JOIN fit USING (root))"""
+_EVERY_TREE = _trees_sql(ALL_ROOTS)
+
+
+def _all_trees(spark, sf) -> DataFrame:
+    c = Catalog.from_tables(spark, sf)
+    made = trees.lineage_trees(c, graph.incident(c.lineage, "child_id", "parent_id").select("id"))
+    return materialize(made.join(c.names.select("id", "label"), "id"), "labelled_trees")
+
+
+@query("SELECT root, id, weight FROM w", "names", "lineage", steps=_EVERY_TREE + _PLACED)
+def tree_weights(spark, sf):
+    """What hangs on each node of all trees."""
+    return layouts.weights(_all_trees(spark, sf)).select("root", "id", "weight")
+
+
+@query("SELECT root, id, depth, round(x, 3) AS x, round(y, 3) AS y, round(scale, 3) AS scale FROM placed", "names", "lineage", steps=_EVERY_TREE + _PLACED)
+def tree_positions(spark, sf):
+    """Where the nodes of all trees go in a viewport."""
+    placed = layouts.positions(_all_trees(spark, sf), 1200, 800)
+    return placed.select("root", "id", "depth", *(F.round(c, 3).alias(c) for c in ("x", "y", "scale")))
+
+
+@query("SELECT root, depth, count(*) AS n, round(avg(x), 3) AS lane FROM placed GROUP BY ALL", "names", "lineage", steps=_EVERY_TREE + _PLACED)
+def tree_lanes(spark, sf):
+    """Nodes and mean position of every level of all trees."""
+    found = layouts.lanes(layouts.positions(_all_trees(spark, sf), 1200, 800), F.col("x"))
+    return found.withColumn("lane", F.round("lane", 3))
+
+
 @query()
 def tree_collapsed(spark, sf):
     made = tree.tree_rows(spark, tree.lineage_tree(Catalog.from_tables(spark, sf), "N11"))[0]
@@ -429,6 +478,7 @@ def tree_expanded(spark, sf):
 
 @query()
 def tree_layout(spark, sf):
+    """The collapsed tree of one name."""
     made = tree.lineage_tree(Catalog.from_tables(spark, sf), "N11")
     placed = layout.layout(made, 1200, 800)[0] if made else {}
     return spark.createDataFrame([(i, round(x, 6), round(y, 6)) for i, (x, y) in placed.items()], "id string, x double, y double")
