@@ -3,11 +3,12 @@
 A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised in parallel, each from its own
 start, so a chunk's first boundaries may be wrong. The pattern looks ahead but never behind, hence once two neighbours
 have one boundary in common all later ones agree: that is where they are stitched, at a boundary with no white space
-before it, so that a piece alone splits as it does inside the text. From the first pair of neighbours without such a
-boundary (thousands of letters without a break) the rest of the text is one piece. The pieces are then encoded
-in parallel and their ids put together in order. A text of one chunk is one piece. The chunks of a text of more than
-SPREAD characters go to different tasks; those of a shorter one stay in its row's task, as moving them costs more than it
-saves. Both ways give the same ids.
+before it, so that a piece alone splits as it does inside the text. Where two neighbours have no such boundary (thousands of
+letters without a break) what follows their last right boundary is cut again, into chunks and overlaps twice as long, until
+neighbours meet: so only the stretch without a break, and no more than some times its length, is one piece. The pieces are
+then encoded in parallel and their ids put together in order. A text of one chunk is one piece. The chunks of a text of more
+than SPREAD characters go to different tasks; those of a shorter one stay in its row's task, as moving them costs more than
+it saves. Both ways give the same ids.
 
 Null text counts as empty and has no ids. Repeated rows and null ids need no care, as no column serves as a key.
 Columns of the input with the name of an output are replaced.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm.common import arrow_map, others, pieces, workers_find_package
+from stemma.sources.shared import materialize
 
 CHUNK, OVERLAP, SPREAD = 1 << 14, 1 << 11, 1 << 18
 #: A boundary so near the end of a chunk may depend on what follows: the longest contraction has three characters.
@@ -85,16 +87,23 @@ def _edges(part: str, pattern: str, chunk: int, overlap: int) -> tuple[np.ndarra
 
 def stitched(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """The pieces of one text."""
-    at, tail = [0], None
-    for start in range(0, len(text) if len(text) > chunk else 0, chunk):
-        head, after = _edges(text[start : start + chunk + overlap], pattern, chunk, overlap)
-        if tail is not None:
-            met = np.intersect1d(tail, head)
-            if not len(met):
-                break
-            at.append(start + int(met[0]))
-        tail = after
-    return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
+    at, scale = [0], 1
+    while True:
+        size, lap, tail = scale * chunk, scale * overlap, None
+        for start in range(at[-1], len(text) if len(text) > chunk else 0, size):
+            head, after = _edges(text[start : start + size + lap], pattern, size, lap)
+            if tail is not None:
+                met = np.intersect1d(tail, head)
+                if not len(met):
+                    scale *= 2
+                    break
+                at.append(start + int(met[0]))
+                if scale > 1:  # beyond the stretch
+                    scale = 1
+                    break
+            tail = after
+        else:
+            return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
 
 
 def _cut(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -115,7 +124,8 @@ def _cut(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def _stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """Pieces (__rid, __piece, __row, __text) of long texts; __row with a text's first piece only."""
+    """Pieces (__rid, __piece, __row, __text, __chunks) of long texts; __row with a text's first piece only. From the first pair
+    of neighbours that don't meet on, the rest is one piece, of several chunks."""
     cut = _cut(long, chunk, overlap)
 
     def edges(b: pa.RecordBatch) -> list:
@@ -136,7 +146,24 @@ def _stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFr
     part = F.substring("__text", start + 1, stop - start)
     return (met.select("__rid", "__piece", "__row", "__k", part.alias("__text"))
             .groupBy("__rid", "__piece").agg(F.first("__row", True).alias("__row"), F.array_sort(F.collect_list(F.struct("__k", "__text"))).alias("__parts"))
-            .select("__rid", "__piece", "__row", F.array_join(F.col("__parts.__text"), "").alias("__text")))
+            .select("__rid", "__piece", "__row", F.array_join(F.col("__parts.__text"), "").alias("__text"), F.size("__parts").alias("__chunks")))
+
+
+def _all_pieces(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """Pieces (__rid, __piece, __row, __text) of long texts. What is left of a text after neighbours that don't meet is cut
+    again with longer chunks; it comes last, so its pieces go on counting."""
+    rows = long.select(F.struct("__rid", F.lit(0).cast("bigint").alias("before")).alias("__rid"), "__row", "__text")
+    columns, done = ["__rid", "__piece", "__row", "__text"], None
+    while True:
+        found = _stitched(rows, pattern, chunk, overlap).withColumn("__piece", F.col("__rid.before") + F.col("__piece"))
+        found = materialize(found, "bpe_pieces")
+        whole = found.where("__chunks = 1").select(columns)
+        done = whole if done is None else done.union(whole)
+        rest = found.where("__chunks > 1")
+        if rest.isEmpty():
+            return done.select(F.col("__rid.__rid").alias("__rid"), "__piece", "__row", "__text")
+        rows = rest.select(F.struct(F.col("__rid.__rid").alias("__rid"), F.col("__piece").alias("before")).alias("__rid"), "__row", "__text")
+        chunk, overlap = 2 * chunk, 2 * overlap
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
@@ -150,7 +177,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     apart = F.char_length("__text") > max(spread, chunk)
     short = arrow_map(rows.where(~apart), "__ids array<int>", _encoder(shared, pattern, "__text", lambda x: stitched(x, pattern, chunk, overlap)), ["__row"])
     long = rows.where(apart).withColumn("__rid", F.monotonically_increasing_id())
-    joined = _stitched(long, pattern, chunk, overlap).repartition("__rid", "__piece")
+    joined = _all_pieces(long, pattern, chunk, overlap).repartition("__rid", "__piece")
     coded = arrow_map(joined, "__ids array<int>", _encoder(shared, pattern, "__text"), ["__rid", "__piece", "__row"])
     joined = (coded.groupBy("__rid").agg(F.first("__row", True).alias("__row"), F.array_sort(F.collect_list(F.struct("__piece", "__ids"))).alias("__parts"))
               .select("__row", F.flatten("__parts.__ids").alias("__ids")))

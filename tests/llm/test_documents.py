@@ -58,6 +58,25 @@ def test_bpe_stitches_any_code_points(spark):
     assert got == {i: enc.encode_ordinary(t) for i, t in ((1, text), (2, "x" * 40_000), (3, "word " * 9000))}
 
 
+@pytest.mark.parametrize("spread", [bpe.SPREAD, 1 << 30], ids=["in tasks", "in a row"])
+def test_bpe_goes_on_after_a_boundless_run(spark, spread):
+    """Thousands of letters without a break make one piece, not what follows them."""
+    import random
+
+    r = random.Random(8)
+    said = lambda n: "".join(r.choice(["la ", "Dé-", "17 ", "mixture ", "\n\n", "it's "]) for _ in range(n // 4))[:n]
+    text = said(15_000) + "a" * 20_000 + said(300_000) + "7" * 50_000 + said(100_000) + "é" * 3000 + said(40_000)
+    docs = spark.createDataFrame([(1, text), (2, text[::-1]), (3, "b" * 400_000)], "doc_id long, text string")
+    enc = tokenizer()
+    got = {x["doc_id"]: x["ids"] for x in bpe.encode(docs, RANKS, public_tokenizers.PATTERN, spread=spread).collect()}
+    assert got == {x["doc_id"]: enc.encode_ordinary(x["text"]) for x in docs.collect()}
+    lengths = [len(x) for x in bpe.stitched(text, public_tokenizers.PATTERN)]
+    assert sum(lengths) == len(text) and len(lengths) > 15 and max(lengths) < 4 * 50_000
+    long = docs.where("doc_id = 1").select(F.col("doc_id").alias("__rid"), F.struct("doc_id").alias("__row"), F.col("text").alias("__text"))
+    spread_out = bpe._all_pieces(long, public_tokenizers.PATTERN, bpe.CHUNK, bpe.OVERLAP).orderBy("__piece").collect()
+    assert "".join(x["__text"] for x in spread_out) == text and len(spread_out) > 2 and [x["__row"] is None for x in spread_out] == [False] + [True] * (len(spread_out) - 1)
+
+
 def groups(raw):
     found = defaultdict(list)
     for r in raw:
