@@ -15,6 +15,9 @@ sums of hashes over pages, which combine before the shuffle, so a host of any si
   links that is no template); elements that win half of the pages that have them are the host's main regions. Text comes
   from slots in a main region, unless a slot's texts repeat far more than those of the region's largest slot; blocks of
   links go where a slot is mostly links. A page without any block in a main region gives all its slots.
+* Text of the template that stands between a page's first and last text from the slots of a main region belongs to the article
+  (a byline that many articles have, a heading that all have), unless the region is the whole page; before and after
+  them it is the template's.
 * Tags, roles, class names and ids are features on top of that (features=False leaves them out): text in article or main
   elements weighs more in the vote, text in menus, asides, footers, forms and the like weighs nothing and is left out.
 
@@ -312,9 +315,10 @@ def _region(up: dict, weight: dict, said: dict, headed: dict, marks: set[int]) -
     return at
 
 
-def decide(facts: Iterable[tuple]) -> tuple[list[int], list[int], list[int], list[int]]:
+def decide(facts: Iterable[tuple]) -> tuple[list[int], list[int], list[int], list[int], bool]:
     """Of one host's summed facts (kind, key, up, n, votes, chars, links, distinct, least, most): the slots that hold main
-    text, other slots, slots that are mostly links, and classes whose order differs between pages."""
+    text, other slots, slots that are mostly links, classes whose order differs between pages, and whether the main regions
+    are less than the whole page."""
     facts = list(facts)
     up = {key: above for kind, key, above, *_ in facts if kind == HAS}
     wins = {key for kind, key, _, n, votes, *_ in facts if kind == HAS and 2 * votes >= n}
@@ -336,7 +340,7 @@ def decide(facts: Iterable[tuple]) -> tuple[list[int], list[int], list[int], lis
     # A slot that only template text fills has no facts of its own; its element says where it lies.
     text |= {key for x in up for key in (x, x ^ ENDED) if key not in slots and any(a in regions for a in ancestors(x if key == x else up[x]))}
     return (sorted(text), sorted(k for k, v in slots.items() if not v[4]), sorted(k for k, v in slots.items() if 2 * v[2] > v[1]),
-            sorted(key for kind, key, *_, least, most in facts if kind == ORDER and least != most))
+            sorted(key for kind, key, *_, least, most in facts if kind == ORDER and least != most), ROOT not in regions)
 
 
 def with_host(pages: DataFrame, url: str = "url", out: str = "__host") -> DataFrame:
@@ -395,9 +399,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     def judge(batches):
         for batch in batches:
             made = [decide(tuple(x.values()) for x in row) for row in batch.column("facts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in range(4))], names=["host", "main", "rest", "linked", "mixed"])
+            lists = (pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *lists, pa.array([m[4] for m in made], pa.bool_())], names=["host", "main", "rest", "linked", "mixed", "inner"])
 
-    judged = materialize(by_host.mapInArrow(judge, "host string, main array<bigint>, rest array<bigint>, linked array<bigint>, mixed array<bigint>"), "html_slots_judged")
+    judged = materialize(by_host.mapInArrow(judge, "host string, main array<bigint>, rest array<bigint>, linked array<bigint>, mixed array<bigint>, inner boolean"), "html_slots_judged")
     tokens_all = judged.agg(F.sum(F.size("main") + F.size("rest"))).first()[0] or 0
     # Slots of all hosts together: broadcast below the same bound as templates, else joined, where adaptive execution splits hot hosts.
     slots = judged.withColumnRenamed("host", "__host")
@@ -405,6 +410,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     in_main = F.exists("__blocks", lambda b: F.array_contains("main", b["slot"]))
     here = lambda b: F.when(in_main, F.array_contains("main", b["slot"])).otherwise(F.array_contains("rest", b["slot"]))
     plain = lambda b: (b["cls"] < 0) | F.array_contains("mixed", b["cls"].cast("bigint"))
-    chosen = F.filter("__blocks", lambda b: ~b["out"] & plain(b) & here(b) & ~(b["link"] & F.array_contains("linked", b["slot"])))
-    done = texts.withColumn("__chosen", chosen)
+    fits = lambda b: ~b["out"] & here(b) & ~(b["link"] & F.array_contains("linked", b["slot"]))
+    # Places of the first and the last text from slots; none are between where the region is the whole page.
+    done = texts.withColumn("__plain", F.transform("__blocks", lambda b: fits(b) & plain(b)))
+    first = F.array_position("__plain", True)
+    done = done.withColumns({"__first": first, "__last": F.when(F.col("inner") & in_main & (first > 0), F.size("__plain") + 1 - F.array_position(F.reverse("__plain"), True)).otherwise(0)})
+    between = lambda i: (i + 1 > F.col("__first")) & (i + 1 < F.col("__last"))
+    done = done.withColumn("__chosen", F.filter("__blocks", lambda b, i: fits(b) & (plain(b) | between(i))))
     return done.select(*(F.col(f"__row.`{c}`") for c in kept), F.array_join(F.col("__chosen.text"), "\n\n").alias("text"), F.size(F.array_distinct("__chosen.slot")).alias("n_slots"))

@@ -171,14 +171,34 @@ def deduced(pages, features=True):
             x = facts.setdefault((kind, key, up), [0, 0, 0, 0, set()])
             x[:4] = [x[0] + 1, x[1] + flag, x[2] + chars, x[3] + flag * chars * (kind == html_text.SAYS)]
             x[4] |= {h} - {None}
-    main, rest, linked, mixed = map(set, html_text.decide((*k, *v[:4], len(v[4]), min(v[4], default=None), max(v[4], default=None)) for k, v in facts.items()))
+    *lists, inner = html_text.decide((*k, *v[:4], len(v[4]), min(v[4], default=None), max(v[4], default=None)) for k, v in facts.items())
+    main, rest, linked, mixed = map(set, lists)
     out = []
     for blocks, _ in marked:
-        here = main if any(b[0] in main for b in blocks) else rest
-        out.append("\n\n".join(x for slot, cls, link, gone, x in blocks if slot in here and not gone and (cls < 0 or cls in mixed) and not (link and slot in linked)))
+        inside = any(b[0] in main for b in blocks)
+        fits = [slot in (main if inside else rest) and not gone and not (link and slot in linked) for slot, _, link, gone, _ in blocks]
+        own = [n for n, (fit, b) in enumerate(zip(fits, blocks)) if fit and (b[1] < 0 or b[1] in mixed)]
+        taken = {*own, *(n for n in range(own[0], own[-1]) if fits[n])} if own and inside and inner else own
+        out.append("\n\n".join(blocks[n][4] for n in sorted(taken)))
     return out
 
 
+@pytest.mark.parametrize("features", [True, False])
+@pytest.mark.parametrize("tag", ["article", "div class=x7"])
+def test_articles_keep_what_they_share(spark, tag, features):
+    """Bylines and standing headings of articles stay, as do closing words inside; what stands around the article goes."""
+    r = random.Random(21)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        blocks = [say(5), ("By Ann", "By Bob", "By Cy")[i % 3 if i % 4 else 0], say(30), "Background", *(say(25) for _ in range(i % 3 + 1)), "What it means", say(12)]
+        body = "".join(f"<h1>{b}</h1>" if n == 0 else f"<h2>{b}</h2>" if b in ("Background", "What it means") else f"<p>{b}</p>" for n, b in enumerate(blocks))
+        rows.append((i, f"http://h{i % 2}/", f"<body><div class=x1><a href=/>Home</a> <a href=/n>News</a></div><div class=x2>The daily paper</div><{tag}>{body}</{tag.split()[0]}><div class=x3>Read it every day</div></body>"))
+        want[i] = "\n\n".join(blocks)
+    got = {x["page_id"]: x["text"] for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), features=features).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("features", [True, False])
 def test_extraction_equals_plain_deduction(spark, raw, features):
     from collections import defaultdict
