@@ -100,13 +100,15 @@ class DigestIndex:
         return _merged([Run(r.level, r.table.where(F.col("digest") == F.lit(bytearray(digest)))) for r in self.runs])
 
     def known(self, rows: DataFrame) -> DataFrame:
-        """The rows (with digest) that the index has, with keep_id and group_size; only rows that a run's filter doesn't
-        rule out are joined with the run."""
-        found = [hit.join(run.table, "digest") for run in self.runs for hit in [run.might_hold(rows)[0]]]
+        """The rows (with digest) that the index has, with keep_id and group_size; only digests that a run's filter doesn't
+        rule out are looked up in the run. Repeated rows stay as many as they are."""
+        asked = rows.select("digest").distinct()
+        found = [run.might_hold(asked)[0].join(run.table, "digest") for run in self.runs]
         out = found[0]
         for x in found[1:]:
             out = out.unionByName(x)
-        return out.groupBy(*rows.columns).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        held = out.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return rows.join(held, "digest").select(*rows.columns, "keep_id", "group_size")
 
 
 def _merged(runs: list[Run]) -> DataFrame:

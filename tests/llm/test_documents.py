@@ -129,6 +129,9 @@ def test_digest_index_levels(spark):
     assert read(index.table()) == want
     one = next(iter(want))
     assert read(index.lookup(one)) == {one: want[one]} and read(index.lookup(b"none")) == {}
+    twice = spark.createDataFrame([(int(x), n) for x, n in ((rows[0][0], 9), (rows[0][0], 9), (rows[1][0], 7), (999, 1))], "t long, n int").withColumn("digest", digest)
+    here = lambda t: want[hashlib.sha256(str(t).encode()).digest()]
+    assert Counter((x["t"], x["n"], x["keep_id"], x["group_size"]) for x in index.known(twice).collect()) == Counter((t, n, *here(t)) for t, n in ((rows[0][0], 9), (rows[0][0], 9), (rows[1][0], 7)))
     assert read(index.compact().table()) == want and len(index.runs) == 1
 
 
