@@ -12,8 +12,9 @@ of copies that brings the words taken so far closest to the words due so far (wh
 is made up by the next sizes), so a source ends within about half of a small document of its target. One task has the
 distinct sizes of a source, never its documents. A size's extra copies go to its documents with the least hashes of id and
 text, up to a bound found by counting hashes in ranges, as many as the largest size has documents in each of them: two
-steps of the root of their number. Documents compare their own hash with the bound and never meet. Documents with the very hash of the bound (rows that agree in id and text) share what is left over by
-their place in the input. A rerun over the same files gives the same copies.
+steps of the root of their number. Documents compare their own hash with the bound and never meet. Of documents with the very
+hash of the bound (rows that agree in id and text) exactly as many as are left over take one more, the first by their place
+in the input. So a rerun gives the same copies, however the input is split.
 
 Null text has size 0. Null sources are one source, the last in order. Documents of size 0 take no words and stay once.
 Rows that agree in id and text are documents of their own. Columns of the input may have any names.
@@ -125,12 +126,12 @@ def _rounded(cells: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def _bounds(rows: DataFrame, cells: DataFrame, largest: int) -> DataFrame:
-    """cells (key, size, base, extra) with bound, the extra-th least hash h of the cell's rows (key, size, h), and tied, the
-    share of the rows with that very hash that are among the extra ones."""
+    """cells (key, size, base, extra) with bound, the extra-th least hash h of the cell's rows (key, size, h, place), and cut,
+    the last place of the rows with that very hash that are among the extra ones (null: all are)."""
     bits = math.ceil(math.log2(max(1, largest)) / 2)
     part = F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("bigint")
     wanted = cells.where("extra > 0")
-    narrow = rows.select("key", "size", F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("u")).withColumn("part", part)
+    narrow = rows.select("key", "size", "place", F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("u")).withColumn("part", part)
     # u orders as unsigned what h orders as signed.
     counted = narrow.join(wanted, ["key", "size"]).groupBy("key", "size", "part", "extra").agg(F.count(F.lit(1)).alias("n"))
     seen = F.sum("n").over(Window.partitionBy("key", "size").orderBy("part"))
@@ -139,8 +140,16 @@ def _bounds(rows: DataFrame, cells: DataFrame, largest: int) -> DataFrame:
     per = narrow.join(met, ["key", "size", "part"]).groupBy("key", "size", "left", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     seen = F.sum("n").over(Window.partitionBy("key", "size").orderBy("h"))
     at = per.withColumn("seen", seen).where((F.col("seen") >= F.col("left")) & (F.col("seen") - F.col("n") < F.col("left")))
-    found = at.select("key", "size", F.col("h").alias("bound"), ((F.col("left") - F.col("seen") + F.col("n")) / F.col("n")).alias("tied"))
-    return cells.join(found, ["key", "size"], "left").select("key", "size", "base", "bound", "tied")
+    found = materialize(at.select("key", "size", F.col("h").alias("bound"), (F.col("left") - F.col("seen") + F.col("n")).alias("take"), "n"), "mixing_bounds")
+    # Rows equal in id and text share a hash: which of them is all the same, how many is not. Places count by split of the
+    # input, so counts of splits say where the last one is, and only that split's rows are numbered.
+    tied = rows.join(found.where("take < n"), ["key", "size"]).where("h = bound").select("key", "size", "take", "place", F.shiftright("place", 33).alias("split"))
+    per = tied.groupBy("key", "size", "take", "split").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.sum("n").over(Window.partitionBy("key", "size").orderBy("split"))
+    last = per.withColumn("seen", seen).where((F.col("seen") >= F.col("take")) & (F.col("seen") - F.col("n") < F.col("take"))).select("key", "size", "split", (F.col("take") - F.col("seen") + F.col("n")).alias("nth"))
+    numbered = tied.join(last, ["key", "size", "split"]).withColumn("number", F.row_number().over(Window.partitionBy("key", "size").orderBy("place")))
+    cuts = numbered.where("number = nth").select("key", "size", F.col("place").alias("cut"))
+    return cells.join(found.select("key", "size", "bound"), ["key", "size"], "left").join(cuts, ["key", "size"], "left").select("key", "size", "base", "bound", "cut")
 
 
 def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, wide: bool = False) -> DataFrame:
@@ -148,7 +157,7 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     workers_find_package(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("id"), key.alias("key"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"), *[F.struct("*").alias("row")] * wide)
-    narrow = docs.select(key.alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"))
+    narrow = docs.select(F.monotonically_increasing_id().alias("place"), key.alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"))
     narrow = materialize(narrow, "mixing_rows")
     sizes = materialize(narrow.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing_sizes")
     sources = materialize(targets(sizes, weights, most), "mixing_targets")
@@ -161,9 +170,8 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     every = materialize(every.withColumn("base", F.coalesce("base", F.lit(1))), "mixing_cells")
     # Few cells go everywhere and rows stay where they are; otherwise rows meet their cell by an equi-join.
     met = rows.join(F.broadcast(every) if every.count() <= BROADCAST_CELLS else every, ["key", "size"])
-    # Multiples of the golden section spread evenly over 0 to 1, in any stretch of a partition's rows.
-    chance = F.pmod((F.col("place").bitwiseAND((1 << 33) - 1) + F.pmod(F.xxhash64(F.shiftright("place", 33)), F.lit(1 << 20))) * 0.6180339887498949, F.lit(1.0))
-    more = F.coalesce((F.col("h") < F.col("bound")) | (F.col("h") == F.col("bound")) & (chance < F.col("tied")), F.lit(False))
+    among = F.col("cut").isNull() | (F.col("place") <= F.col("cut"))
+    more = F.coalesce((F.col("h") < F.col("bound")) | (F.col("h") == F.col("bound")) & among, F.lit(False))
     found = met.withColumn("copies", F.col("base") + more.cast("long"))
     return found.select("id", "size", "source_size", "target", "copies", *["row"] * wide)
 

@@ -292,6 +292,19 @@ def test_mixing_of_many_sources_and_equal_rows(spark):
         assert abs(words_taken - t * share) <= max(0.06 * t * share, 20 * share)
 
 
+def test_mixing_does_not_depend_on_splits(spark):
+    """Rows of one text and three ids, dealt in several ways: the same copies for each id, and every source at its target."""
+    rows = [(n % 3, "three words here", "a" if n % 3 else "b") for n in range(3000)] + [(n, "x " * (n % 7), "c") for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for n in (1, 2, 7):
+        got = mixing.copies(docs.repartition(n).sortWithinPartitions(F.rand(n))).collect()
+        found.append(Counter((x["id"], x["source_size"], x["size"], x["copies"]) for x in got))
+        for source, target in {(x["source_size"], x["target"]) for x in got}:
+            assert abs(sum(x["copies"] * x["size"] for x in got if x["source_size"] == source) - target) <= 6
+    assert found[0] == found[1] == found[2]
+
+
 @pytest.mark.parametrize("shard_bytes,fan", [(20_000, 8), (200, 2), (1 << 30, 8)], ids=["one level", "many levels", "one shard"])
 def test_lm(docs, raw, none, shard_bytes, fan):
     got = {(r["id"], r["n_tokens"]): r for r in lm.score(docs, fold("doc_id", 7) == 2, block_bytes=9000, shard_bytes=shard_bytes, fan=fan).collect()}
