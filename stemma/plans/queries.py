@@ -796,12 +796,23 @@ def enrichment_pending(spark, sf):
     return knowledge.pending(c.names, graph.name_degrees(c.names, both_ends(c)), c.enrichments, "behindthename", 50, 1)
 
 
-@query()
+def _jaro_sql(label: str) -> str:
+    """near: Jaro-Winkler of every plain label with one; the letters that match are handed from step to step."""
+    return f""" met AS (SELECT id, label, regexp_replace(lower(strip_accents(label)), '[^a-z0-9]', '', 'g') AS a, '{label}' AS b FROM names WHERE label IS NOT NULL),
+ walk AS (SELECT id, label, a, b, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach, 0 AS i, CAST([] AS BIGINT[]) AS used, '' AS mine FROM met
+  UNION ALL SELECT id, label, a, b, reach, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN mine ELSE mine || substr(a, i + 1, 1) END FROM (
+   SELECT *, list_min(list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda j: NOT list_contains(used, j) AND substr(b, CAST(j AS BIGINT), 1) = substr(a, i + 1, 1))) AS j FROM walk WHERE i < length(a))),
+ jaro AS (SELECT id, label, a, b, CASE WHEN a = b THEN 1 WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - odd / 2) / m) / 3 END AS j FROM (
+  SELECT *, len(used) AS m, len(list_filter(range(1, len(used) + 1), lambda k: substr(mine, CAST(k AS BIGINT), 1) <> substr(b, list_sort(used)[k], 1))) AS odd FROM walk WHERE i = length(a))),
+ near AS (SELECT id, label, a, b, j + 0.1 * same * (1 - j) AS near FROM (SELECT *, coalesce(list_min(list_filter(range(1, least(4, length(a), length(b)) + 1), lambda k: substr(a, CAST(k AS BIGINT), 1) <> substr(b, CAST(k AS BIGINT), 1))) - 1, least(4, length(a), length(b))) AS same FROM jaro))"""
+
+
+@query("""SELECT id, label, round(near, 6) AS score FROM near WHERE length(a) >= 4 AND abs(length(a) - length(b)) <= 2 AND near >= 0.72 ORDER BY round(near, 6) DESC, label COLLATE NOCASE, id LIMIT 6""", "names", steps=_jaro_sql("largeplaet"))
 def lookalikes(spark, sf):
     return lookalike.rank(Catalog.part(spark, sf, "names"), "large plaet")
 
 
-@query()
+@query("SELECT id, round(near, 6) AS near FROM near", "names", steps=_jaro_sql("germany"))
 def jaro_winkler(spark, sf):
     names = Catalog.part(spark, sf, "names")
     return names.select("id", F.round(jaro_winkler_of(plain_label(F.col("label")), F.lit("germany")), 6).alias("near"))

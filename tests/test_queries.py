@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -36,9 +37,33 @@ def test_oracle(spark, oracle, name):
     assert plain(tuple(r) for r in made.select(columns).collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert len(QUERIES[name](spark, SF).collect()) >= 0
+def test_every_query_is_compared():
+    """What SQL doesn't ask, test_grouped_tree does."""
+    assert set(QUERIES) - set(ORACLES) == {"tree_collapsed", "tree_expanded", "tree_layout"}
+
+
+def test_grouped_tree(spark):
+    """The tree in groups against the whole one, which SQL has compared."""
+    rows = {n: [r.asDict() for r in QUERIES[n](spark, SF).collect()] for n in ("lineage_tree", "tree_collapsed", "tree_expanded", "tree_layout")}
+    whole, shown = {r["id"]: r for r in rows["lineage_tree"]}, {r["id"]: r for r in rows["tree_collapsed"]}
+    groups, names = ([r for r in shown.values() if (r["kind"] == "group") == is_group] for is_group in (True, False))
+    assert groups and all((whole[r["id"]]["label"], whole[r["id"]]["depth"], whole[r["id"]]["parent"]) == (r["label"], r["depth"], r["parent"]) for r in names)
+    assert len(names) + sum(r["n_members"] for r in groups) == len(whole)  # everyone is shown or in one group
+    assert all(r["label"] == f"+{r['n_members']} more" and r["parent"] in shown for r in groups)
+    levels, siblings = Counter(abs(r["depth"]) for r in shown.values()), Counter(r["parent"] for r in shown.values() if r["depth"] > 0)
+    assert max(levels.values()) <= 8 and max(siblings.values()) <= 4 and [r["id"] for r in names if r["depth"] == 0] == ["N11"]
+    kids = Counter(r["parent"] for r in whole.values() if r["depth"] > 0)
+    first = sorted((r for r in whole.values() if r["depth"] == 1), key=lambda r: (-kids[r["id"]], r["label"].lower(), r["id"]))
+    stay = {r["id"] for r in names if r["depth"] == 1}
+    assert stay <= {r["id"] for r in first[:3]}
+    opened = next(r for r in rows["tree_collapsed"] if r["kind"] == "group")
+    edges = {(r["source"], r["target"]) for r in rows["tree_expanded"]}
+    added = {b for a, b in edges if a == opened["parent"]} - set(shown)
+    assert len(added) == opened["n_members"] and added <= set(whole) and not any(opened["id"] in e for e in edges)
+    at = {r["id"]: (r["x"], r["y"]) for r in rows["tree_layout"]}
+    assert set(at) == set(shown) and all(0 <= x <= 1200 and 0 <= y <= 800 for x, y in at.values()) and len(set(at.values())) == len(at)
+    ordered = sorted(shown, key=lambda i: shown[i]["depth"])
+    assert all(at[a][0] < at[b][0] for a, b in zip(ordered, ordered[1:]) if shown[a]["depth"] < shown[b]["depth"])
 
 
 def test_flagship(spark):
