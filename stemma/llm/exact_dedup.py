@@ -13,7 +13,8 @@
 Nothing ever gathers the rows of a group: minima, maxima and counts combine before the shuffle, and the joins that hand
 a group's result back to its rows are plain equi-joins, which adaptive execution splits when one digest is hot.
 
-Null text counts as empty text. Null ids lose against all others; a group of null ids only has a null keep_id. Of rows
+Null text counts as empty text. Very long texts are normalised whole, in their row; only digests are shuffled, and the texts
+of digests that have copies. Null ids lose against all others; a group of null ids only has a null keep_id. Of rows
 that agree in text and id, one is kept. Other columns of the input play no part and may have any names.
 """
 

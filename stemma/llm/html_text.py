@@ -23,7 +23,8 @@ sums of hashes over pages, which combine before the shuffle, so a host of any si
 
 Hosts with fewer than LEAST_PAGES distinct pages have no text in their template, as everything on a single page occurs once in
 each page. Null html is an empty page with empty text, a null url belongs to the host ''. Broken markup is read as far
-as tags can be told. Rows of a host with the same html count as one page for the template. Columns of the input with the
+as tags can be told. A very long page is read whole, in one task, like any other. Repeated rows each have their result;
+rows of a host with the same html count as one page for the template. Columns of the input with the
 name of an output are replaced.
 """
 

@@ -9,7 +9,8 @@ The sample's texts are cut at spaces into pieces of several lengths, so that sho
 sample that training doesn't see (every fifth text of a label) sets the temperature and the rejection bound: the share
 REJECT of known texts falls below it.
 
-Null, empty and letterless texts are `und` with score 0. Prediction reads the text only. With no labelled row at all
+Null, empty and letterless texts are `und` with score 0. Repeated rows are predicted each for itself; in the sample they
+stay or go together, and count as often as they are there. Prediction reads the text only. With no labelled row at all
 every text is `und`. Columns of the input with the name of an output are replaced.
 """
 

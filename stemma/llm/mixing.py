@@ -16,7 +16,7 @@ steps of the root of their number. Documents compare their own hash with the bou
 hash of the bound (rows that agree in id and text) exactly as many as are left over take one more, the first by their place
 in the input. So a rerun gives the same copies, however the input is split.
 
-Null text has size 0. Null sources are one source, the last in order. Documents of size 0 take no words and stay once.
+Null and empty texts have size 0; of very long ones only the size is moved. Null sources are one source, the last in order. Documents of size 0 take no words and stay once.
 Rows that agree in id and text are documents of their own. Columns of the input may have any names.
 """
 

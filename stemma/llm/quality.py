@@ -5,7 +5,8 @@ one class). The references are the same histograms over all rows of each languag
 whole table. A text is far off if the Jensen-Shannon distance to the nearest language's reference is above a bound, in
 either histogram. A histogram of few items says little: below a minimum length it is not judged.
 
-Null and empty texts have no words and fail by the base rule. Rows without a language make no reference; if no row has
+Null and empty texts have no words and fail by the base rule. Very long texts are counted whole. Repeated rows are judged each
+for itself and count each in the references; of common words with equal counts the smaller ones are taken. Rows without a language make no reference; if no row has
 one, only the base rule decides. Columns of the input with the name of an output are replaced.
 """
 

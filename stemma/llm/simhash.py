@@ -8,7 +8,8 @@ make many pairs, so its fingerprints are linked through probes instead: each sta
 itself, and all that share a probe link to the probe's smallest. Two fingerprints share a probe exactly if they differ in
 at most two bits, so this finds the same components with work in proportion to the fingerprints.
 
-Null, empty and space-only texts have fingerprint zero and link like any other. Fewer words than a shingle make one
+Null, empty and space-only texts have fingerprint zero and link like any other. Very long texts are hashed whole, PIECE
+shingles at a time; a bit that exactly half the shingles set is 0. Fewer words than a shingle make one
 shingle of all words. Repeated rows are rows of the same group; null ids lose against all others; groups are
 known by fingerprint, so ids that several groups share, or none, keep a row for each group. Other columns may have
 any names.
