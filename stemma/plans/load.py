@@ -51,7 +51,7 @@ class KnowledgeLoad:
         self.store = Store(spark, path)
 
     def _lines(self, replies: list[str]) -> DataFrame:
-        return self.spark.createDataFrame([(r,) for r in replies], "value string")
+        return self.spark.createDataFrame(list(enumerate(replies)), "page bigint, value string")
 
     def _saved(self, phase: str) -> Progress:
         saved = Progress.load(self.progress, self.spark) if self.options.resume else None

@@ -18,8 +18,10 @@ def parse_json(lines: DataFrame, ddl: str) -> DataFrame:
 
 
 def bindings(lines: DataFrame) -> DataFrame:
-    """(b): one row for each binding of each result document."""
-    return parse_json(lines, schema.SPARQL_RESULT).select(F.explode("results.bindings").alias("b"))
+    """(at, b): one row for each binding of each result document; at is its place, by the document's page where lines say it."""
+    page = F.col("page") if "page" in lines.columns else F.monotonically_increasing_id()
+    read = lines.select(page.alias("page"), F.from_json("value", schema.SPARQL_RESULT).alias("r")).where("r IS NOT NULL")
+    return read.select("page", F.posexplode("r.results.bindings").alias("binding", "b")).select(F.struct("page", "binding").alias("at"), "b")
 
 
 def bound(name: str) -> Column:
@@ -28,9 +30,9 @@ def bound(name: str) -> Column:
 
 def parse_names(lines: DataFrame) -> DataFrame:
     """(qid, label, native_label, language, gender, description), one row for a qid: items that aren't Q-items or lack a label go."""
-    rows = bindings(lines).select(qid_of_uri(bound("item")).alias("qid"), trimmed(bound("itemLabel")).alias("label"), trimmed(bound("nativeLabel")).alias("native_label"),
+    rows = bindings(lines).select("at", qid_of_uri(bound("item")).alias("qid"), trimmed(bound("itemLabel")).alias("label"), trimmed(bound("nativeLabel")).alias("native_label"),
                                   trimmed(bound("langLabel")).alias("language"), normalized_gender(bound("genderLabel")).alias("gender"), trimmed(bound("description")).alias("description"))
-    return dedupe_by_qid(rows.where("qid IS NOT NULL AND label IS NOT NULL").withColumn("ordinal", F.monotonically_increasing_id()), "ordinal")
+    return dedupe_by_qid(rows.where("qid IS NOT NULL AND label IS NOT NULL"), "at")
 
 
 def parse_edges(lines: DataFrame) -> DataFrame:
