@@ -11,7 +11,7 @@ extracted.
 Archives are rows (name, content), so Spark's own writers and readers move them to and from any store. unpack_files reads
 archives that lie in a folder as files: Spark lists them, and each is opened once and read by ranges, never whole.
 
-Null html is an empty payload; null urls have no target header and read back as null; null ids lose against all others.
+Null html is an empty payload; a very long one is one record, which may make its archive longer than usual; null urls have no target header and read back as null; null ids lose against all others.
 The target header has a url's control characters and white space percent-encoded; the index has the url itself.
 Of rows that agree in id and payload one is the response. Payloads shorter than least_bytes are never revisits.
 Truncated or compressed members and damaged directories are errors, not skipped. Other columns may have any names.
@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemma.llm.bit_filter import BitFilter
 from stemma.llm.common import pieces, workers_find_package
 from stemma.sources.shared import materialize
 
@@ -166,7 +167,10 @@ def decide(pages: DataFrame, html: str = "html", page_id: str = "page_id", least
     firsts = per_id.groupBy("digest").agg(F.min(order).alias("first"), F.sum("ties").alias("copies")).where("copies > 1")
     firsts = materialize(firsts.select("digest", F.col("first.id").alias("first"), "first.ties"), "warc_payloads")
     rows = pages.select(F.struct("*").alias("__row"), F.sha1(payload).alias("digest"), F.col(page_id).alias("id"))
-    met = rows.join(firsts, "digest", "left")
+    # Only pages whose payload has copies move. Too many payloads with copies for a filter: all pages meet them, once.
+    copied = BitFilter(firsts, "digest")
+    hits, alone = (rows, None) if copied.exact else copied.split(rows, "digest")
+    met = hits.join(firsts, "digest", "left")
     is_first = F.col("ties").isNull() | F.col("id").eqNullSafe(F.col("first"))
     plain = met.where(~(is_first & (F.coalesce("ties", F.lit(1)) > 1)))
     done = plain.select("__row", F.when(is_first, "response").otherwise("revisit").alias("__type"), F.when(~is_first, F.col("first")).alias("__refers_to"))
@@ -174,7 +178,7 @@ def decide(pages: DataFrame, html: str = "html", page_id: str = "page_id", least
         place = F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.lit(1)))
         tied = met.where(is_first & (F.col("ties") > 1)).withColumn("place", place)
         done = done.union(tied.select("__row", F.when(F.col("place") == 1, "response").otherwise("revisit"), F.when(F.col("place") > 1, F.col("first"))))
-    return done
+    return done if alone is None else done.union(alone.select("__row", F.lit("response"), F.lit(None).cast(pages.schema[page_id].dataType)))
 
 
 def pack(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url", archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False, least_bytes: int = 0, gzip: bool = False) -> DataFrame:
