@@ -12,16 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.operators.layout import CLUSTERED, LEAF, LEVEL_GAP, SCALES, STRETCH
+from stemma.operators.layout import AROUND, CLUSTERED, FONT_WIDTH, FONTS, GUTTER, INSET, LABEL_MARGIN, LABEL_SCALE, LEAF, LEAST_ROOM, LEVEL_GAP, LONGEST, SCALES, STRETCH, margins
 from stemma.operators.viewport import capacity
 from stemma.sources.shared import materialize
 
-#: What a label of a focus, of its neighbours and of others takes (font, height), its longest text and margin.
-FONTS, FONT_WIDTH, LONGEST, LABEL_MARGIN = ((28, 72), (16, 52), (13, 44)), 0.55, 22, 28
-#: Margins (least pixels, share of the view) at the top, bottom, left and right, lying and upright.
-MARGINS = {"horizontal": ((88, 0.09), (56, 0.07), (96, 0.06), (140, 0.09)), "vertical": ((110, 0.11), (80, 0.09), (64, 0.06), (64, 0.06))}
-GUTTER, INSET = (0.02, 12), (0.04, 8)
-
 
 def _sided(trees: DataFrame) -> DataFrame:
     return trees.withColumn("side", F.signum("depth").cast("int"))
@@ -83,21 +77,21 @@ def positions(trees: DataFrame, width: float, height: float) -> DataFrame:
     """(root, id, depth, x, y, scale): pixels, and the scale of a tree's labels."""
     flat = capacity(width, height).orientation == "horizontal"
     orientation = "horizontal" if flat else "vertical"
-    top, bottom, left, right = (max(least, share * view) for (least, share), view in zip(MARGINS[orientation], (height, height, width, width)))
+    top, bottom, left, right = margins(orientation, width, height)
     points = breadths(trees, orientation).join(trees.select("root", "id", "label"), ["root", "id"])
     along, across = F.col("depth") * float(LEVEL_GAP), F.col("breadth")
     points = points.select("root", "id", "depth", "label", (along if flat else across).alias("px"), (across if flat else along).alias("py"))
     of = lambda n: F.when(F.col("depth") == 0, FONTS[0][n]).when(F.abs("depth") == 1, FONTS[1][n]).otherwise(FONTS[2][n])
     w, h = F.least(F.char_length("label"), F.lit(LONGEST)) * of(0) * FONT_WIDTH + LABEL_MARGIN, of(1)
     x, y = F.col("px"), F.col("py")
-    box = (x, x + w, y - h * 0.35, y + h * 0.35) if flat else (x - w / 2, x + w / 2, y, y + h)
+    box = (x, x + w, y - h * AROUND, y + h * AROUND) if flat else (x - w / 2, x + w / 2, y, y + h)
     tree = points.groupBy("root").agg(*(f(c).alias(n) for f, c, n in zip((F.min, F.max, F.min, F.max), box, ("x0", "x1", "y0", "y1"))))
-    room = [F.lit(float(max(view - a - b, 60))) for view, a, b in ((width, left, right), (height, top, bottom))]
+    room = [F.lit(float(max(view - a - b, LEAST_ROOM))) for view, a, b in ((width, left, right), (height, top, bottom))]
     size = [F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))]
     tree = tree.withColumns({"wide": size[0], "tall": size[1], "fx": room[0] / size[0], "fy": room[1] / size[1]})
     tree = tree.withColumn("sx", F.least("fx", F.col("fy") * STRETCH)).withColumn("sy", F.least("fy", F.col("sx") * STRETCH))
     edge = lambda start, room, size, scale: F.lit(float(start)) + F.greatest(F.lit(0.0), (room - F.col(size) * F.col(scale)) / 2)
-    scale = F.least(F.greatest(F.least("sx", "sy") * 0.95, F.lit(SCALES[0])), F.lit(SCALES[1]))
+    scale = F.least(F.greatest(F.least("sx", "sy") * LABEL_SCALE, F.lit(SCALES[0])), F.lit(SCALES[1]))
     tree = tree.select("root", "x0", "y0", "sx", "sy", edge(left, room[0], "wide", "sx").alias("ox"), edge(top, room[1], "tall", "sy").alias("oy"), scale.alias("scale"))
     at = lambda o, p, low, s: F.col(o) + (F.col(p) - F.col(low)) * F.col(s)
     return points.join(tree, "root").select("root", "id", "depth", at("ox", "px", "x0", "sx").alias("x"), at("oy", "py", "y0", "sy").alias("y"), "scale")

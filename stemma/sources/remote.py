@@ -21,6 +21,8 @@ SPARQL_URL, API_URL, USAGE_URL = "https://query.wikidata.org/sparql", "https://w
 SPARQL_TRIES, API_TRIES, LONGEST_WAIT = 10, 6, 60.0
 SPARQL_WAIT, API_WAIT = 5.0, 3.0
 USAGE_TRIES, USAGE_WAIT = 10, 60.0
+#: The properties of a type, of an item said to be the same, of a native label and of a language.
+TYPE, SAME_AS, NATIVE, LANGUAGE = "P31", "P460", "P1705", "P407"
 AGENT = "stemma/1.0 (names and their relations)"
 
 Transport = Callable[[str, str, dict, bytes | None], tuple[int, dict, bytes]]
@@ -88,7 +90,7 @@ class Remote:
     def search(self, type_qid: str, offset: int, size: int) -> str:
         if offset >= OFFSET_LIMIT:
             raise ValueError(f"the search API gives no page from offset {OFFSET_LIMIT} on")
-        return self.api(action="query", list="search", srsearch=f"haswbstatement:P31={type_qid}", srnamespace="0", srlimit=str(size), sroffset=str(offset), srinfo="totalhits", srprop="")
+        return self.api(action="query", list="search", srsearch=f"haswbstatement:{TYPE}={type_qid}", srnamespace="0", srlimit=str(size), sroffset=str(offset), srinfo="totalhits", srprop="")
 
     def entities(self, qids: list[str]) -> str:
         return self.api(action="wbgetentities", ids="|".join(qids), props="labels|descriptions", languages="en|mul")
@@ -113,7 +115,7 @@ def _select(of: str, where: str, tail: str = "") -> str:
 
 
 _ITEM = "?item ?itemLabel ?nativeLabel ?langLabel ?genderLabel ?description"
-_MORE = ('?item rdfs:label ?itemLabel FILTER(LANG(?itemLabel) = "en") OPTIONAL { ?item wdt:P1705 ?nativeLabel } OPTIONAL { ?item wdt:P407 ?l . ?l rdfs:label ?langLabel FILTER(LANG(?langLabel) = "en") } '
+_MORE = (f'?item rdfs:label ?itemLabel FILTER(LANG(?itemLabel) = "en") OPTIONAL {{ ?item wdt:{NATIVE} ?nativeLabel }} OPTIONAL {{ ?item wdt:{LANGUAGE} ?l . ?l rdfs:label ?langLabel FILTER(LANG(?langLabel) = "en") }} '
          'OPTIONAL { ?item schema:description ?description FILTER(LANG(?description) = "en") }')
 _NUMBER = 'BIND(xsd:integer(STRAFTER(STR(?{0}), "/entity/Q")) AS ?n)'
 
@@ -123,24 +125,24 @@ def _types(types: tuple[str, ...], name: str = "type") -> str:
 
 
 def names_window(low: int, high: int, *types: str) -> str:
-    return _select(_ITEM, f"{_types(types)} ?item wdt:P31 ?type . {_NUMBER.format('item')} FILTER(?n >= {low} && ?n < {high}) {_MORE}")
+    return _select(_ITEM, f"{_types(types)} ?item wdt:{TYPE} ?type . {_NUMBER.format('item')} FILTER(?n >= {low} && ?n < {high}) {_MORE}")
 
 
 def names_page(offset: int, size: int, *types: str) -> str:
-    return _select(_ITEM, f"{_types(types)} ?item wdt:P31 ?type . {_MORE}", f"ORDER BY ?item LIMIT {size} OFFSET {offset}")
+    return _select(_ITEM, f"{_types(types)} ?item wdt:{TYPE} ?type . {_MORE}", f"ORDER BY ?item LIMIT {size} OFFSET {offset}")
 
 
 def names_prefix(type_qid: str, digits: str, after: int, size: int) -> str:
-    return _select(_ITEM, f'?item wdt:P31 wd:{type_qid} . FILTER(STRSTARTS(STRAFTER(STR(?item), "/entity/Q"), "{digits}")) {_NUMBER.format("item")} FILTER(?n > {after}) {_MORE}', f"ORDER BY ?n LIMIT {size}")
+    return _select(_ITEM, f'?item wdt:{TYPE} wd:{type_qid} . FILTER(STRSTARTS(STRAFTER(STR(?item), "/entity/Q"), "{digits}")) {_NUMBER.format("item")} FILTER(?n > {after}) {_MORE}', f"ORDER BY ?n LIMIT {size}")
 
 
 def edges_page(offset: int, size: int) -> str:
-    return _select("?a ?b", f"{_types(())} ?a wdt:P31 ?type . ?b wdt:P31 ?type . ?a wdt:P460 ?b FILTER(STR(?a) < STR(?b))", f"ORDER BY ?a ?b LIMIT {size} OFFSET {offset}")
+    return _select("?a ?b", f"{_types(())} ?a wdt:{TYPE} ?type . ?b wdt:{TYPE} ?type . ?a wdt:{SAME_AS} ?b FILTER(STR(?a) < STR(?b))", f"ORDER BY ?a ?b LIMIT {size} OFFSET {offset}")
 
 
 def edges_window(low: int, high: int) -> str:
-    return _select("?a ?b", f"{_types(())} ?a wdt:P31 ?type . {_NUMBER.format('a')} FILTER(?n >= {low} && ?n < {high}) ?a wdt:P460 ?b . ?b wdt:P31 ?type FILTER(STR(?a) < STR(?b))")
+    return _select("?a ?b", f"{_types(())} ?a wdt:{TYPE} ?type . {_NUMBER.format('a')} FILTER(?n >= {low} && ?n < {high}) ?a wdt:{SAME_AS} ?b . ?b wdt:{TYPE} ?type FILTER(STR(?a) < STR(?b))")
 
 
 def edges_of(qids: list[str]) -> str:
-    return _select("?a ?b", f"VALUES ?a {{ {' '.join(f'wd:{q}' for q in qids)} }} ?a wdt:P460 ?b . {_types(())} ?b wdt:P31 ?type FILTER(STR(?a) < STR(?b))")
+    return _select("?a ?b", f"VALUES ?a {{ {' '.join(f'wd:{q}' for q in qids)} }} ?a wdt:{SAME_AS} ?b . {_types(())} ?b wdt:{TYPE} ?type FILTER(STR(?a) < STR(?b))")
