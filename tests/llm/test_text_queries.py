@@ -19,7 +19,7 @@ from stemma.llm.common import fold
 from test_documents import base_listing, linked, norm, tokenizer, words
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "embeddings", "benchmark", "labels")
 
 
 @pytest.fixture(scope="module")
