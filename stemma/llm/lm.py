@@ -16,7 +16,8 @@ Nothing of the model is held in one place, as it grows with the corpus:
 4. Each block thereby has the part of the automaton that its texts can reach, and scores them.
 A block sends to 2**FAN ranges at most. Where the corpus needs more shards, what some 2**FAN blocks sent to one range is
 merged into one block of the next level, which sends to the next bits' ranges and hands its totals down again: messages
-stay as many as the blocks times a constant and each level, whatever the corpus.
+stay as many as the blocks times a constant and each level, whatever the corpus. A level writes all keys and totals once
+more, so there is one as long as its messages are of some hundred words, up to 2**FAN * SHARD_BYTES of text.
 
 Words are keyed by 64 bits of hash: two words of a corpus share one with a chance of about V * V / 2**65. Pairs and
 triples are keyed by KEY_BITS more bits than it takes to number the tokens, 64 at most: a key shares its place with
@@ -44,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from stemma.llm.common import pieces, workers_find_package
 from stemma.sources.shared import materialize
 
-BLOCK_BYTES, SHARD_BYTES, FAN = 8 << 20, 12 << 20, 8
+BLOCK_BYTES, SHARD_BYTES, FAN = 8 << 20, 12 << 20, 12
 #: Smoothing of the states of one word and of two; how often a pair was seen to be a state.
 MU, LEAST = (500.0, 8.0), 2
 KEY_BITS = 20
@@ -252,6 +253,13 @@ def _joined(answers: pa.Table, order: str) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *(_unpacked(n) for _, n in mine)])
 
 
+def levels(size: int, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> list[int]:
+    """The bits of each level for a corpus of that size."""
+    bits = max(0, int(np.ceil(np.log2(max(1, size / shard_bytes)))))
+    n = max(1, -(-bits // fan))
+    return [bits * (i + 1) // n - bits * i // n for i in range(n)]
+
+
 def send_keys(blocks: DataFrame, bits: int, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -306,10 +314,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     workers_find_package(docs.sparkSession)
     blocks = materialize(pack(docs, text, doc_id, held_out, block_bytes), "lm_blocks")
     size, tokens, n = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_tokens")), F.count(F.lit(1))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, size / shard_bytes)))))
+    steps = levels(size, shard_bytes, fan)
     width = min(64, int(np.ceil(np.log2(tokens + 1))) + KEY_BITS)
-    levels = max(1, -(-bits // fan))
-    steps = [bits * (i + 1) // levels - bits * i // levels for i in range(levels)]
     totals = materialize(add_up(send_keys(blocks, steps[0], width), steps, {"words": 64, "pairs": width, "triples": width}, n), "lm_totals")
     total, distinct, once, twice = totals.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in SUMS)).first()
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05

@@ -347,6 +347,12 @@ def test_lm(docs, raw, none, shard_bytes, fan):
 SYMBOLS_OF = "#*$%&|<>"
 
 
+def test_lm_levels():
+    """A corpus of some GB has one level: a second one writes all keys and totals once more."""
+    assert lm.levels(0) == [0] and lm.levels(lm.SHARD_BYTES * 1000) == [10] == lm.levels(12 << 30)
+    assert lm.levels(lm.SHARD_BYTES << 2 * lm.FAN) == [lm.FAN, lm.FAN] and lm.levels(1 << 20, 1 << 10, 4) == [3, 3, 4]
+
+
 def brute_base(t):
     t = t or ""
     w = words(t)
