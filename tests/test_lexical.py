@@ -1,9 +1,11 @@
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from stemma.plans import queries
 from stemma.sources import lexical
 
 
@@ -99,3 +101,13 @@ def test_gz_file_reads_like_plain(spark, tmp_path):
         f.write(body)
     (tmp_path / "x.jsonl").write_text(body)
     assert lexical.read(spark, str(tmp_path / "x.jsonl.gz")).count() == lexical.read(spark, str(tmp_path / "x.jsonl")).count() == len(DICTIONARY)
+
+
+def test_entries_are_made_once(spark):
+    """Conditions on a parsed entry don't parse it again, and a file of one row group is dealt out."""
+    lines = spark.createDataFrame([('{"word": "x", "lang_code": "en"}',), ("[]",), (" ",)], "value string")
+    plan = lexical.transform(lexical.parse(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("jsontostructs") + plan.count("from_json") == 1
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        assert queries._entries(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
