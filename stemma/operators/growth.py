@@ -1,9 +1,11 @@
 """Ordered greedy growth around many starts at once: a row of state for each start, a join for each level.
 
-A start's state is the nodes it has taken, in order, and its frontier. A level hands every frontier name its ranked relatives
+A start's state is the nodes it has taken, in order, and its frontier. A level hands frontier names their ranked relatives
 and folds over the frontier in order: each name takes its best relatives that aren't taken yet, up to a cap, until the start
 has most nodes. Ranked relatives are cut to what a cap and the nodes already taken can pass over, so every row is bounded by
-the budgets; starts are spread over tasks, and names that many frontiers share are joined, not collected.
+the budgets; starts are spread over tasks, and names that many frontiers share are joined, not collected. A start asks so many
+of its frontier's names at a time as would fill it if each gave its cap, twice as many each time that it isn't full: most are
+full after one. Starts that are full, or whose frontier has ended, aren't moved again.
 """
 
 from __future__ import annotations
@@ -35,11 +37,27 @@ def wanted(state: DataFrame, on: Column, most: int) -> DataFrame:
 
 def grown(state: DataFrame, best: DataFrame, depth: int, cap: Column, on: Column, most: int) -> DataFrame:
     """state after a level at that depth, where on says that the start goes on; the frontier is what the level took."""
-    kept = [c for c in state.columns if c not in ("taken", "nodes", "frontier")]
-    asked = state.where(on).select("root", F.posexplode("frontier").alias("place", "near"))
+    none = F.expr("CAST(array() AS array<string>)")
+    open_ = on & (F.size("taken") < most) & (F.size("frontier") > 0) & (cap > 0)
+    found = state.where(~open_).withColumn("frontier", none)
+    rest = state.where(open_).withColumns({"cap": cap, "fresh": none})
+    times = 1
+    while times == 1 or not rest.isEmpty():
+        made = _asked(rest, best, depth, most, times)
+        left = (F.size("taken") < most) & (F.size("frontier") > 0)
+        found = found.unionByName(made.where(~left).withColumn("frontier", F.col("fresh")).drop("cap", "fresh"))
+        rest, times = made.where(left), 2 * times
+    return found
+
+
+def _asked(state: DataFrame, best: DataFrame, depth: int, most: int, times: int) -> DataFrame:
+    """state after the first names of the frontier have given theirs; fresh: what the level took so far."""
+    kept = [c for c in state.columns if c not in ("taken", "fresh", "nodes", "frontier")]
+    n = F.least(F.size("frontier"), (F.ceil((F.lit(most) - F.size("taken")) / F.col("cap")) * times).cast("int"))
+    asked = state.select("root", F.posexplode(F.slice("frontier", F.lit(1), n)).alias("place", "near"))
     found = asked.join(best, "near").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "near", "others"))).alias("given"))
-    met = state.join(found, "root", "left").withColumn("cap", cap)
-    start = F.struct(F.col("taken").alias("taken"), F.expr("CAST(array() AS array<string>)").alias("fresh"), F.col("nodes").alias("nodes"))
+    met = state.join(found, "root", "left")
+    start = F.struct(F.col("taken").alias("taken"), F.col("fresh").alias("fresh"), F.col("nodes").alias("nodes"))
 
     def take(s: Column, c: Column) -> Column:
         room = F.greatest(F.lit(0), F.least(F.col("cap"), F.lit(most) - F.size(s["taken"])))
@@ -48,7 +66,8 @@ def grown(state: DataFrame, best: DataFrame, depth: int, cap: Column, on: Column
         return F.struct(F.concat(s["taken"], picked).alias("taken"), F.concat(s["fresh"], picked).alias("fresh"), F.concat(s["nodes"], made).alias("nodes"))
 
     made = met.withColumn("made", F.aggregate(F.coalesce("given", F.expr(f"CAST(array() AS {_GIVEN})")), start, take))
-    return materialize(made.select(*kept, F.col("made.taken").alias("taken"), F.col("made.nodes").alias("nodes"), F.col("made.fresh").alias("frontier")), "growth_state")
+    later = F.slice("frontier", n + 1, F.greatest(F.size("frontier") - n, F.lit(0)))
+    return materialize(made.select(*kept, *(F.col("made")[c].alias(c) for c in ("taken", "fresh", "nodes")), later.alias("frontier")), "growth_state")
 
 
 def members(state: DataFrame) -> DataFrame:

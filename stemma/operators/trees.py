@@ -1,7 +1,7 @@
 """The trees around many names at once: a frontier keyed by root, one join a level for all of them.
 
-What a name's best children and parents are doesn't depend on the tree, so each level ranks the relatives of the frontiers'
-names once and hands them to every tree that asks. Descendants grow first, then ancestors, within the viewport's budget (see
+What a name's best children and parents are doesn't depend on the tree, so each level hands the relatives of the frontiers'
+names, which are ranked once for all levels, to every tree that asks. Descendants grow first, then ancestors, within the viewport's budget (see
 operators.growth).
 
 Same results as operators.tree.lineage_tree without collapsing, for every root. Roots without a name make no tree; repeated
@@ -36,9 +36,9 @@ def plans(room: Capacity) -> dict[tuple[bool, bool], tuple[int, int, int, int, i
     return found
 
 
-def _ranked(asked: DataFrame, edges: DataFrame, counts: DataFrame, names: DataFrame, up: bool, most: int) -> DataFrame:
-    """(near, others) for the names asked (near): their relatives with a name, best first. edges: (near, other)."""
-    met = edges.join(asked, "near", "left_semi").distinct().join(names.select(F.col("id").alias("other")), "other", "left_semi")
+def _ranked(edges: DataFrame, counts: DataFrame, names: DataFrame, up: bool, most: int) -> DataFrame:
+    """(near, others) for all names: their relatives with a name, best first. edges: (near, other)."""
+    met = edges.distinct().join(names.select(F.col("id").alias("other")), "other", "left_semi")
     rated = met.join(counts.withColumnRenamed("id", "other"), "other", "left").select("near", "other", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("kids", "above")))
     return growth.ranked(rated, [F.desc("above")] * up + [F.desc("kids"), F.asc("other")], most)
 
@@ -48,7 +48,7 @@ def lineage_trees(catalog: Catalog, roots: DataFrame, width: float = 1200, heigh
     that a node was reached from; parent: the next one towards older names that is shown."""
     room = capacity(width, height)
     enough = 16 + room.max_nodes
-    lineage, names = catalog.lineage.select("child_id", "parent_id"), catalog.names.select("id")
+    lineage, names = materialize(catalog.lineage.select("child_id", "parent_id"), "tree_edges"), catalog.names.select("id")
     kids, above = (lineage.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias(n)) for c, n in (("parent_id", "kids"), ("child_id", "above")))
     counts = materialize(kids.join(above, "id", "full_outer"), "tree_counts")
     down, up = lineage.toDF("other", "near").select("near", "other"), lineage.toDF("near", "other")
@@ -69,11 +69,10 @@ def lineage_trees(catalog: Catalog, roots: DataFrame, width: float = 1200, heigh
     for ascending in (False, True):
         levels, at_root = F.col("levels_up" if ascending else "levels_down"), F.col("root_up" if ascending else "root_down")
         state = state.withColumn("frontier", F.array("root"))
+        best = materialize(_ranked(up if ascending else down, counts, names, ascending, enough), "tree_best")
         for hop in range(max(row[1 if ascending else 0] for row in table.values())):
-            asked = growth.wanted(state, levels > hop, room.max_nodes)
-            if asked.isEmpty():
+            if hop and state.where((levels > hop) & (F.size("taken") < room.max_nodes) & (F.size("frontier") > 0)).isEmpty():
                 break
-            best = _ranked(asked, up if ascending else down, counts, names, ascending, enough)
             state = growth.grown(state, best, -(hop + 1) if ascending else hop + 1, at_root if hop == 0 else F.col("branch"), levels > hop, room.max_nodes)
 
     rows = growth.members(state)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.catalog import Catalog
-from stemma.operators import graph, layout, layouts, search, tree, trees, viewport
+from stemma.operators import graph, growth, layout, layouts, search, tree, trees, viewport
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,16 @@ def replaced(catalog):
     """A catalogue whose version remembers only what is read from now on."""
     catalog.base.table = lambda name: catalog.base.store.frame(name, catalog.base.tables.get(name, []))
     return catalog
+
+
+def test_frontiers_are_asked_by_need(spark):
+    """A frontier's first names are asked, so many as would fill the start; the others only while it isn't full."""
+    best = spark.createDataFrame([("a", ["p", "q", "s"]), ("h", ["q", "t", "u"])], "near string, others array<string>")
+    begun = growth.begun(spark.createDataFrame([("r",), ("a",)], "root string")).withColumn("frontier", F.array(*map(F.lit, "abcdefgh")))
+    asked = {x["root"]: (x["taken"], x["frontier"]) for x in growth._asked(begun.withColumns({"cap": F.lit(2), "fresh": F.expr("CAST(array() AS array<string>)")}), best, 1, 4, 1).collect()}
+    assert asked["r"] == (["r", "p", "q"], list("cdefgh"))
+    found = {x["root"]: x for x in growth.grown(begun, best, 1, F.lit(2), F.lit(True), 6).collect()}
+    assert found["r"]["taken"] == ["r", "p", "q", "t", "u"] and found["r"]["frontier"] == ["p", "q", "t", "u"]
+    assert [x["near"] for x in found["r"]["nodes"]] == [None, "a", "a", "h", "h"]
+    off = growth.grown(begun, best, 1, F.lit(2), F.col("root") == "a", 6).where("root = 'r'").first()
+    assert off["taken"] == ["r"] and off["frontier"] == []
