@@ -117,12 +117,11 @@ def cascade(dependent: DataFrame, deleted: DataFrame, *columns: str) -> DataFram
 
 def violations(df: DataFrame, table: str) -> DataFrame:
     """(rule, n): the table's rules that rows break, and how many."""
-    found = []
-    if check := schema.CHECKS.get(table):
-        found.append(df.where(f"NOT ({check})").agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"check {check}").alias("rule"), "n"))
-    for c in schema.REQUIRED[table]:
-        if c in df.columns:
-            found.append(df.where(F.col(c).isNull()).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"not null {c}").alias("rule"), "n"))
+    rules = {f"check {check}": F.expr(f"NOT ({check})") for check in [schema.CHECKS.get(table)] if check}
+    rules |= {f"not null {c}": F.col(c).isNull() for c in schema.REQUIRED[table] if c in df.columns}
+    # What concerns one row is counted in one pass.
+    counted = df.agg(*(F.count(F.when(broken, 1)).alias(f"n{i}") for i, broken in enumerate(rules.values())))
+    found = [counted.select(F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"n{i}").alias("n")) for i, rule in enumerate(rules)))))]
     for keys in schema.KEYS[table]:
         if set(keys) <= set(df.columns):
             per = df.dropna(subset=keys).groupBy(*keys).count().where("count > 1")

@@ -188,3 +188,11 @@ def test_cheaper_parts_have_the_same_rows(spark, tmp_path):
         assert made.columns == want.columns
         assert sorted(made.collect(), key=repr) == sorted(want.collect(), key=repr)
         assert "l_partkey#" in [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x and "l_" in x][0]
+
+
+def test_rules_are_counted_in_one_pass(spark, tmp_path):
+    rows = [("a", "b"), ("a", "b"), ("b", "a"), (None, "x"), ("c", "c")]
+    spark.createDataFrame(rows, "name_a string, name_b string").write.parquet(f"{tmp_path}/r")
+    broken = merge.violations(spark.read.parquet(f"{tmp_path}/r"), "name_relations")
+    assert {x["rule"]: x["n"] for x in broken.collect()} == {"check name_a < name_b": 2, "not null name_a": 1, "unique name_a, name_b": 1}
+    assert broken._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2  # for rows, and for keys
