@@ -196,3 +196,32 @@ def test_rules_are_counted_in_one_pass(spark, tmp_path):
     broken = merge.violations(spark.read.parquet(f"{tmp_path}/r"), "name_relations")
     assert {x["rule"]: x["n"] for x in broken.collect()} == {"check name_a < name_b": 2, "not null name_a": 1, "unique name_a, name_b": 1}
     assert broken._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2  # for rows, and for keys
+
+
+def test_components_look_at_few_edges_first(spark, monkeypatch):
+    """Of dense edges two a node are contracted; the others are only checked, and go on where these leave parts apart."""
+    from stemma.operators import components
+
+    sizes, kept = {}, components.materialize
+    def spy(df, label):
+        out = kept(df, label)
+        sizes.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialize", spy)
+    ids = [f"n{i:02}" for i in range(30)]
+    dense = [(a, b) for a in ids for b in ids if a < b]
+    assert {tuple(x) for x in connected_components(edges(spark, dense), "name_a", "name_b").collect()} == {(i, "n00") for i in ids}
+    assert max(sizes["cc_edges"] + sizes["cc_few"]) <= 60
+    # Two stars whose smallest and largest neighbours keep to themselves, and an edge between their middles.
+    apart = [(x, f"{x}{i}") for x in "bc" for i in range(5)] + [(f"a{x}", f"{x}{i}") for x in "bc" for i in (1, 2)] + [(f"z{x}", f"{x}{i}") for x in "bc" for i in (1, 2)] + [("b1", "c1")]
+    assert {x["root"] for x in connected_components(edges(spark, apart), "name_a", "name_b").collect()} == {"ab"}
+
+
+def test_featured_roots_read_lineage_for_few_names(spark):
+    """Parents are looked up for the few names that may be shown; all of lineage is grouped once, before."""
+    names = spark.createDataFrame([("a", "Alpha"), ("b", "Beta"), ("c", "Gamma")], "id string, label string").withColumn("native_label", F.lit(None).cast("string"))
+    lineage = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b")], "child_id string, parent_id string")
+    made = tree.featured_roots(Catalog(names, None, lineage, None), 1)
+    assert [tuple(x) for x in made.collect()] == [("a", "Alpha", 2)]
+    assert "child_id" in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and " IN (" in plan

@@ -216,3 +216,18 @@ def test_a_busy_usage_service(spark, tmp_path):
         enrich(spark, path, "key", source=remote.Remote(service, slept.append))
     assert slept.count(60.0) == 2 + remote.USAGE_TRIES
     assert Catalog.load(spark, path).enrichments.count() == 8  # usage and kin of four names
+
+
+def test_relations_are_counted_by_key_no_more(spark, tmp_path, monkeypatch):
+    """Pairs that are made once aren't counted again by the commit, which counts other writers' rows as before."""
+    wrote, kept = {}, Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, name, rows, base, once=False: wrote.setdefault(name, set()).add(once) or kept(self, name, rows, base, once))
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    table = lambda *rows: spark.createDataFrame(rows, "name_a string, name_b string")
+    merge_relations(store, table(("a", "b"), ("b", "a"), ("c", "d"), ("a", "b")), cap=3)
+    merge_relations(store, table(("b", "c"), ("a", "b"), ("x", "y"), ("y", "z"), ("x", "z")), cap=3)  # a pair that the closure finds too
+    assert wrote["name_relations"] == wrote["direct_relations"] == {True} and wrote["component_of"] == {False}
+    found = store.snapshot().table("name_relations").groupBy("name_a", "name_b").count().collect()
+    assert {tuple(x) for x in found} == {(a, b, 1) for a, b in ("ab", "cd", "bc", "xy", "yz", "xz")}
+    with pytest.raises(ValueError, match="unique"):
+        store.commit(store.snapshot(), {"direct_relations": table(("m", "n"), ("m", "n"))})
