@@ -19,7 +19,7 @@ from stemma import schema
 from stemma.catalog import Catalog
 from stemma.functions.text import similarity, trigrams, trimmed
 from stemma.operators.graph import degrees, incident
-from stemma.sources.shared import materialize
+from stemma.sources.shared import beside, materialize
 
 THRESHOLD, PAGE, LARGEST_PAGE, FACETS = 0.3, 20, 50, 80
 
@@ -70,7 +70,8 @@ class LabelIndex:
         return self.table.where(F.col("gram").isin(grams))  # a query's grams are few
 
     def names(self, ids: DataFrame) -> DataFrame:
-        return self.all.join(ids.select("id"), "id", "left_semi")
+        """The names that ids may be of: a join with ids follows."""
+        return self.all
 
 
 class StoredIndex(LabelIndex):
@@ -84,7 +85,7 @@ class StoredIndex(LabelIndex):
         return self.base.rows(schema.GRAMS, self.base.store.spark.createDataFrame([(g,) for g in grams], "gram string"))
 
     def names(self, ids: DataFrame) -> DataFrame:
-        return self.base.rows("names", ids.select("id")).withColumnRenamed("wiktionary_key", "wk")
+        return self.base.around("names", ids.select("id")).withColumnRenamed("wiktionary_key", "wk")
 
 
 def _counted(index: LabelIndex, asked: list[str], inside: list[str]) -> DataFrame:
@@ -112,7 +113,7 @@ def matching(names: DataFrame, query: str, language: str | None = None, index: L
     inside = contained_grams(names.sparkSession, query) if index else []
     if inside:
         close = materialize(candidates(index, query, inside), "search_candidates")
-        found = index.names(close).join(close, "id")
+        found = index.names(close).join(beside(close, close.count()), "id")
     else:
         found = names.withColumn("sim", similarity(F.col("label"), F.lit(query)))
     found = found.where((F.col("sim") >= THRESHOLD) | F.col("label").ilike(f"%{query}%"))
@@ -128,8 +129,8 @@ def hits(catalog: Catalog, query: str, language: str | None = None, index: Label
 def ranked(found: DataFrame, catalog: Catalog) -> tuple[DataFrame, list[Column]]:
     """found with the keys of the rank, and the rank's order: null languages come before all others, as in the source. Degrees
     are those of found alone."""
-    ids = found.select("id")
-    of = lambda edges, name: degrees(edges.join(ids, "id", "left_semi")).withColumnRenamed("degree", name)
+    ids, n = found.select("id"), found.count()
+    of = lambda edges, name: beside(degrees(edges.join(beside(ids, n), "id", "left_semi")).withColumnRenamed("degree", name), n)
     lineage, cognates = of(incident(catalog.lineage, "child_id", "parent_id"), "lineage_degree"), of(incident(catalog.relations, "name_a", "name_b"), "cognate_degree")
     keyed = (found.join(lineage, "id", "left").join(cognates, "id", "left")
              .withColumns({"lineage_degree": F.coalesce("lineage_degree", F.lit(0)), "cognate_degree": F.coalesce("cognate_degree", F.lit(0)),

@@ -12,7 +12,7 @@ from stemma.catalog import Catalog
 from stemma.operators import merge
 from stemma.plans.load import enrich
 from stemma.plans.relations import components, merge_relations, skipped
-from stemma.sources import remote
+from stemma.sources import remote, shared
 from stemma.store import Conflict, Store, gone
 
 LABELS = "id string, label string, wikidata_qid string"
@@ -231,3 +231,34 @@ def test_relations_are_counted_by_key_no_more(spark, tmp_path, monkeypatch):
     assert {tuple(x) for x in found} == {(a, b, 1) for a, b in ("ab", "cd", "bc", "xy", "yz", "xz")}
     with pytest.raises(ValueError, match="unique"):
         store.commit(store.snapshot(), {"direct_relations": table(("m", "n"), ("m", "n"))})
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_keys_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    """Joins with the rows of a commit move both sides, whatever size Spark guesses; few rows go to all tasks. Either way the
+    tables that follow are those of a store written at once."""
+    wide = "id string, label string, wikidata_qid string, __gone boolean"
+    first = [(f"n{i}", f"red label {i}", f"Q{i}") for i in range(40)]
+    second = [(f"n{i}", "blue" if i % 2 else f"label red {i}", f"Q{i ^ 1}", False) for i in range(30)] + [("n30", None, None, True), ("n31", "red label 31", None, False), ("n32", "red label 32", "Q32", False), ("z", "new", "Q31", False)]
+    want = {r[0]: r for r in first} | {r[0]: r[:3] for r in second if not r[3]}
+    del want["n30"]
+    indexes = {"names": ("id", "label", "wikidata_qid"), "names_by_qid": ("value", "id"), "label_grams": ("gram", "id", "n")}
+    whole = Store(spark, str(tmp_path / "whole"), buckets=4)
+    whole.commit(whole.snapshot(), {"names": spark.createDataFrame(sorted(want.values()), LABELS)}, ["names"])
+    plans, kept = [], Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, name, rows, *a, **b: plans.append(final_plan(rows)) or kept(self, name, rows, *a, **b))
+    for few in (3, 1000):
+        monkeypatch.setattr(shared, "FEW", few)
+        store = Store(spark, str(tmp_path / f"s{few}"), buckets=4)
+        store.commit(store.snapshot(), {"names": spark.createDataFrame(first, LABELS)})
+        base, rows = store.snapshot(), spark.createDataFrame(second, wide)
+        plans[:] = [final_plan(base.rows("names", rows.select("id")))]
+        store.commit(base, {"names": rows})
+        assert any("BroadcastHashJoin" in x for x in plans) == (few == 1000)
+        assert all(held(store, t, *c) == held(whole, t, *c) for t, c in indexes.items())
+        with pytest.raises(ValueError, match="unique wikidata_qid: 1 values"):
+            store.commit(store.snapshot(), {"names": spark.createDataFrame([("n33", "x", "Q32", False), *second[:5]], wide)})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemma.catalog import Catalog
 from stemma.operators import graph, growth, layout, layouts, search, tree, trees, viewport
+from stemma.sources import shared
 
 
 @pytest.fixture(scope="module")
@@ -91,6 +92,18 @@ def test_search_by_postings(spark, forest, tmp_path):
     assert search.contained_grams(spark, "Foo b%ar") == ["foo", "oo ", "  b"] and search.contained_grams(spark, "ab") == []
 
 
+def test_many_hits_are_not_sent_to_all_tasks(spark, forest, monkeypatch):
+    """Degrees of many hits come by joins that move both sides, with the same ranks as those of few."""
+    found = forest.names.withColumn("sim", F.lit(0.5)).localCheckpoint()
+    pages = {}
+    for few in (3, 1000):
+        monkeypatch.setattr(shared, "FEW", few)
+        page = search.page_of(found, forest, page_size=50)
+        pages[few] = [tuple(x[c] for c in ("id", "lineage_degree", "cognate_degree")) for x in page.collect()]
+        assert ("BroadcastHashJoin" in page._jdf.queryExecution().executedPlan().toString()) == (few == 1000)
+    assert pages[3] == pages[1000] and len(pages[3]) > 3
+
+
 def replaced(catalog):
     """A catalogue whose version remembers only what is read from now on."""
     catalog.base.table = lambda name: catalog.base.store.frame(name, catalog.base.tables.get(name, []))
